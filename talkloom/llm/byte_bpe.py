@@ -21,38 +21,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NONE = np.uint32(0xFFFFFFFF)
+MEMO_ENTRIES = 350_000
 
 
-class Ranks:
-    """Token bytes by id, and the rank of each pair of tokens whose join is a token."""
+class PairMerger:
+    """Merges by segment tree.  pairs: (left id << 32 | right id) to the merged id, lower ids first;
+    first: the id of each single byte; last: that of a byte which ends its piece."""
 
-    def __init__(self, path: str, pattern: str):
-        with open(path, "rb") as f:
-            self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.pattern = regex.compile(pattern)
-        size = max(self.rank.values()) + 1
-        self.bytes = [b""] * size
-        keys, vals = [], []
-        for token, r in self.rank.items():
-            self.bytes[r] = token
-            for i in range(1, len(token)):
-                a, b = self.rank.get(token[:i]), self.rank.get(token[i:])
-                if a is not None and b is not None:
-                    keys.append(a << 32 | b)
-                    vals.append(r)
-        order = np.argsort(np.array(keys, np.int64))
-        self.pair_dict = dict(zip(keys, vals, strict=True))
-        self.keys = np.append(np.array(keys, np.int64)[order], np.int64(1 << 62))
-        self.vals = np.append(np.array(vals, np.uint32)[order], NONE)
-        self.byte = np.array([self.rank.get(bytes([i]), -1) for i in range(256)], np.int64)
-        if (self.byte < 0).any():
-            raise ValueError("the rank file lacks single bytes")
-        self.offsets = np.zeros(size + 1, np.int64)
-        np.cumsum([len(t) for t in self.bytes], out=self.offsets[1:])
-        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
-        self.raw = [i.to_bytes(4, "little") for i in range(size)]
-        self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+    def __init__(self, pairs: dict[int, int], first: np.ndarray, last: np.ndarray):
+        self.pair_dict, self.byte, self.last = pairs, first, last
+        keys = np.fromiter(pairs.keys(), np.int64, len(pairs))
+        order = np.argsort(keys)
+        self.keys = np.append(keys[order], np.int64(1 << 62))
+        self.vals = np.append(np.fromiter(pairs.values(), np.uint32, len(pairs))[order], NONE)
 
     def pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = (a << 32) | b
@@ -67,6 +48,7 @@ class Ranks:
         where = np.arange(size + 1) < length[:, None]
         raw[where] = np.frombuffer(b"".join(pieces), np.uint8)
         tok = self.byte[raw]
+        tok[rows, length - 1] = self.last[raw[rows, length - 1]]
         nxt = np.tile(np.arange(1, size + 2), (n, 1))
         prv = np.tile(np.arange(-1, size), (n, 1))
         tree = np.full((n, 2 * size), NONE, np.uint32)
@@ -122,7 +104,7 @@ class Ranks:
         get, n = self.pair_dict.get, len(piece)
         size = 1 << (n - 1).bit_length()
         none = int(NONE)
-        tok = [int(self.byte[b]) for b in piece]
+        tok = [*(int(self.byte[b]) for b in piece[:-1]), int(self.last[piece[-1]])]
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
         tree = [none] * (2 * size)
         for i in range(n - 1):
@@ -161,14 +143,11 @@ class Ranks:
         return [t for t in tok if t >= 0]
 
     def merge(self, pieces: list[bytes]) -> list[bytes]:
-        """The ids of each piece, as raw little-endian 32-bit integers."""
+        """The ids of each non-empty piece, as raw little-endian 32-bit integers."""
         out: list[bytes] = [b""] * len(pieces)
         by_size: dict[int, list[int]] = {}
         for i, piece in enumerate(pieces):
-            if (r := self.rank.get(piece)) is not None:
-                out[i] = self.raw[r]
-            else:
-                by_size.setdefault(max(4, 1 << (len(piece) - 1).bit_length()), []).append(i)
+            by_size.setdefault(max(4, 1 << (len(piece) - 1).bit_length()), []).append(i)
         for size, at in by_size.items():
             if size > 64:
                 for i in at:
@@ -181,22 +160,64 @@ class Ranks:
                     out[i] = ids
         return out
 
+
+class Memo:
+    """A bounded dictionary in two generations: what is still in use moves back on its next use."""
+
+    def __init__(self, entries: int):
+        self.entries, self.now, self.old = entries, {}, {}
+
+    def turn(self) -> None:
+        if len(self.now) > self.entries:
+            self.now, self.old = {}, self.now
+
+    def missing(self, keys: set) -> list:
+        """Keys in neither generation; those only in the older one are moved."""
+        new = [k for k in keys if k not in self.now]
+        if self.old:
+            self.now.update(found := {k: self.old[k] for k in new if k in self.old})
+            new = [k for k in new if k not in found]
+        return new
+
+
+class Ranks(PairMerger):
+    """A rank file: token bytes by id, and the rank of each pair of tokens whose join is a token."""
+
+    def __init__(self, path: str, pattern: str):
+        with open(path, "rb") as f:
+            self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.pattern = regex.compile(pattern)
+        size = max(self.rank.values()) + 1
+        self.bytes = [b""] * size
+        pairs = {}
+        for token, r in self.rank.items():
+            self.bytes[r] = token
+            for i in range(1, len(token)):
+                a, b = self.rank.get(token[:i]), self.rank.get(token[i:])
+                if a is not None and b is not None:
+                    pairs[a << 32 | b] = r
+        byte = np.array([self.rank.get(bytes([i]), -1) for i in range(256)], np.int64)
+        if (byte < 0).any():
+            raise ValueError("the rank file lacks single bytes")
+        super().__init__(pairs, byte, byte)
+        self.raw = [i.to_bytes(4, "little") for i in range(size)]
+        self.chunks = Memo(MEMO_ENTRIES)
+
     def learn(self, chunks: list[str]) -> None:
         """Adds chunks (text that the pattern never matches across) to the memo."""
-        if self.old:
-            found = {c: self.old[c] for c in chunks if c in self.old}
-            self.memo.update(found)
-            chunks = [c for c in chunks if c not in found]
         split = [self.pattern.findall(c) for c in chunks]
         known = list({p for ps in split for p in ps})
-        ids = dict(zip(known, self.merge([p.encode() for p in known]), strict=True))
+        plain = [p.encode() for p in known]
+        ids = {p: self.raw[self.rank[b]] for p, b in zip(known, plain, strict=True) if b in self.rank}
+        rest = [(p, b) for p, b in zip(known, plain, strict=True) if b not in self.rank]
+        ids.update(zip([p for p, _ in rest], self.merge([b for _, b in rest]), strict=True))
+        memo = self.chunks.now
         for c, ps in zip(chunks, split, strict=True):
-            self.memo[c] = b"".join([ids[p] for p in ps])
+            memo[c] = b"".join([ids[p] for p in ps])
 
 
 #: A single blank between two other characters always starts a match of the pattern, so texts are cut there.
 CUT = re.compile(r"(?<=\S) (?=\S)")
-MEMO_ENTRIES = 350_000
 _LOADED: dict[tuple[str, str], Ranks] = {}
 
 
@@ -214,12 +235,11 @@ def chunks_of(text: str) -> list[str]:
 
 
 def encode_texts(coder: Ranks, texts: list[str]) -> list[bytes]:
-    if len(coder.memo) > MEMO_ENTRIES:  # two generations: what is still in use moves back on its next use
-        coder.memo, coder.old = {}, coder.memo
+    coder.chunks.turn()
     split = [chunks_of(t) if t else [] for t in texts]
-    memo = coder.memo
-    if new := list({c for cs in split for c in cs if c not in memo}):
+    if new := coder.chunks.missing({c for cs in split for c in cs}):
         coder.learn(new)
+    memo = coder.chunks.now
     return [b"".join([memo[c] for c in cs]) for cs in split]
 
 

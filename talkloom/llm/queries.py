@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .byte_bpe import op9_byte_bpe
+from .packing import op5_best_fit_packing
 
 QUERIES = {
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op9_byte_bpe": op9_byte_bpe,
 }
 ORACLES: dict[str, str] = {}
