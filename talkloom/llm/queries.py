@@ -6,8 +6,10 @@ from .byte_bpe import op9_byte_bpe
 from .fuzzy_hash import op3_fuzzy_fingerprint
 from .language_id import op4_language_id
 from .packing import op5_best_fit_packing
+from .quality import op6_quality
 
 QUERIES = {
+    "op6_quality": op6_quality,
     "op4_language_id": op4_language_id,
     "op3_fuzzy_fingerprint": op3_fuzzy_fingerprint,
     "op5_best_fit_packing": op5_best_fit_packing,
