@@ -7,8 +7,10 @@ from .fuzzy_hash import op3_fuzzy_fingerprint
 from .language_id import op4_language_id
 from .packing import op5_best_fit_packing
 from .quality import op6_quality
+from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op6_quality": op6_quality,
     "op4_language_id": op4_language_id,
     "op3_fuzzy_fingerprint": op3_fuzzy_fingerprint,
