@@ -5,11 +5,13 @@ from __future__ import annotations
 from .byte_bpe import op9_byte_bpe
 from .fuzzy_hash import op3_fuzzy_fingerprint
 from .language_id import op4_language_id
+from .line_dedup import OP2_SQL, op2_line_dedup
 from .packing import op5_best_fit_packing
 from .quality import op6_quality
 from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
     "op1_toxicity": op1_toxicity,
     "op6_quality": op6_quality,
     "op4_language_id": op4_language_id,
@@ -17,4 +19,4 @@ QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op9_byte_bpe": op9_byte_bpe,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL}
