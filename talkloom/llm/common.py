@@ -13,10 +13,19 @@ MUL = 0x9E3779B97F4A7C15
 _U = np.uint64
 
 
+#: Rows of one Arrow batch to a Python worker; whole texts of some 100 kB make more than this large.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a temporary one only where none is set (local tests)."""
     sc = spark.sparkContext
@@ -50,7 +59,7 @@ def pack_batches(batches, size: int):
             yield pdf.iloc[i : i + size]
 
 
-def by_bytes(texts, limit: int = 4 << 20):
+def by_bytes(texts, limit: int = 1 << 20):
     """Index ranges (i, j) of texts whose summed length stays near `limit`."""
     i, total = 0, 0
     for j, t in enumerate(texts):
