@@ -6,11 +6,13 @@ from .byte_bpe import op9_byte_bpe
 from .fuzzy_hash import op3_fuzzy_fingerprint
 from .language_id import op4_language_id
 from .line_dedup import OP2_SQL, op2_line_dedup
+from .nn_descent import op10_nn_descent
 from .packing import op5_best_fit_packing
 from .quality import op6_quality
 from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op10_nn_descent": op10_nn_descent,
     "op2_line_dedup": op2_line_dedup,
     "op1_toxicity": op1_toxicity,
     "op6_quality": op6_quality,
