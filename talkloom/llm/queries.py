@@ -9,9 +9,11 @@ from .line_dedup import OP2_SQL, op2_line_dedup
 from .nn_descent import op10_nn_descent
 from .packing import op5_best_fit_packing
 from .quality import op6_quality
+from .suffix_dedup import op8_suffix_dedup
 from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op10_nn_descent": op10_nn_descent,
     "op2_line_dedup": op2_line_dedup,
     "op1_toxicity": op1_toxicity,
