@@ -5,6 +5,7 @@ from __future__ import annotations
 from .byte_bpe import op9_byte_bpe
 from .fuzzy_hash import op3_fuzzy_fingerprint
 from .language_id import op4_language_id
+from .jaccard_join import op7_jaccard_join
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .nn_descent import op10_nn_descent
 from .packing import op5_best_fit_packing
@@ -13,6 +14,7 @@ from .suffix_dedup import op8_suffix_dedup
 from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op10_nn_descent": op10_nn_descent,
     "op2_line_dedup": op2_line_dedup,
