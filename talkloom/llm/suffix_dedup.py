@@ -360,6 +360,19 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", hot:
     return both.mapInArrow(run, schema)
 
 
+def as_text(df: DataFrame, kept: str = "kept", text: str = "text") -> DataFrame:
+    """Adds `text`, the kept bytes as a string; bytes of characters that a cut has split are left out."""
+    schema = df.select(*[c for c in df.columns if c not in (kept, text)], F.lit("").alias(text)).schema
+
+    def run(batches):
+        for batch in batches:
+            strings = [None if b is None else b.decode("utf-8", "ignore") for b in batch.column(kept).to_pylist()]
+            rest = [c for c in schema.names if c != text]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(strings, pa.string())], schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     left = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
