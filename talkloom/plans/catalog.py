@@ -2,5 +2,447 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import extract, text
+from ..functions.lexicons import TEST
+from ..operators import entities as ent
+from ..operators import intervals, rank, report, transcript, vectors
+from ..sources import sessions as src
+from .tables import participants, read, samples, turns
+
+PLAIN = rank.RankSettings(pack=TEST)
+FIXED = rank.RankSettings(pack=TEST, tolerance=0.0, max_iterations=20)
+SUMMARY = report.SummarySettings(pack=TEST, rank=PLAIN)
+STOPS = ", ".join(f"'{w}'" for w in TEST.stop_words)
+
+
+def _segmenter(c):
+    return text.split_sentences(c, TEST)
+
+
+def _conversations(spark, sf_dir):
+    return read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("sent_idx"), F.col("text").alias("sentence"))
+
+
+# -- text ---------------------------------------------------------------------------------------------
+
+
+def sentences(spark, sf_dir):
+    return text.sentences(read(spark, sf_dir, "documents"), segmenter=_segmenter)
+
+
+def sentence_stats(spark, sf_dir):
+    s = text.sentences(read(spark, sf_dir, "documents"), segmenter=_segmenter)
+    n = text.word_count(F.col("sentence"))
+    return s.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.count_if(n >= 8).alias("n_long"), F.sum(n).cast("long").alias("n_words"), F.max(F.length("sentence")).cast("long").alias("longest"))
+
+
+SENTENCES = r"""
+WITH a AS (SELECT doc_id, replace(replace(text, chr(1), ''), chr(2), '') AS t FROM documents),
+b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '([\p{L}\p{Nd}])\.([\p{L}\p{Nd}])', '\1' || chr(2) || '\2', 'g'), '([\p{L}\p{Nd}])\.([\p{L}\p{Nd}])', '\1' || chr(2) || '\2', 'g') AS t FROM a),
+c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(^|[^\p{L}\p{Nd}.\-\x02])(\p{Lu})\.( \p{Lu})', '\1\2' || chr(2) || '\3', 'g'), '(^|[^\p{L}\p{Nd}.\-\x02])(\p{Lu})\.( \p{Lu})', '\1\2' || chr(2) || '\3', 'g') AS t FROM b),
+d AS (SELECT doc_id, replace(regexp_replace(t, '([.!?…]+)([»")\]”’]*(?:[\p{Lu}«(\[]|[\s\p{Z}]+[\p{Lu}\p{Nd}«"(\[—-]))', '\1' || chr(1) || '\2', 'g'), chr(2), '.') AS t FROM c),
+e AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(1)), lambda s: regexp_replace(s, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), lambda s: s <> '') AS l FROM d),
+sents AS (SELECT doc_id, unnest(l) AS sentence, generate_subscripts(l, 1) - 1 AS sent_idx FROM e)
+"""
+
+
+def doc_words(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    return d.select("doc_id", text.word_count(F.col("text")).cast("long").alias("n_words"), F.length("text").cast("long").alias("n_chars"))
+
+
+def top_words(spark, sf_dir):
+    return text.top_words(read(spark, sf_dir, "documents"), "source", pack=TEST).select("source", "word", "n", F.col("rank").cast("long").alias("rank"))
+
+
+def token_shapes(spark, sf_dir):
+    shaped = text.token_shapes(_conversations(spark, sf_dir), ["doc_id", "sent_idx"], "sentence")
+    return shaped.groupBy("doc_id", "shape").agg(F.count("*").alias("n"))
+
+
+SHAPE = r"""CASE WHEN regexp_full_match(token, '\p{Nd}+') THEN 'NUM'
+ WHEN length(token) = 1 AND NOT regexp_matches(token, '[\p{L}\p{Nd}]') THEN 'PUNCT_' || token
+ WHEN cyr = 0 AND lat = 0 THEN 'OTHER'
+ WHEN regexp_full_match(letters, '\p{Lu}+') THEN lang || CASE WHEN length(letters) > 1 THEN 'XX' ELSE 'X' END
+ WHEN regexp_full_match(letters, '\p{Ll}+') THEN lang || CASE WHEN length(letters) > 1 THEN 'xx' ELSE 'x' END
+ WHEN regexp_full_match(letters, '\p{Lu}\p{Ll}+') THEN lang || 'Xx' ELSE lang || 'OTHER' END"""
+SHAPED = rf"""
+WITH tk AS (SELECT conv_id AS doc_id, turn AS sent_idx, regexp_extract_all(text, '[\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}]+|[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}\s\p{{Z}}]') AS l FROM conversations),
+t AS (SELECT doc_id, sent_idx, unnest(l) AS token, generate_subscripts(l, 1) - 1 AS tok_idx FROM tk),
+u AS (SELECT *, regexp_replace(token, '\P{{L}}', '', 'g') AS letters, length(regexp_replace(token, '[^Ѐ-ӿ]', '', 'g')) AS cyr, length(regexp_replace(token, '[^A-Za-z]', '', 'g')) AS lat FROM t),
+v AS (SELECT *, CASE WHEN cyr >= lat THEN 'RU_' ELSE 'EN_' END AS lang FROM u),
+shaped AS (SELECT *, {SHAPE} AS shape FROM v)
+"""
+
+# -- ranking ------------------------------------------------------------------------------------------
+
+
+def tfidf_terms(spark, sf_dir):
+    w = rank.tf_idf(_conversations(spark, sf_dir), s=PLAIN)
+    return w.select("doc_id", "sent_idx", "term", F.round("w", 6).alias("w"))
+
+
+WEIGHTS = rf"""
+WITH RECURSIVE tk AS (SELECT conv_id AS doc_id, turn AS sent_idx, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{Nd}}-]+')) AS term FROM conversations),
+tf AS (SELECT doc_id, sent_idx, term, count(*) AS tf FROM tk WHERE length(term) >= 3 AND term NOT IN ({STOPS}) GROUP BY ALL),
+df AS (SELECT doc_id, term, count(*) AS df FROM tf GROUP BY ALL),
+nn AS (SELECT conv_id AS doc_id, count(*) AS n FROM conversations GROUP BY ALL),
+raw AS (SELECT tf.doc_id, sent_idx, term, tf * (ln((1 + n)::DOUBLE / (1 + df)) + 1) AS r FROM tf JOIN df USING (doc_id, term) JOIN nn USING (doc_id)
+        WHERE df >= 2 AND df <= greatest(floor(0.85 * n), 2)),
+ws AS (SELECT doc_id, sent_idx, term, r / sqrt(sum(r * r) OVER (PARTITION BY doc_id, sent_idx)) AS w FROM raw),
+up AS (SELECT a.doc_id, a.sent_idx AS src, b.sent_idx AS dst, sum(a.w * b.w) AS w FROM ws a JOIN ws b ON a.doc_id = b.doc_id AND a.term = b.term AND a.sent_idx < b.sent_idx GROUP BY ALL HAVING sum(a.w * b.w) >= 0.10),
+edges AS (SELECT * FROM up UNION ALL SELECT doc_id, dst, src, w FROM up)
+"""
+RANKED = WEIGHTS + """,
+sh AS (SELECT doc_id, src, dst, w / sum(w) OVER (PARTITION BY doc_id, src) AS share FROM edges),
+pr AS (
+  SELECT c.conv_id AS doc_id, c.turn AS sent_idx, nn.n AS n, 1.0::DOUBLE / nn.n AS score, 0 AS step FROM conversations c JOIN nn ON nn.doc_id = c.conv_id
+  UNION ALL
+  SELECT p.doc_id, p.sent_idx, p.n, 0.15 / p.n + 0.85 * coalesce((SELECT sum(sh.share * q.score) FROM sh JOIN pr q ON q.doc_id = sh.doc_id AND q.sent_idx = sh.src WHERE sh.doc_id = p.doc_id AND sh.dst = p.sent_idx), 0), p.step + 1
+  FROM pr p WHERE p.step < 20),
+base AS (SELECT p.doc_id, p.sent_idx, CASE WHEN p.n = 1 THEN 1.0 ELSE p.score END AS base, p.n, c.text AS sentence, len(string_split_regex(c.text, '\\s+')) AS wc
+         FROM pr p JOIN conversations c ON c.conv_id = p.doc_id AND c.turn = p.sent_idx WHERE p.step = 20),
+bo AS (SELECT *, CASE WHEN n = 1 THEN base ELSE base * (CASE WHEN regexp_matches(sentence, '[0-9]') THEN 1.3 ELSE 1.0 END) * (CASE WHEN wc BETWEEN 15 AND 60 THEN 1.2 WHEN wc < 10 THEN 0.5 ELSE 1.0 END) END AS boosted FROM base)
+"""
+# A recursive term may not aggregate over itself in a correlated query, so the step joins an aggregate.
+RANKED = RANKED.replace(
+    """  SELECT p.doc_id, p.sent_idx, p.n, 0.15 / p.n + 0.85 * coalesce((SELECT sum(sh.share * q.score) FROM sh JOIN pr q ON q.doc_id = sh.doc_id AND q.sent_idx = sh.src WHERE sh.doc_id = p.doc_id AND sh.dst = p.sent_idx), 0), p.step + 1
+  FROM pr p WHERE p.step < 20),""",
+    """  SELECT doc_id, sent_idx, n, 0.15 / n + 0.85 * coalesce(got, 0), step + 1 FROM (
+    SELECT p.doc_id, p.sent_idx, any_value(p.n) AS n, any_value(p.step) AS step, sum(sh.share * q.score) AS got
+    FROM pr p LEFT JOIN sh ON sh.doc_id = p.doc_id AND sh.dst = p.sent_idx LEFT JOIN pr q ON q.doc_id = sh.doc_id AND q.sent_idx = sh.src
+    WHERE p.step < 20 GROUP BY p.doc_id, p.sent_idx)),""")
+
+
+def similarity_edges(spark, sf_dir):
+    e = rank.similarity(rank.tf_idf(_conversations(spark, sf_dir), s=PLAIN))
+    return e.select("doc_id", "src", "dst", F.round("w", 6).alias("w"))
+
+
+def lexrank_scores(spark, sf_dir):
+    scored = rank.lex_rank(_conversations(spark, sf_dir), s=FIXED)
+    return scored.select("doc_id", "sent_idx", F.round("base", 6).alias("base"), F.round("boosted", 6).alias("boosted"))
+
+
+def key_quotes(spark, sf_dir):
+    """Scores are rounded before they are ranked, so that ties are the same in any order of sums."""
+    scored = rank.lex_rank(_conversations(spark, sf_dir), s=FIXED).withColumn("boosted", F.round("boosted", 6))
+    return rank.top_k(scored, 5).select("doc_id", "sent_idx", "sentence", "boosted", F.col("rank").cast("long").alias("rank"))
+
+
+def key_fragments(spark, sf_dir):
+    scored = rank.lex_rank(_conversations(spark, sf_dir), s=FIXED).withColumn("boosted", F.round("boosted", 6))
+    return rank.top_k_in_order(scored, 15).select("doc_id", "sent_idx", "sentence", F.col("place").cast("long").alias("place"))
+
+
+def document_quotes(spark, sf_dir):
+    """The five best sentences of every document, from its text."""
+    s = text.long_sentences(text.sentences(read(spark, sf_dir, "documents"), segmenter=_segmenter))
+    return rank.top_k(rank.lex_rank(s, s=PLAIN), 5).select("doc_id", "sent_idx", "sentence", "base", "boosted", "rank")
+
+
+# -- extraction ---------------------------------------------------------------------------------------
+
+
+def risk_sentences(spark, sf_dir):
+    r = extract.risks(_conversations(spark, sf_dir), pack=TEST, least=5, most=80, limit=12)
+    return r.select("doc_id", "position", "sentence", F.array_join("triggers", "|").alias("triggers"), F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def amounts(spark, sf_dir):
+    """Amounts alone, as matches per document in order."""
+    d = read(spark, sf_dir, "documents")
+    found = d.select("doc_id", F.posexplode(extract.hits(F.col("text"), TEST.amount, "AMOUNT")).alias("i", "h"))
+    return found.select("doc_id", F.col("i").cast("long").alias("i"), F.trim("h.match").alias("match"))
+
+
+def numbers_in_context(spark, sf_dir):
+    return extract.numbers(read(spark, sf_dir, "documents"), pack=TEST, limit=30)
+
+
+# -- transcripts --------------------------------------------------------------------------------------
+
+TURNS = r"""
+WITH w AS (SELECT conv_id AS session_id, turn AS seg_idx, ((turn // 2) % 2)::INT AS speaker_id, role, text, len(list_filter(string_split_regex(trim(text), '\s+'), lambda x: x <> '')) * 400 AS d, turn % 3 * 1500 AS gap FROM conversations),
+seg AS (SELECT *, sum(d + gap) OVER (PARTITION BY session_id ORDER BY seg_idx) AS end_ms, sum(d + gap) OVER (PARTITION BY session_id ORDER BY seg_idx) - d AS start_ms FROM w)
+"""
+WORDS = TURNS + r""",
+wl AS (SELECT *, list_filter(string_split_regex(trim(text), '\s+'), lambda x: x <> '') AS l FROM seg),
+wx AS (SELECT session_id, seg_idx, speaker_id, start_ms, end_ms, greatest(len(l), 1) AS n, unnest(l) AS word, generate_subscripts(l, 1) - 1 AS word_idx FROM wl),
+ww AS (SELECT *, (end_ms - start_ms) // n AS per, (CASE WHEN length(word) >= 5 THEN 0.92 WHEN length(word) >= 3 THEN 0.78 WHEN length(word) >= 2 THEN 0.65 ELSE 0.45 END)::FLOAT AS confidence FROM wx),
+wv AS (SELECT *, CASE WHEN confidence >= 0.85::FLOAT THEN 'HIGH' WHEN confidence >= 0.65::FLOAT THEN 'MEDIUM' ELSE 'LOW' END AS level FROM ww)
+"""
+
+
+def _words(spark, sf_dir):
+    return transcript.even_words(turns(spark, sf_dir), ["session_id", "seg_idx"])
+
+
+def turn_words(spark, sf_dir):
+    w = _words(spark, sf_dir)
+    return w.select("session_id", "seg_idx", F.col("word_idx").cast("long").alias("word_idx"), "text", F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"))
+
+
+def word_confidence(spark, sf_dir):
+    w = _words(spark, sf_dir).withColumn("level", transcript.confidence_level(F.col("confidence")))
+    return w.groupBy("session_id", "level").agg(F.count("*").alias("n"))
+
+
+def turn_stats(spark, sf_dir):
+    s = transcript.segment_confidence(_words(spark, sf_dir), turns(spark, sf_dir), ["session_id", "seg_idx"])
+    return s.select("session_id", "seg_idx", F.round("min_confidence", 4).alias("min_confidence"), F.round("avg_confidence", 4).alias("avg_confidence"))
+
+
+def transcript_stats(spark, sf_dir):
+    s = transcript.transcript_stats(_words(spark, sf_dir), turns(spark, sf_dir))
+    return s.select("session_id", "n_segments", "n_speakers", F.array_join("speakers", ",").alias("speakers"), "n_words", "n_low", "n_medium")
+
+
+def merged_turns(spark, sf_dir):
+    m = transcript.merged_turns(turns(spark, sf_dir))
+    return m.select("session_id", F.col("turn").cast("long").alias("turn"), "speaker_id", "start_ms", "end_ms", F.col("n_segments").cast("long").alias("n_segments"), "text")
+
+
+MERGED = TURNS + """,
+mk AS (SELECT *, CASE WHEN speaker_id = lag(speaker_id) OVER x AND start_ms - lag(end_ms) OVER x BETWEEN 0 AND 2000 THEN 0 ELSE 1 END AS fresh FROM seg WINDOW x AS (PARTITION BY session_id ORDER BY seg_idx)),
+rn AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY seg_idx) - 1 AS run FROM mk),
+mg AS (SELECT session_id, run, min(speaker_id) AS speaker_id, arg_min(start_ms, seg_idx) AS start_ms, arg_max(end_ms, seg_idx) AS end_ms, count(*) AS n_segments, string_agg(text, ' ' ORDER BY seg_idx) AS text FROM rn GROUP BY ALL),
+names AS (SELECT conv_id AS session_id, arg_min(role, turn) AS name FROM conversations GROUP BY ALL)
+"""
+
+
+def speaker_labels(spark, sf_dir):
+    s = transcript.speaker_labels(turns(spark, sf_dir), participants(spark, sf_dir), prefix="Speaker ")
+    return s.select("session_id", "seg_idx", "speaker")
+
+
+def stitched_chunks(spark, sf_dir):
+    t = turns(spark, sf_dir).withColumn("chunk_idx", F.expr("seg_idx div 4"))
+    chunks = t.select("session_id", "chunk_idx").distinct().withColumn("chunk_start_ms", (F.col("chunk_idx") * 1_800_000).cast("long"))
+    return transcript.stitched_chunks(t, chunks).drop("chunk_idx")
+
+
+def protocol_table(spark, sf_dir):
+    p = transcript.speaker_labels(transcript.merged_turns(turns(spark, sf_dir)), participants(spark, sf_dir), prefix="Speaker ")
+    from ..functions.formats import clock
+
+    return p.select("session_id", F.col("turn").cast("long").alias("turn"), clock(F.col("start_ms")).alias("time"), "speaker", F.col("text").alias("utterance"))
+
+
+def plain_documents(spark, sf_dir):
+    return transcript.plain_documents(turns(spark, sf_dir))
+
+
+# -- entities -----------------------------------------------------------------------------------------
+
+
+def _entities(spark, sf_dir):
+    c = _conversations(spark, sf_dir)
+    tagged = ent.shape_run_tagger(ent.tokens_of(c, ["doc_id", "sent_idx"]), ["doc_id", "sent_idx"])
+    return ent.entity_counts(ent.spans(tagged, ["doc_id", "sent_idx"]), pack=TEST)
+
+
+def entity_counts(spark, sf_dir):
+    return _entities(spark, sf_dir).select("doc_id", "type", "text", "count", F.col("rank").cast("long").alias("rank"))
+
+
+ENTITIES = SHAPED + """,
+nm AS (SELECT *, tok_idx > 0 AND shape IN ('EN_Xx', 'RU_Xx') AS cap FROM shaped),
+ln AS (SELECT *, CASE WHEN cap AND coalesce(lag(cap) OVER (PARTITION BY doc_id, sent_idx ORDER BY tok_idx), false) THEN 0 ELSE 1 END AS fresh FROM nm),
+rr AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, sent_idx ORDER BY tok_idx) AS run FROM ln),
+sp AS (SELECT doc_id, sent_idx, run, string_agg(token, ' ' ORDER BY tok_idx) AS text FROM rr WHERE cap GROUP BY ALL),
+kp AS (SELECT *, lower(text) AS t FROM sp),
+ct AS (SELECT doc_id, 'PER' AS type, text, count(*) AS n FROM kp
+       WHERE NOT (length(t) <= 2 OR t IN ('the', 'and') OR regexp_full_match(t, '[aeiouy]+(-[aeiouy]+)*') OR (NOT contains(t, ' ') AND length(t) < 4)) GROUP BY ALL)
+"""
+
+
+def entity_totals(spark, sf_dir):
+    return ent.entity_totals(_entities(spark, sf_dir))
+
+
+# -- reports ------------------------------------------------------------------------------------------
+
+
+def _summaries(spark, sf_dir):
+    tagger = lambda t: ent.shape_run_tagger(t, ["doc_id", "sent_idx"])
+    return report.summaries(read(spark, sf_dir, "documents"), s=SUMMARY, tagger=tagger)
+
+
+def doc_summary(spark, sf_dir):
+    return _summaries(spark, sf_dir)
+
+
+def summary_markdown(spark, sf_dir):
+    return report.markdown(_summaries(spark, sf_dir))
+
+
+def summary_text(spark, sf_dir):
+    return report.plain_text(_summaries(spark, sf_dir))
+
+
+def prompt_table(spark, sf_dir):
+    return report.prompts(_summaries(spark, sf_dir))
+
+
+# -- time series --------------------------------------------------------------------------------------
+
+
+def rms_level(spark, sf_dir):
+    out = intervals.rms_level(samples(spark, sf_dir), "key", "1 day", clip=False)
+    return out.select("key", F.date_format("start", "yyyy-MM-dd").alias("day"), F.round("level", 4).alias("level"))
+
+
+def resampled(spark, sf_dir):
+    out = intervals.resampled(samples(spark, sf_dir), "key", "21600 seconds")
+    return out.select("key", F.unix_millis("ts").alias("ts_ms"), F.round("value", 4).alias("value"))
+
+
+def _runs(spark, sf_dir):
+    e = samples(spark, sf_dir).select("key", (F.unix_millis("ts") / 1000.0).alias("start_s"))
+    return e.withColumn("end_s", F.col("start_s") + 60.0)
+
+
+def activity_runs(spark, sf_dir):
+    out = intervals.merged_intervals(_runs(spark, sf_dir), ["key"], pause=3600.0, least=90.0)
+    return out.select("key", F.round("start_s", 3).alias("start_s"), F.round("end_s", 3).alias("end_s"), "n")
+
+
+def _spans(spark, sf_dir):
+    e = samples(spark, sf_dir).groupBy("key").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    return e.select("key", F.expr("(unix_millis(b) - unix_millis(a)) div 1000").alias("duration_ms"))
+
+
+def fixed_chunks(spark, sf_dir):
+    return intervals.fixed_chunks(_spans(spark, sf_dir), ["key"], 600_000)
+
+
+def overlap_chunks(spark, sf_dir):
+    return intervals.overlapping_chunks(_spans(spark, sf_dir), ["key"], 600_000, 20_000)
+
+
+def downmixed(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("user_id", "event_type", (F.col("value") * 1000).cast("long").alias("value"))
+    return intervals.downmixed(e, ["user_id", "event_type"]).select("user_id", "event_type", F.col("value").cast("long").alias("value"))
+
+
+# -- sessions, files, vectors -------------------------------------------------------------------------
+
+
+def _sessions(spark, sf_dir) -> DataFrame:
+    """conversations as session records."""
+    w = _words(spark, sf_dir).select("session_id", "seg_idx", F.struct("word_idx", F.struct(F.col("text"), F.col("start_ms").cast("long").alias("startMs"), F.col("end_ms").cast("long").alias("endMs"), "confidence").alias("w")).alias("x"))
+    words = w.groupBy("session_id", "seg_idx").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["w"]).alias("words"))
+    t = turns(spark, sf_dir).join(words, ["session_id", "seg_idx"], "left")
+    empty = F.expr(f"cast(array() AS array<{src.WORD}>)")
+    s = t.select("session_id", F.struct("seg_idx", F.struct(F.col("speaker_id").alias("speakerId"), F.col("start_ms").alias("startMs"), F.col("end_ms").alias("endMs"), F.coalesce("words", empty).alias("words")).alias("s")).alias("x"), "end_ms")
+    g = s.groupBy("session_id").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["s"]).alias("segments"), F.max("end_ms").alias("end_ms"))
+    none = F.lit(None).cast("string")
+    return g.select(
+        F.concat(F.lit("c"), F.col("session_id").cast("string")).alias("id"), (F.col("session_id") * 1000).alias("createdAt"), F.lit("a.wav").alias("audioFileName"),
+        F.struct(F.concat(F.lit("Conversation "), F.col("session_id").cast("string")).alias("title"), none.alias("location"), none.alias("auditorName"), F.lit(None).cast("long").alias("date"), none.alias("notes")).alias("metadata"),
+        F.create_map(F.lit("0"), F.lit("user")).alias("participants"),
+        F.struct(F.col("end_ms").alias("totalDurationMs"), F.lit(0).cast("long").alias("recordedAt"), none.alias("sourceWavPath"), F.lit(2).alias("numSpeakers"), F.col("segments")).alias("transcript"))
+
+
+def session_history(spark, sf_dir):
+    """Sessions as JSON text and back through the reader's schema, then listed."""
+    made = _sessions(spark, sf_dir).select(F.to_json(F.struct("*")).alias("j"))
+    raw = made.select(F.from_json("j", src.SESSION).alias("s")).select("s.*")
+    return src.history(src.valid(raw)).select("id", "title", "n_segments", "n_words", "duration_ms").withColumnRenamed("duration_ms", "total_ms")
+
+
+def session_words(spark, sf_dir):
+    """Sessions exploded to words again."""
+    return transcript.words_of(transcript.segments_of(_sessions(spark, sf_dir))).groupBy("session_id").agg(F.count("*").alias("n_words"), F.min("start_ms").alias("first_ms"), F.max("end_ms").alias("last_ms"))
+
+
+def file_manifest(spark, sf_dir):
+    return src.file_manifest(src.files(spark, sf_dir, "*.parquet"))
+
+
+CODEBOOK = [(s, c, [((s * 7 + c * 3 + i) % 5 - 2) / 4.0 for i in range(4)]) for s in range(16) for c in range(8)]
+
+
+def pq_vectors(spark, sf_dir):
+    """Embeddings as codes of a small codebook, and decoded."""
+    book = spark.createDataFrame(CODEBOOK, "sub int, code int, chunk array<double>")
+    e = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    codes = vectors.encoded(e, book, "vec_id", "v", 4)
+    out = vectors.decoded(codes, book, "vec_id").join(codes, "vec_id")
+    total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)
+    return out.select("vec_id", F.array_join(F.transform("codes", lambda c: c.cast("string")), ",").alias("codes"), F.round(total, 4).alias("total"))
+
+
+QUERIES = {f.__name__: f for f in (
+    sentences, sentence_stats, doc_words, top_words, token_shapes, tfidf_terms, similarity_edges, lexrank_scores, key_quotes, key_fragments, document_quotes,
+    risk_sentences, amounts, numbers_in_context, turn_words, word_confidence, turn_stats, transcript_stats, merged_turns, speaker_labels, stitched_chunks, protocol_table, plain_documents,
+    entity_counts, entity_totals, doc_summary, summary_markdown, summary_text, prompt_table, rms_level, resampled, activity_runs, fixed_chunks, overlap_chunks, downmixed,
+    session_history, session_words, file_manifest, pq_vectors)}
+
+SPAN = "WITH s AS (SELECT user_id AS key, (epoch_ms(max(ts)) - epoch_ms(min(ts))) // 1000 AS d FROM events GROUP BY ALL)"
+ORACLES: dict[str, str] = {
+    "sentences": SENTENCES + "SELECT doc_id, sent_idx, sentence FROM sents",
+    "sentence_stats": SENTENCES + r""", n AS (SELECT *, len(string_split_regex(sentence, '\s+')) AS wc FROM sents)
+SELECT doc_id, count(*) AS n_sentences, count(*) FILTER (wc >= 8) AS n_long, sum(wc)::BIGINT AS n_words, max(length(sentence)) AS longest FROM n GROUP BY ALL""",
+    "doc_words": r"SELECT doc_id, len(string_split_regex(text, '\s+')) AS n_words, length(text) AS n_chars FROM documents",
+    "top_words": rf"""WITH t AS (SELECT source, unnest(regexp_extract_all(lower(text), '[\p{{L}}-]+')) AS word FROM documents),
+c AS (SELECT source, word, count(*) AS n FROM t WHERE length(word) >= 4 AND word NOT IN ({STOPS}) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, word) AS rank FROM c) SELECT * FROM r WHERE rank <= 12""",
+    "token_shapes": SHAPED + "SELECT doc_id, shape, count(*) AS n FROM shaped GROUP BY ALL",
+    "tfidf_terms": WEIGHTS + "SELECT doc_id, sent_idx, term, round(w, 6) AS w FROM ws",
+    "similarity_edges": WEIGHTS + "SELECT doc_id, src, dst, round(w, 6) AS w FROM edges",
+    "lexrank_scores": RANKED + "SELECT doc_id, sent_idx, round(base, 6) AS base, round(boosted, 6) AS boosted FROM bo",
+    "key_quotes": RANKED + """, q AS (SELECT doc_id, sent_idx, sentence, round(boosted, 6) AS boosted FROM bo),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY boosted DESC, sent_idx) AS rank FROM q) SELECT * FROM r WHERE rank <= 5""",
+    "key_fragments": RANKED + """, q AS (SELECT doc_id, sent_idx, sentence, round(boosted, 6) AS boosted FROM bo),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY boosted DESC, sent_idx) AS rank FROM q)
+SELECT doc_id, sent_idx, sentence, row_number() OVER (PARTITION BY doc_id ORDER BY sent_idx) AS place FROM r WHERE rank <= 15""",
+    "risk_sentences": rf"""WITH t AS (SELECT conv_id AS doc_id, turn AS position, text AS sentence, list_filter([{', '.join(f"'{w}'" for w in TEST.triggers)}], lambda x: contains(lower(text), x)) AS l,
+  len(string_split_regex(text, '\s+')) AS wc FROM conversations),
+r AS (SELECT doc_id, position, sentence, array_to_string(l, '|') AS triggers, len(l) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY len(l) DESC, position) AS rank FROM t WHERE wc BETWEEN 5 AND 80 AND len(l) > 0)
+SELECT * FROM r WHERE rank <= 12""",
+    "amounts": rf"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '(?i){TEST.amount}') AS l FROM documents)
+SELECT doc_id, unnest(l).trim() AS match, generate_subscripts(l, 1) - 1 AS i FROM t""",
+    "turn_words": WORDS + "SELECT session_id, seg_idx, word_idx, word AS text, (start_ms + word_idx * per)::BIGINT AS start_ms, (start_ms + word_idx * per + per)::BIGINT AS end_ms FROM wv",
+    "word_confidence": WORDS + "SELECT session_id, level, count(*) AS n FROM wv GROUP BY ALL",
+    "turn_stats": WORDS + """, a AS (SELECT session_id, seg_idx, min(confidence)::DOUBLE AS x, avg(confidence::DOUBLE) AS y FROM wv GROUP BY ALL)
+SELECT seg.session_id, seg.seg_idx, round(coalesce(x, 1.0), 4) AS min_confidence, round(coalesce(y, 1.0), 4) AS avg_confidence FROM seg LEFT JOIN a USING (session_id, seg_idx)""",
+    "transcript_stats": WORDS + """, a AS (SELECT session_id, count(*) AS n_words, count(*) FILTER (level = 'LOW') AS n_low, count(*) FILTER (level = 'MEDIUM') AS n_medium FROM wv GROUP BY ALL),
+b AS (SELECT session_id, count(*) AS n_segments, count(DISTINCT speaker_id) AS n_speakers, array_to_string(list_sort(list(DISTINCT speaker_id)), ',') AS speakers FROM seg GROUP BY ALL)
+SELECT b.*, coalesce(n_words, 0) AS n_words, coalesce(n_low, 0) AS n_low, coalesce(n_medium, 0) AS n_medium FROM b LEFT JOIN a USING (session_id)""",
+    "merged_turns": MERGED + "SELECT session_id, run::BIGINT AS turn, speaker_id, start_ms::BIGINT AS start_ms, end_ms::BIGINT AS end_ms, n_segments, text FROM mg",
+    "speaker_labels": MERGED + "SELECT session_id, seg_idx, CASE WHEN speaker_id = 0 THEN name ELSE 'Speaker ' || (speaker_id + 1) END AS speaker FROM seg JOIN names USING (session_id)",
+    "protocol_table": MERGED + """SELECT session_id, run::BIGINT AS turn, printf('%02d:%02d:%02d', (start_ms // 3600000)::BIGINT, (start_ms // 60000 % 60)::BIGINT, (start_ms // 1000 % 60)::BIGINT) AS time,
+CASE WHEN speaker_id = 0 THEN name ELSE 'Speaker ' || (speaker_id + 1) END AS speaker, text AS utterance FROM mg JOIN names USING (session_id)""",
+    "stitched_chunks": TURNS + """, c AS (SELECT *, seg_idx // 4 AS chunk FROM seg), k AS (SELECT session_id, chunk, count(DISTINCT speaker_id) AS k FROM c GROUP BY ALL),
+s AS (SELECT *, coalesce(sum(k) OVER (PARTITION BY session_id ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift FROM k)
+SELECT session_id, seg_idx, (speaker_id + shift)::BIGINT AS speaker_id, (start_ms + chunk * 1800000)::BIGINT AS start_ms, (end_ms + chunk * 1800000)::BIGINT AS end_ms FROM c JOIN s USING (session_id, chunk)""",
+    "plain_documents": "SELECT conv_id AS session_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY ALL",
+    "entity_counts": ENTITIES + "SELECT doc_id, type, text, n AS count, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, text) AS rank FROM ct",
+    "entity_totals": ENTITIES + "SELECT doc_id, type, count(*) AS distinct_entities, sum(n)::BIGINT AS mentions FROM ct GROUP BY ALL",
+    "rms_level": "SELECT user_id AS key, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, round(sqrt(avg(value * value)), 4) AS level FROM events GROUP BY ALL",
+    "activity_runs": """WITH e AS (SELECT user_id AS key, epoch_ms(ts) / 1000.0 AS a, epoch_ms(ts) / 1000.0 + 60 AS b FROM events),
+m AS (SELECT *, CASE WHEN a - max(b) OVER (PARTITION BY key ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 3600 THEN 0 ELSE 1 END AS fresh FROM e),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY key ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS run FROM m)
+SELECT key, round(min(a), 3) AS start_s, round(max(b), 3) AS end_s, count(*) AS n FROM r GROUP BY key, run HAVING max(b) - min(a) >= 90""",
+    "fixed_chunks": SPAN + ", c AS (SELECT key, d, unnest(generate_series(0, ceil(d / 600000.0)::BIGINT - 1)) AS i FROM s WHERE d > 0) SELECT key, i AS chunk_idx, i * 600000 AS start_ms, least(i * 600000 + 600000, d) AS end_ms FROM c",
+    "overlap_chunks": SPAN + ", c AS (SELECT key, d, unnest(generate_series(0, greatest(ceil((d - 600000) / 580000.0), 0)::BIGINT)) AS i FROM s WHERE d > 0) SELECT key, i AS chunk_idx, i * 580000 AS start_ms, least(i * 580000 + 600000, d) AS end_ms FROM c",
+    "downmixed": "SELECT user_id, event_type, greatest(least((sum(trunc(value * 1000)::BIGINT) // count(*))::BIGINT, 32767), -32768)::BIGINT AS value FROM events GROUP BY ALL",
+    "resampled": """WITH e AS (SELECT user_id AS key, epoch_us(ts) AS t, avg(value) AS v FROM events GROUP BY ALL),
+f AS (SELECT *, lead(t) OVER w AS t2, lead(v) OVER w AS v2, min(t) OVER (PARTITION BY key) AS t0 FROM e WINDOW w AS (PARTITION BY key ORDER BY t)),
+g AS (SELECT *, ((t - t0 + 21600000000 - 1) // 21600000000) AS a, CASE WHEN t2 IS NULL THEN ((t - t0 + 21600000000 - 1) // 21600000000) ELSE ((t2 - t0 + 21600000000 - 1) // 21600000000) - 1 END AS b FROM f),
+h AS (SELECT *, unnest(generate_series(a, b)) AS i FROM g WHERE b >= a)
+SELECT key, (t0 + i * 21600000000) // 1000 AS ts_ms, round(coalesce(v + (v2 - v) * ((t0 + i * 21600000000 - t)::DOUBLE / (t2 - t)), v), 4) AS value FROM h""",
+    "session_history": WORDS + """, a AS (SELECT session_id, count(*) AS n_words FROM wv GROUP BY ALL), b AS (SELECT session_id, count(*) AS n_segments, max(end_ms)::BIGINT AS total_ms FROM seg GROUP BY ALL)
+SELECT 'c' || session_id AS id, 'Conversation ' || session_id AS title, n_segments, coalesce(n_words, 0) AS n_words, total_ms FROM b LEFT JOIN a USING (session_id)""",
+    "session_words": WORDS + "SELECT 'c' || session_id AS session_id, count(*) AS n_words, min(start_ms + word_idx * per)::BIGINT AS first_ms, max(start_ms + word_idx * per + per)::BIGINT AS last_ms FROM wv GROUP BY ALL",
+    "pq_vectors": """WITH book AS (SELECT s.range AS sub, c.range AS code, list_transform(range(4), lambda i: ((s.range * 7 + c.range * 3 + i) % 5 - 2) / 4.0) AS chunk FROM range(16) s, range(8) c),
+e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+p AS (SELECT vec_id, sub, code, chunk, list_sum(list_transform(range(4), lambda i: (v[sub * 4 + i + 1] - chunk[i + 1]) * (v[sub * 4 + i + 1] - chunk[i + 1]))) AS d FROM e, book),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id, sub ORDER BY round(d, 12), code) AS k FROM p)
+SELECT vec_id, string_agg(code::VARCHAR, ',' ORDER BY sub) AS codes, round(sum(list_sum(chunk)), 4) AS total FROM r WHERE k = 1 GROUP BY vec_id""",
+}
