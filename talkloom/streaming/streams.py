@@ -24,6 +24,9 @@ def activity_runs(events: DataFrame, key: str, gap: str, late: str, ts: str = "t
     return runs.agg(F.count("*").alias("n"), F.max(ts).alias("end")).select(key, F.col("w.start").alias("start"), "end", "n")
 
 
+LAST = T.StructType([T.StructField("t", T.LongType()), T.StructField("v", T.DoubleType()), T.StructField("next", T.LongType())])
+
+
 class Resampler(StatefulProcessor):
     """Linear resampling of each key's samples to a grid; the last sample and the next grid point are carried
     from batch to batch.  Samples that come before the last one carried are late and are left out."""
@@ -32,7 +35,7 @@ class Resampler(StatefulProcessor):
         self.step = step_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", T.StructType.fromDDL("t bigint, v double, next bigint"))
+        self.last = handle.getValueState("last", LAST)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows)).groupby("t", as_index=False)["v"].mean().sort_values("t")
