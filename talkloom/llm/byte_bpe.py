@@ -245,7 +245,7 @@ def encode_texts(coder: Ranks, texts: list[str]) -> list[bytes]:
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Adds `out` array<int>, the ids of `text`.  The text column is replaced by the ids to save a copy."""
-    keep = [c for c in df.columns if c != text]
+    keep = [c for c in df.columns if c not in (text, out)]
     schema = df.select(*keep, F.lit(None).cast("array<int>").alias(out)).schema
 
     def run(batches):
@@ -265,6 +265,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds `out` binary, the joined bytes of the tokens in `ids`."""
+    df = df.select(*[c for c in df.columns if c != out])
     schema = df.select("*", F.lit(None).cast("binary").alias(out)).schema
 
     def run(batches):
