@@ -174,4 +174,5 @@ def op1_toxicity(spark, sf_dir: str) -> DataFrame:
     n = labels.count()
     some = labels.where(drawn < min(1.0, SAMPLE / max(n, 1)))  # bounded, so the join can broadcast it
     chain = fit(written(docs.join(F.broadcast(some), "doc_id"), "toxicity"), CATEGORIES)
-    return score(docs, chain)
+    found = score(docs, chain)
+    return found.select("doc_id", "is_toxic", F.col("p_toxic").alias("score"), "p_low_quality")
