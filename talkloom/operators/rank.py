@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 
 import numpy as np
@@ -92,6 +93,9 @@ def page_rank(edges: DataFrame, sents: DataFrame, key: str = "doc_id", idx: str
 def page_rank_relational(edges: DataFrame, sents: DataFrame, key: str = "doc_id", idx: str = "sent_idx", s: RankSettings = RankSettings(), every: int = 5) -> DataFrame:
     """The same for graphs too large for one task: each iteration is a join, and documents stop on their own.
     The lineage is cut by checkpoint() every few iterations."""
+    sc = edges.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:  # a temporary folder only where none is set, as in local tests
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
     out_w = Window.partitionBy(key, "src")
     share = edges.select(key, "src", "dst", (F.col("w") / F.sum("w").over(out_w)).alias("share"))
     n = sents.groupBy(key).agg(F.count("*").alias("n"))

@@ -39,7 +39,7 @@ def summaries(docs: DataFrame, key: str = "doc_id", text: str = "text", s: Summa
               tagger: ent.Tagger | None = None) -> DataFrame:
     """One nested row per document; empty sections are empty arrays."""
     cut = segmenter or (lambda c: split_sentences(c, s.pack))
-    every = sentences(docs, key, text, cut)
+    every = sentences(docs, key, text, cut).persist()  # six sections read it; it spills to disk and is rebuilt if lost
     kept = long_sentences(every, s.least_words)
     # positions count the sentences that were kept
     sents = kept.withColumn("sent_idx", F.row_number().over(Window.partitionBy(key).orderBy("sent_idx")) - 1)

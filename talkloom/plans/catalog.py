@@ -140,7 +140,7 @@ def key_fragments(spark, sf_dir):
 
 def document_quotes(spark, sf_dir):
     """The five best sentences of every document, from its text."""
-    s = text.long_sentences(text.sentences(read(spark, sf_dir, "documents"), segmenter=_segmenter))
+    s = text.long_sentences(text.sentences(read(spark, sf_dir, "documents"), segmenter=_segmenter)).persist()
     return rank.top_k(rank.lex_rank(s, s=PLAIN), 5).select("doc_id", "sent_idx", "sentence", "base", "boosted", "rank")
 
 
