@@ -56,7 +56,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, forget=True)
 
 
 STAGES = [

@@ -146,9 +146,11 @@ def pack(df: DataFrame, keys: list[str], length: str = "length", capacity: int =
         todo = packed.where("_open").select(*rest, F.floor(F.col("_group") / FAN).cast("long").alias("_group"))
 
 
-def pieces(df: DataFrame, path: str, capacity: int = 4096, end: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:
+def pieces(df: DataFrame, path: str, capacity: int = 4096, end: int = 1, text: str = "text", key: str = "doc_id",
+           forget: bool = False) -> DataFrame:
     """Ids of each text and the id `end`, cut every `capacity` ids:
-    key, piece, start, length, ids_crc32 and the ids themselves."""
+    key, piece, start, length, ids_crc32 and the ids themselves.  forget: each task frees its memo of words,
+    at some cost in time, so that the worker's memory is free for other steps of the same application."""
     schema = f"{key} {dict(df.dtypes)[key]}, piece int, start long, length long, ids_crc32 long, ids array<int>"
     names = [key, "piece", "start", "length", "ids_crc32", "ids"]
     tail = int(end).to_bytes(4, "little")
@@ -177,6 +179,8 @@ def pieces(df: DataFrame, path: str, capacity: int = 4096, end: int = 1, text: s
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), "<i4")))
                 yield pa.RecordBatch.from_arrays([all_keys.take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                                                   pa.array(sizes, pa.int64()), pa.array(crc, pa.int64()), ids], names)
+        if forget:
+            words.forget()
 
     return df.select(key, text).mapInArrow(run, schema)
 
@@ -185,8 +189,8 @@ def op5_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-def pack_documents(docs: DataFrame) -> DataFrame:
+def pack_documents(docs: DataFrame, forget: bool = False) -> DataFrame:
     import public_tokenizers as P
 
-    cut = written(pieces(docs, P.path("word_bpe_49k.json")).drop("ids"), "pieces")
+    cut = written(pieces(docs, P.path("word_bpe_49k.json"), forget=forget).drop("ids"), "pieces")
     return pack(cut, ["doc_id", "piece", "start"])

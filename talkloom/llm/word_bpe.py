@@ -43,6 +43,10 @@ class WordCoder(PairMerger):
         super().__init__(pairs, np.array([vocab[char[b]] for b in range(256)]), np.array([vocab[char[b] + end] for b in range(256)]))
         self.words, self.pieces = Memo(WORD_ENTRIES), Memo(WORD_ENTRIES)
 
+    def forget(self) -> None:
+        """Frees the memos at the end of a task: the worker process lives on and may do other work."""
+        self.words, self.pieces = Memo(WORD_ENTRIES), Memo(WORD_ENTRIES)
+
     def split(self, word: str) -> list[str]:
         if word.isalpha():
             return [word]
