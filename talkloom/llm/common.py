@@ -30,10 +30,7 @@ def small_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a temporary one only where none is set (local tests)."""
     sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir", None)
-    if path is None:
-        have = sc._jsc.sc().getCheckpointDir()
-        path = have.get() if have.isDefined() else None
+    path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if path is None:
         path = tempfile.mkdtemp(prefix="spark-shared-")
         sc.setCheckpointDir(path)
