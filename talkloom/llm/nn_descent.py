@@ -1,9 +1,11 @@
 """Approximate nearest neighbours: a neighbour graph by NN-descent, and greedy graph search.
 
-Building.  Equal vectors are one node.  Random hyperplanes deal the nodes into blocks of about BLOCK for
-each of TREES trees; neighbours within blocks start the graph.  Then, round by round, each node meets its
-neighbours and a share of those that name it, in one join; all pairs among them are tried, and those that
-beat the worst neighbour of either side go into the next graph.  Rounds end when few edges change.
+Building.  Equal vectors are one node.  Random hyperplanes deal the nodes into blocks of about an eighth of
+them, BLOCK at most, for each of TREES trees; neighbours within blocks start the graph.  Blocks that come
+out too large, as in dense regions, are split by further hyperplanes at their own medians.  Then, round by
+round and at every size, each node meets its neighbours and a share of those that name it, in one join; all
+pairs among them are tried, and those that beat the worst neighbour of either side go into the next graph.
+Rounds end when less than CHANGED of the edges are new; ROUNDS is only a bound against running on for ever.
 Nearness is the inner product: vectors get one more component that makes all norms equal, so that the
 graph stands on distance and the order by inner product is kept.
 
@@ -24,9 +26,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import free, table, written
 
-K, BLOCK, TREES, ROUNDS, REVERSE, SAMPLE, SEED = 32, 2048, 12, 2, 20, 4000, 5
+K, BLOCK, TREES, ROUNDS, CHANGED, REVERSE, SAMPLE, SEED = 32, 2048, 12, 40, 0.01, 20, 4000, 5
 POOL, OPEN, ENTRIES, SEARCH_ROUNDS, QUERY_BLOCK = 128, 32, 32, 7, 20_000
 
 
@@ -73,7 +75,8 @@ def best(found: DataFrame, k: int) -> DataFrame:
 def blocks(vecs: DataFrame, width: int, n: int) -> DataFrame:
     """node, nbr, sim within the blocks of each tree."""
     rng = np.random.default_rng(SEED)
-    levels = max(0, int(np.ceil(np.log2(max(n, 1) / BLOCK))))
+    size = min(BLOCK, max(4 * K, n // 8))
+    levels = max(0, int(np.ceil(np.log2(max(n, 1) / size))))
     some = vecs.where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(n, 1)))).limit(2 * SAMPLE)
     data = matrix([r["vec"] for r in some.collect()] or [bytes(4 * width)], np.float32, width)
     planes = rng.normal(size=(TREES, max(levels, 1), width)).astype(np.float32)
@@ -82,15 +85,14 @@ def blocks(vecs: DataFrame, width: int, n: int) -> DataFrame:
     def deal(batches):
         for pdf in batches:
             x = matrix(pdf["vec"], np.float32, width)
+            half = [r.tobytes() for r in x.astype(np.float16)]
             for t in range(TREES if levels else 1):
                 bits = (x @ planes[t, :levels].T > offsets[t, :levels]) if levels else np.zeros((len(x), 0), bool)
-                half = [r.tobytes() for r in x.astype(np.float16)]
-                yield pd.DataFrame({"tree": t, "code": bits @ (1 << np.arange(levels)), "node": pdf["node"], "half": half})
+                # a leading 1, so that codes of all depths differ
+                yield pd.DataFrame({"tree": t, "code": (1 << levels) + bits @ (1 << np.arange(levels)), "node": pdf["node"], "half": half})
 
     dealt = written(vecs.mapInPandas(deal, "tree int, code long, node long, half binary"), "ann-blocks")
-    # a block much larger than BLOCK is dealt further, so that no task gets more than a few times BLOCK rows
-    sizes = dealt.groupBy("tree", "code").agg(F.count("*").alias("rows"))
-    dealt = dealt.join(sizes, ["tree", "code"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("rows") / (2 * BLOCK))))
+    dealt = split(dealt, width, size)
 
     def near(pdf: pd.DataFrame) -> pd.DataFrame:
         x, ids = matrix(pdf["half"], np.float16, width).astype(np.float32), pdf["node"].to_numpy()
@@ -102,14 +104,42 @@ def blocks(vecs: DataFrame, width: int, n: int) -> DataFrame:
         at = np.argpartition(-sim, k - 1, axis=1)[:, :k]
         return pd.DataFrame({"node": np.repeat(ids, k), "nbr": ids[at].ravel(), "sim": np.take_along_axis(sim, at, axis=1).ravel()})
 
-    return dealt.groupBy("tree", "code", "part").applyInPandas(near, "node long, nbr long, sim float")
-
-
-def local_join(graph: DataFrame, vecs: DataFrame, width: int) -> DataFrame:
-    """node, nbr, sim: new pairs among the neighbours of a common node that beat one side's worst."""
+    return dealt.groupBy("tree", "code").applyInPandas(near, "node long, nbr long, sim float")
+
+
+def split(dealt: DataFrame, width: int, size: int) -> DataFrame:
+    """dealt with each block of over twice size halved at the median of a new hyperplane until none is left.
+    What stands on the median is dealt by a hash, so that vectors no hyperplane tells apart are split too."""
+    done, depth = None, 0
+    while True:
+        sizes = dealt.groupBy("tree", "code").agg(F.count("*").alias("rows"))
+        large = written(sizes.where(F.col("rows") > 2 * size).select("tree", "code"), "ann-large")
+        if large.isEmpty():
+            return dealt if done is None else done.union(dealt)
+        fine = dealt.join(large, ["tree", "code"], "left_anti")
+        done = fine if done is None else done.union(fine)
+        planes = np.random.default_rng([SEED, depth]).normal(size=(TREES, width)).astype(np.float32)
+
+        def project(batches, planes=planes):
+            for pdf in batches:
+                x = matrix(pdf["half"], np.float16, width).astype(np.float32)
+                yield pdf.assign(p=np.einsum("nd,nd->n", x, planes[pdf["tree"].to_numpy()]))
+
+        rows = dealt.join(large, ["tree", "code"], "left_semi").select("tree", "code", "node", "half")
+        rows = written(rows.mapInPandas(project, "tree int, code long, node long, half binary, p float"), "ann-split")
+        middle = rows.groupBy("tree", "code").agg(F.percentile_approx("p", 0.5).alias("m"))
+        coin = F.pmod(F.xxhash64("node", "tree", F.lit(depth)), F.lit(2)) == 0
+        upper = (F.col("p") > F.col("m")) | ((F.col("p") == F.col("m")) & coin)
+        dealt = written(rows.join(middle, ["tree", "code"]).select("tree", (F.col("code") * 2 + upper.cast("long")).alias("code"), "node", "half"), "ann-blocks")
+        depth += 1
+
+
+def local_join(graph: DataFrame, vecs: DataFrame, width: int, turn: int) -> DataFrame:
+    """node, nbr, sim: new pairs among the neighbours of a common node that beat one side's worst.
+    Which of those that name a node it meets depends on turn."""
     worst = F.when(F.size("nbrs") < K, F.lit(float("-inf"))).otherwise(F.element_at("sims", -1))
     ahead = graph.select(F.col("node").alias("hub"), F.explode("nbrs").alias("node"))
-    order = Window.partitionBy("hub").orderBy(F.xxhash64("node", "hub"))
+    order = Window.partitionBy("hub").orderBy(F.xxhash64("node", "hub", F.lit(turn)))
     back = ahead.select(F.col("node").alias("hub"), F.col("hub").alias("node"))
     back = back.withColumn("r", F.row_number().over(order)).where(F.col("r") <= REVERSE).drop("r")
     meet = ahead.union(back).distinct()
@@ -158,11 +188,14 @@ def build(vecs: DataFrame, width: int) -> DataFrame:
     """node, nbrs, sims of the neighbour graph."""
     n = vecs.count()
     graph = written(best(blocks(vecs, width, n), K), "ann-graph")
-    for _ in range(ROUNDS if n > 4 * BLOCK else 0):
+    for turn in range(ROUNDS):
         old = graph
-        graph = written(best(edges(old).union(local_join(old, vecs, width)), K), "ann-graph")
-        same = graph.join(old.select("node", F.col("nbrs").alias("was")), "node").agg(F.sum(F.size(F.array_intersect("nbrs", "was")))).first()[0] or 0
-        if same > 0.99 * n * K:
+        graph = written(best(edges(old).union(local_join(old, vecs, width, turn)), K), "ann-graph")
+        free(vecs.sparkSession)
+        was = graph.join(old.select("node", F.col("nbrs").alias("was")), "node", "left")
+        same = F.size(F.array_intersect("nbrs", F.coalesce("was", F.array().cast("array<long>"))))
+        total, kept = was.agg(F.sum(F.size("nbrs")), F.sum(same)).first()
+        if (total or 0) - (kept or 0) <= CHANGED * (total or 0):
             break
     return graph
 

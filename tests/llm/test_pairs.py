@@ -202,6 +202,39 @@ def test_nearest_neighbours(spark):
     assert nn_descent.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def graph_overlap(spark, x):
+    """Share of the true nearest in the neighbour graph of vectors of equal norm."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    vecs, _, width = nn_descent.nodes(df)[:3]
+    graph = {r["node"]: set(r["nbrs"]) for r in nn_descent.build(vecs, width).collect()}
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    k = min(nn_descent.K, len(x) - 1)
+    return np.mean([len(graph[i] & set(np.argsort(-s[i])[:k].tolist())) / k for i in range(len(x))])
+
+
+@pytest.mark.parametrize("dense", [False])
+def test_rounds_finish_the_graph(spark, monkeypatch, dense):
+    """Two trees of small blocks are a poor start, at any size, the more so where most vectors are alike."""
+    for name, value in (("BLOCK", 40), ("TREES", 2), ("K", 10)):
+        monkeypatch.setattr(nn_descent, name, value)
+    x = np.random.default_rng(11).normal(size=(400, 6))
+    if dense:
+        x[100:] = x[0] + 0.01 * x[100:]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    assert graph_overlap(spark, x) > 0.9
+
+
+def test_large_blocks_are_split_by_hyperplanes(spark):
+    """Halves of a block too large hold vectors that are alike, not any."""
+    x = np.random.default_rng(12).normal(size=(600, 3))
+    rows = [(0, 1, i, v.astype(np.float16).tobytes()) for i, v in enumerate(x)]
+    out = nn_descent.split(spark.createDataFrame(rows, "tree int, code long, node long, half binary"), 3, 50).toPandas()
+    assert sorted(out["node"]) == list(range(600))
+    parts = [x[g["node"]] for _, g in out.groupby("code")]
+    assert max(map(len, parts)) <= 100 and sum(((p - p.mean(axis=0)) ** 2).sum() for p in parts) < 0.7 * ((x - x.mean(axis=0)) ** 2).sum()
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100 + rng.randrange(40), 100 + rng.randrange(40)) for _ in range(30)]
