@@ -6,10 +6,12 @@ out too large, as in dense regions, are split by further hyperplanes at their ow
 round and at every size, each node meets its neighbours and a share of those that name it, in one join; all
 pairs among them are tried, and those that beat the worst neighbour of either side go into the next graph.
 Rounds end when less than CHANGED of the edges are new; ROUNDS is only a bound against running on for ever.
-Nearness is the inner product: vectors get one more component that makes all norms equal, so that the
-graph stands on distance and the order by inner product is kept.
+Nearness is the inner product: vectors are scaled by the norm of the longest but LONGEST, and get one more
+component that makes all norms equal (less 1, so that it keeps its digits), so that the graph stands on
+distance and the order by inner product is kept.  The LONGEST are entries of every query, so that a few very
+long ones neither blur the others nor are missed.  Vectors are shuffled as float32.
 
-Searching.  A query starts at its own node, if it has one, and at ENTRIES fixed nodes; each round it opens
+Searching.  A query starts at its own node, if it has one, at ENTRIES fixed nodes and the longest; each round it opens
 the OPEN best nodes of its pool and meets their neighbours; rounds end when the best POOL are all open,
 or after SEARCH_ROUNDS.  Queries run in blocks of QUERY_BLOCK, whose vectors are broadcast.
 The index covers every row; nothing is fitted on a sample but the hyperplanes' offsets (SAMPLE rows).
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import free, table, written
 
 K, BLOCK, TREES, ROUNDS, CHANGED, REVERSE, SAMPLE, SEED = 32, 2048, 12, 40, 0.01, 20, 4000, 5
-POOL, OPEN, ENTRIES, SEARCH_ROUNDS, QUERY_BLOCK = 128, 32, 32, 7, 20_000
+POOL, OPEN, ENTRIES, LONGEST, SEARCH_ROUNDS, QUERY_BLOCK = 128, 32, 32, 32, 7, 20_000
 
 
 def matrix(column, dtype, width: int) -> np.ndarray:
@@ -46,22 +48,39 @@ def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     return df.where(F.size("v") == (size["n"] if size else 0))
 
 
-def nodes(df: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """(node, vec: float32 bytes with the extra component), (node, id) and the width of vec."""
+def norms(x: np.ndarray) -> np.ndarray:
+    most = np.abs(x).max(axis=1, initial=0)
+    return most * np.sqrt(((x / most[:, None]) ** 2).sum(axis=1))
+
+
+def closeness(x: np.ndarray) -> np.ndarray:
+    """Minus half the squared distance of each pair of rows; from the shortest row on, to keep digits."""
+    x = x - x[np.argmin(np.einsum("nd,nd->n", x, x))]
+    square = np.einsum("nd,nd->n", x, x) / 2
+    return x @ x.T - square[:, None] - square[None, :]
+
+
+def nodes(df: DataFrame) -> tuple[DataFrame, DataFrame, int, list[int]]:
+    """(node, vec: float32 bytes with the extra component), (node, id), the width of vec and the longest nodes."""
     classes = df.groupBy("v").agg(F.min("id").alias("node"))
-    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    top = classes.agg(F.max(square)).first()[0] or 0.0
+    most = F.array_max(F.transform("v", F.abs))
+    norm = most * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / most) * (x / most)))
+    long = classes.select("node", norm.alias("norm")).orderBy(F.desc("norm"), "node").limit(LONGEST + 1).collect()
+    unit = long[-1]["norm"] if long else 1.0
     width = (classes.select(F.size("v")).first() or [0])[0] + 1
 
     def run(batches):
         for pdf in batches:
             x = np.array(pdf["v"].tolist(), float).reshape(len(pdf), -1)
-            extra = np.sqrt(np.maximum(top - (x * x).sum(axis=1), 0))
+            size = norms(x) / unit
+            square = np.minimum(size, 1) ** 2
+            extra = -square / (1 + np.sqrt(1 - square))
+            x = x / unit * np.minimum(1, 1e15 / size)[:, None]  # squares must fit in float32
             full = np.column_stack([x, extra]).astype(np.float32)
             yield pd.DataFrame({"node": pdf["node"], "vec": [r.tobytes() for r in full]})
 
     out = written(classes.mapInPandas(run, "node long, vec binary"), "ann-nodes")
-    return out, df.join(classes, "v").select("node", "id"), width
+    return out, df.join(classes, "v").select("node", "id"), width, [r["node"] for r in long[:LONGEST]]
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
@@ -85,18 +104,17 @@ def blocks(vecs: DataFrame, width: int, n: int) -> DataFrame:
     def deal(batches):
         for pdf in batches:
             x = matrix(pdf["vec"], np.float32, width)
-            half = [r.tobytes() for r in x.astype(np.float16)]
             for t in range(TREES if levels else 1):
                 bits = (x @ planes[t, :levels].T > offsets[t, :levels]) if levels else np.zeros((len(x), 0), bool)
                 # a leading 1, so that codes of all depths differ
-                yield pd.DataFrame({"tree": t, "code": (1 << levels) + bits @ (1 << np.arange(levels)), "node": pdf["node"], "half": half})
+                yield pd.DataFrame({"tree": t, "code": (1 << levels) + bits @ (1 << np.arange(levels)), "node": pdf["node"], "vec": pdf["vec"]})
 
-    dealt = written(vecs.mapInPandas(deal, "tree int, code long, node long, half binary"), "ann-blocks")
+    dealt = written(vecs.mapInPandas(deal, "tree int, code long, node long, vec binary"), "ann-blocks")
     dealt = split(dealt, width, size)
 
     def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, ids = matrix(pdf["half"], np.float16, width).astype(np.float32), pdf["node"].to_numpy()
-        sim = x @ x.T
+        x, ids = matrix(pdf["vec"], np.float32, width), pdf["node"].to_numpy()
+        sim = closeness(x)
         np.fill_diagonal(sim, -np.inf)
         k = min(K, len(ids) - 1)
         if k < 1:
@@ -122,15 +140,15 @@ def split(dealt: DataFrame, width: int, size: int) -> DataFrame:
 
         def project(batches, planes=planes):
             for pdf in batches:
-                x = matrix(pdf["half"], np.float16, width).astype(np.float32)
+                x = matrix(pdf["vec"], np.float32, width)
                 yield pdf.assign(p=np.einsum("nd,nd->n", x, planes[pdf["tree"].to_numpy()]))
 
-        rows = dealt.join(large, ["tree", "code"], "left_semi").select("tree", "code", "node", "half")
-        rows = written(rows.mapInPandas(project, "tree int, code long, node long, half binary, p float"), "ann-split")
+        rows = dealt.join(large, ["tree", "code"], "left_semi").select("tree", "code", "node", "vec")
+        rows = written(rows.mapInPandas(project, "tree int, code long, node long, vec binary, p float"), "ann-split")
         middle = rows.groupBy("tree", "code").agg(F.percentile_approx("p", 0.5).alias("m"))
         coin = F.pmod(F.xxhash64("node", "tree", F.lit(depth)), F.lit(2)) == 0
         upper = (F.col("p") > F.col("m")) | ((F.col("p") == F.col("m")) & coin)
-        dealt = written(rows.join(middle, ["tree", "code"]).select("tree", (F.col("code") * 2 + upper.cast("long")).alias("code"), "node", "half"), "ann-blocks")
+        dealt = written(rows.join(middle, ["tree", "code"]).select("tree", (F.col("code") * 2 + upper.cast("long")).alias("code"), "node", "vec"), "ann-blocks")
         depth += 1
 
 
@@ -143,21 +161,14 @@ def local_join(graph: DataFrame, vecs: DataFrame, width: int, turn: int) -> Data
     back = ahead.select(F.col("node").alias("hub"), F.col("hub").alias("node"))
     back = back.withColumn("r", F.row_number().over(order)).where(F.col("r") <= REVERSE).drop("r")
     meet = ahead.union(back).distinct()
-    half = vecs.join(graph, "node", "left").select("node", "vec", F.coalesce(worst, F.lit(float("-inf"))).cast("float").alias("worst"))
-
-    def shrink(batches):
-        for pdf in batches:
-            x = matrix(pdf["vec"], np.float32, width).astype(np.float16)
-            yield pd.DataFrame({"node": pdf["node"], "half": [r.tobytes() for r in x], "worst": pdf["worst"]})
-
-    half = half.mapInPandas(shrink, "node long, half binary, worst float")
-    rows = meet.join(half, "node").repartition("hub").sortWithinPartitions("hub")
+    full = vecs.join(graph, "node", "left").select("node", "vec", F.coalesce(worst, F.lit(float("-inf"))).cast("float").alias("worst"))
+    rows = meet.join(full, "node").repartition("hub").sortWithinPartitions("hub")
 
     def pairs(hub_rows):
         ids = hub_rows["node"].to_numpy()
-        x = matrix(hub_rows["half"], np.float16, width).astype(np.float32)
+        x = matrix(hub_rows["vec"], np.float32, width)
         floor = hub_rows["worst"].to_numpy()
-        sim = x @ x.T
+        sim = closeness(x)
         better = sim > floor[:, None]
         np.fill_diagonal(better, False)
         i, j = np.nonzero(better)
@@ -200,10 +211,11 @@ def build(vecs: DataFrame, width: int) -> DataFrame:
     return graph
 
 
-def search(graph: DataFrame, vecs: DataFrame, queries: DataFrame, width: int, k: int) -> DataFrame:
+def search(graph: DataFrame, vecs: DataFrame, queries: DataFrame, width: int, k: int, longest: list[int]) -> DataFrame:
     """query, node, score of the POOL (or 2k) best nodes found.  queries: query, start (a node, or null), qvec."""
     pool_size = max(POOL, 2 * k)
     fixed = [r["node"] for r in vecs.orderBy(F.xxhash64("node")).limit(max(ENTRIES, k + 1)).select("node").collect()]
+    fixed = sorted({*fixed, *longest})
     ahead = graph.select("node", "nbrs")
     order = Window.partitionBy("node").orderBy(F.xxhash64("nbr", "node"))
     back = graph.select(F.explode("nbrs").alias("node"), F.col("node").alias("nbr"))
@@ -259,13 +271,13 @@ def nearest(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embeddi
     """query_id, rank, vec_id, score: for each row that meets is_query, its k nearest other rows found."""
     rows = written(usable(df, key, vector).join(
         df.where(is_query).select(F.col(key).cast("long").alias("id")).distinct().withColumn("asks", F.lit(True)), "id", "left"), "ann-rows")
-    vecs, members, width = nodes(rows.select("id", "v"))
+    vecs, members, width, longest = nodes(rows.select("id", "v"))
     members = written(members, "ann-members")
     graph = build(vecs, width)
     asking = rows.where("asks").select(F.col("id").alias("query"), "v")
     queries = written(asking.join(members.withColumnRenamed("id", "query").withColumnRenamed("node", "start"), "query").select("query", "start", "v")
                       .mapInPandas(query_bytes, "query long, start long, v array<double>, qvec binary"), "ann-queries")
-    found = search(graph, vecs, queries.drop("v"), width, k)
+    found = search(graph, vecs, queries.drop("v"), width, k, longest)
     order = Window.partitionBy("node").orderBy("id")
     few = members.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r")
     pairs = found.join(few, "node").where("id <> query").select("query", "id")
@@ -278,10 +290,11 @@ def nearest(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embeddi
 
 
 def query_bytes(batches):
-    """Query vectors as float32 bytes, with 0 as the extra component."""
+    """Query vectors scaled to norm 1, which keeps the order, as float32 bytes, with 0 as the extra component."""
     for pdf in batches:
-        x = np.array(pdf["v"].tolist(), np.float32).reshape(len(pdf), -1)
-        full = np.column_stack([x, np.zeros(len(x), np.float32)])
+        x = np.array(pdf["v"].tolist(), float).reshape(len(pdf), -1)
+        x = x / norms(x)[:, None]
+        full = np.column_stack([x, np.zeros(len(x))]).astype(np.float32)
         yield pdf.assign(qvec=[r.tobytes() for r in full])
 
 

@@ -213,7 +213,7 @@ def graph_overlap(spark, x):
     return np.mean([len(graph[i] & set(np.argsort(-s[i])[:k].tolist())) / k for i in range(len(x))])
 
 
-@pytest.mark.parametrize("dense", [False])
+@pytest.mark.parametrize("dense", [False, True])
 def test_rounds_finish_the_graph(spark, monkeypatch, dense):
     """Two trees of small blocks are a poor start, at any size, the more so where most vectors are alike."""
     for name, value in (("BLOCK", 40), ("TREES", 2), ("K", 10)):
@@ -228,13 +228,31 @@ def test_rounds_finish_the_graph(spark, monkeypatch, dense):
 def test_large_blocks_are_split_by_hyperplanes(spark):
     """Halves of a block too large hold vectors that are alike, not any."""
     x = np.random.default_rng(12).normal(size=(600, 3))
-    rows = [(0, 1, i, v.astype(np.float16).tobytes()) for i, v in enumerate(x)]
-    out = nn_descent.split(spark.createDataFrame(rows, "tree int, code long, node long, half binary"), 3, 50).toPandas()
+    rows = [(0, 1, i, v.astype(np.float32).tobytes()) for i, v in enumerate(x)]
+    out = nn_descent.split(spark.createDataFrame(rows, "tree int, code long, node long, vec binary"), 3, 50).toPandas()
     assert sorted(out["node"]) == list(range(600))
     parts = [x[g["node"]] for _, g in out.groupby("code")]
     assert max(map(len, parts)) <= 100 and sum(((p - p.mean(axis=0)) ** 2).sum() for p in parts) < 0.7 * ((x - x.mean(axis=0)) ** 2).sum()
 
 
+def test_nearest_with_one_very_long_vector(spark):
+    x = np.random.default_rng(13).normal(size=(1200, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[7] *= 1e5
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nn_descent.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, 1200, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        want = set(np.argsort(-s)[:20].tolist())
+        hits += len(want & got[q])
+        assert (7 in want) == (7 in got[q])
+    assert hits / (60 * 20) > 0.95
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100 + rng.randrange(40), 100 + rng.randrange(40)) for _ in range(30)]
