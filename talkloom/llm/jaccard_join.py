@@ -7,8 +7,11 @@ may stand there, in the band below).  Allocation by cost: a set needs floor(diff
 probes with those whose signatures the fewest sets share; signatures of its own cost nothing, most sets
 probe nothing, and signatures shared by more than CAP sets are left out where others suffice.
 
+Sets with too few non-empty segments (`lacking`) agree with others in empty ones only where both show them,
+so their own probes prove nothing and they go on as sets that need more.
+
 Sets that need more (`hard`) are counted again among themselves, where common passages are rare.  Those
-still hard also show one-deletion neighbourhoods (a segment less one shingle): a segment shown so covers
+still hard show empty segments too and one-deletion neighbourhoods (a segment less one shingle): a segment shown so covers
 two differences, and each set buys the cheapest units.  What then still needs signatures over CAP are large
 families of near copies: they form blocks (components over their common signatures), each set goes to its
 block once, and the block is joined exactly with an inverted index, in pairs of chunks if it is large;
@@ -78,9 +81,9 @@ def shows(s: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def signatures(s: np.ndarray, band: int, allowed: int, deletions: bool = False):
-    """Signatures of the segments shown, and how many more there are than needed.  Empty segments are
-    shown only by sets that lack others.  With deletions: also number of the segment, and those of each
-    segment less one shingle."""
+    """Signatures of the segments shown, how many more there are than needed, and whether the set is lacking
+    (1 or 0).  Empty segments are shown only by lacking sets.  With deletions: all segments, with their
+    numbers, and those of each segment less one shingle."""
     m = segments_of(band)
     token = mix(s + _U(0xD6E8FEB86659FD93 * (band + 1) % 2**64))
     segment = ((token >> _U(20)) % _U(m)).astype(np.int64)
@@ -88,14 +91,15 @@ def signatures(s: np.ndarray, band: int, allowed: int, deletions: bool = False):
     token, segment = token[order], segment[order]
     starts = np.flatnonzero(np.append(True, segment[1:] != segment[:-1]))
     ids, sums = segment[starts], np.add.reduceat(token, starts)
-    if len(ids) <= allowed:
+    lacking = len(ids) <= allowed
+    if lacking or deletions:
         empty = np.setdiff1d(np.arange(m), ids)
         ids, sums = np.concatenate([ids, empty]), np.concatenate([sums, np.zeros(len(empty), _U)])
     place = _U(0xA0761D6478BD642F * (band + 1) % 2**64)
     plain = mix(mix(sums + place) + ids.astype(_U) * _U(0xE7037ED1A0B428DB))
     slack = len(ids) - (allowed + 1)
     if not deletions:
-        return plain, slack
+        return plain, slack, int(lacking)
     total = np.zeros(m, _U)
     total[ids] = sums
     less = mix(mix(total[segment] - token + place) + segment.astype(_U) * _U(0xE7037ED1A0B428DB))
@@ -103,7 +107,7 @@ def signatures(s: np.ndarray, band: int, allowed: int, deletions: bool = False):
 
 
 def signature_rows(docs: DataFrame) -> DataFrame:
-    """sig, doc, info: (slack << 2 | kind), and a row with the size of each set: (size << 2 | SIZE)."""
+    """sig, doc, info: (slack << 3 | lacking << 2 | kind), and a row with the size of each set: (size << 2 | SIZE)."""
 
     def run(batches):
         for batch in batches:
@@ -114,8 +118,8 @@ def signature_rows(docs: DataFrame) -> DataFrame:
                     s = shingles(text)
                     parts = [(mix(np.array([key], np.int64).view(_U)), len(s) << 2 | SIZE)]
                     for kind, band, allowed in shows(s) if len(s) else ():
-                        own, slack = signatures(s, band, allowed)
-                        parts.append((own, slack * 4 + kind))
+                        own, slack, lacking = signatures(s, band, allowed)
+                        parts.append((own, slack * 8 + lacking * 4 + kind))
                     for own, i in parts:
                         sig.append(own)
                         doc.append(np.full(len(own), key, np.int64))
@@ -147,12 +151,13 @@ def shared(rows: DataFrame) -> DataFrame:
 
 def allocate(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """rows: sig, doc, info, freq (over 1).  Probes (sig, doc, freq): the cheapest signatures that a set
-    needs besides its own, and the sets (doc, info) that need some shared by more than CAP."""
+    needs besides its own, and the sets (doc, info) that need some shared by more than CAP or are lacking."""
     each = rows.groupBy("doc", "info").agg(F.sort_array(F.collect_list(F.struct("freq", "sig"))).alias("l"))
-    need = F.greatest(F.size("l") - F.shiftright("info", 2), F.lit(0)).cast("int")  # -slack units are lacking besides
-    each = each.select("doc", "info", F.slice("l", F.lit(1), need).alias("l")).where(F.size("l") > 0)
-    probes = each.select("doc", F.explode("l").alias("x")).select("x.sig", "doc", "x.freq")
-    hard = each.where(F.element_at("l", -1)["freq"] > CAP).select("doc", "info")
+    lacking = F.shiftright("info", 2).bitwiseAND(1) == 1
+    need = F.greatest(F.size("l") - F.shiftright("info", 3), F.lit(0)).cast("int")  # -slack units are lacking besides
+    each = each.select("doc", "info", F.slice("l", F.lit(1), need).alias("l")).where(lacking | (F.size("l") > 0))
+    probes = each.where(~lacking).select("doc", F.explode("l").alias("x")).select("x.sig", "doc", "x.freq")
+    hard = each.where(lacking | F.exists("l", lambda x: x["freq"] > CAP)).select("doc", "info")
     return probes, hard
 
 

@@ -97,6 +97,24 @@ def test_pigeonhole_never_misses():
             assert shown[0] & shown[1]
 
 
+def test_short_texts_around_a_hub(spark):
+    """A hub whose shingles all fall into one segment needs empty ones, which its many partners don't show."""
+    rows, hubs = [], 0
+    for t in range(400):
+        for words in (7, 8):
+            hub = [f"t{t}x{words}x{i}" for i in range(words)]
+            s = jaccard_join.shingles(" ".join(hub))
+            lacks = any(len(set(((jaccard_join.mix(s + np.uint64(0xD6E8FEB86659FD93 * (band + 1) % 2**64)) >> np.uint64(20)) % np.uint64(jaccard_join.segments_of(band))).tolist())) <= allowed
+                        for _, band, allowed in jaccard_join.shows(s))
+            if lacks and hubs < 6:
+                hubs += 1
+                rows += [" ".join(hub)] + [" ".join([*hub, f"v{i}"]) for i in range(60 + 20 * hubs)]
+    rows = list(enumerate(rows))
+    want = linked_groups(shingle_sets(rows))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert hubs == 6 and got == want and len(set(want.values())) == 6
+
+
 def brute_passages(rows):
     seen, out = {}, {}
     for d, t in sorted(rows, key=lambda r: r[0]):
