@@ -9,31 +9,56 @@ from .lexicons import RUSSIAN, Pack
 from .text import word_count
 
 FLAGS = "(?iuU)"  # Unicode classes and case folding, as on the reference platform
-LEFT, RIGHT, NEAR = 60, 50, 5
-HIT = "array<struct<position:int,match:string,category:string>>"
+LEFT, RIGHT, NEAR, GRAM = 60, 50, 5, 4
+PLACE = "array<struct<position:int,match:string>>"
 
 
-def hits(text: Column, pattern: str, category: str) -> Column:
-    """All matches with their start: lengths of what lies between them add up."""
-    p = F.lit(FLAGS + pattern)
-    found = F.regexp_extract_all(text, p, 0)
+def _walk(text: Column, pattern: str, limit: int | None, seen: Column | None = None) -> Column:
+    """array<struct<position, match>> of the matches, or of the first `limit` that start NEAR characters or more
+    from all in `seen` and all kept: lengths of what lies between matches add up.  A text is walked once, and
+    under a limit the list kept stays short."""
+    found = F.regexp_extract_all(text, F.lit(FLAGS + pattern), 0)
     between = F.split(text, FLAGS + pattern, -1)
-    step = F.aggregate(
-        F.arrays_zip(found.alias("m"), F.slice(between, 1, F.size(found)).alias("b")),
-        F.struct(F.lit(0).alias("at"), F.array().cast(HIT).alias("l")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["b"]) + F.length(x["m"])).alias("at"),
-            F.concat(acc["l"], F.array(F.struct((acc["at"] + F.length(x["b"])).alias("position"), x["m"].alias("match"), F.lit(category).alias("category")))).cast(HIT).alias("l")))
-    return step["l"]
 
+    def step(acc: Column, x: Column) -> Column:
+        at, kept = acc["at"] + F.length(x["b"]), acc["l"]
+        more = F.concat(kept, F.array(F.struct(at.alias("position"), x["m"].alias("match")))).cast(PLACE)
+        take = F.lit(True) if limit is None else F.size(kept) < limit
+        if seen is not None:
+            near = lambda h: F.abs(h["position"] - at) < NEAR
+            take = take & ~F.exists(acc["s"], near) & ~F.exists(kept, near)
+        return F.struct((at + F.length(x["m"])).alias("at"), F.when(take, more).otherwise(kept).alias("l"), acc["s"].alias("s"))
 
-def number_hits(text: Column, pack: Pack = RUSSIAN) -> Column:
-    """Amounts, then dates and numbers in words that start NEAR characters or more from every hit kept."""
-    later = F.concat(hits(text, pack.date, "DATE"), hits(text, pack.word_number, "WORD"))
-    kept = F.aggregate(
-        later, hits(text, pack.amount, "AMOUNT"),
-        lambda acc, x: F.when(F.exists(acc, lambda y: F.abs(y["position"] - x["position"]) < NEAR), acc).otherwise(F.concat(acc, F.array(x))))
-    return F.array_sort(kept, lambda a, b: F.when(a["position"] < b["position"], -1).when(a["position"] > b["position"], 1).otherwise(0))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(PLACE).alias("l"), (F.array() if seen is None else seen).cast(PLACE).alias("s"))
+    return F.aggregate(F.arrays_zip(found.alias("m"), F.slice(between, 1, F.size(found)).alias("b")), start, step)["l"]
+
+
+def _named(found: Column, category: str) -> Column:
+    return F.transform(found, lambda h: F.struct(h["position"], h["match"], F.lit(category).alias("category")))
+
+
+def hits(text: Column, pattern: str, category: str, limit: int | None = None) -> Column:
+    """All matches (or the first `limit`) with their start."""
+    return _named(_walk(text, pattern, limit), category)
+
+
+def all_hits(docs: DataFrame, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, i, position, match of every match: rows, not arrays, for texts with very many."""
+    found = F.regexp_extract_all(F.col(text), F.lit(FLAGS + pattern), 0)
+    between = F.transform(F.split(F.col(text), FLAGS + pattern, -1), lambda b: F.length(b))
+    rows = docs.select(key, F.posexplode(F.arrays_zip(found.alias("m"), F.slice(between, 1, F.size(found)).alias("b"))).alias("i", "h"))
+    till = F.sum(F.col("h.b") + F.length("h.m")).over(Window.partitionBy(key).orderBy("i"))
+    return rows.select(key, "i", (till - F.length("h.m")).alias("position"), F.col("h.m").alias("match"))
+
+
+def number_hits(text: Column, pack: Pack = RUSSIAN, limit: int = 50) -> Column:
+    """The first `limit` by position of: amounts, then dates and numbers in words that start NEAR characters or
+    more from every hit kept before.  The first `limit` of each kind settle that: a later one has `limit` hits
+    before it, and so has all that it keeps off."""
+    amounts = _walk(text, pack.amount, limit)
+    dates = _walk(text, pack.date, limit, amounts)
+    words = _walk(text, pack.word_number, limit, F.concat(amounts, dates))
+    return F.slice(F.array_sort(F.concat(_named(amounts, "AMOUNT"), _named(dates, "DATE"), _named(words, "WORD"))), 1, limit)
 
 
 def context(text: Column, position: Column, match: Column, left: int = LEFT, right: int = RIGHT) -> Column:
@@ -42,9 +67,15 @@ def context(text: Column, position: Column, match: Column, left: int = LEFT, rig
     return F.trim(F.regexp_replace(raw, r"(?U)\s+", " "))
 
 
+def number_list(text: Column, pack: Pack = RUSSIAN, limit: int = 50, hit_list=number_hits) -> Column:
+    """array<struct<match, context, position, category>> of the first `limit` numbers by position."""
+    return F.transform(hit_list(text, pack, limit), lambda h: F.struct(
+        F.trim(h["match"]).alias("match"), context(text, h["position"], h["match"]).alias("context"), h["position"], h["category"]))
+
+
 def numbers(docs: DataFrame, key: str = "doc_id", text: str = "text", pack: Pack = RUSSIAN, limit: int = 50, hit_list=number_hits) -> DataFrame:
     """key, position, match, context, category: the first `limit` numbers of each document by position."""
-    found = docs.select(key, text, F.explode(F.slice(hit_list(F.col(text), pack), 1, limit)).alias("h"))
+    found = docs.select(key, text, F.explode(hit_list(F.col(text), pack, limit)).alias("h"))
     at, m = F.col("h.position"), F.col("h.match")
     return found.select(key, at.alias("position"), F.trim(m).alias("match"), context(F.col(text), at, m).alias("context"), F.col("h.category").alias("category"))
 
@@ -57,9 +88,22 @@ def contained(text: Column, words: list[str] | tuple[str, ...]) -> Column:
 
 
 def contained_in(df: DataFrame, text: str, lexicon: DataFrame, word: str = "word") -> DataFrame:
-    """The same for a lexicon that is a table: one row for each text and word in it.  The lexicon is
-    broadcast; it must be a word list, not data (at most some ten thousand rows)."""
-    return df.join(F.broadcast(lexicon.select(word)), F.contains(F.lower(F.col(text)), F.col(word)))
+    """The same for a lexicon that is a table: one row for each text and word in it.  A word is looked for only
+    in texts that hold its first GRAM characters, by a join on these; shorter words, which are few, by all."""
+    words = lexicon.select(F.col(word)).where(F.length(word) > 0).distinct().withColumn("_g", F.substring(F.col(word), 1, GRAM))
+    low = F.lower(F.col(text))
+    each = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: F.transform(
+        F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.substring(low, i, n)))))
+    return df.withColumn("_g", F.explode(each)).join(words, "_g").where(F.contains(low, F.col(word))).drop("_g")
+
+
+def risk_list(sentences: Column, pack: Pack = RUSSIAN, least: int = 5, most: int = 80, limit: int = 20) -> Column:
+    """What risks gives, for an array of sentences: array<struct<sentence, triggers, position, score>>."""
+    each = F.transform(sentences, lambda x, i: F.struct(x.alias("sentence"), F.when(word_count(x).between(least, most), contained(x, pack.triggers)).otherwise(
+        F.array().cast("array<string>")).alias("triggers"), i.alias("position")))
+    found = F.filter(each, lambda r: F.size(r["triggers"]) > 0)
+    order = F.array_sort(F.transform(found, lambda r: F.struct((-F.size(r["triggers"])).alias("o"), r["position"], r["sentence"], r["triggers"])))
+    return F.transform(F.slice(order, 1, limit), lambda r: F.struct(r["sentence"], r["triggers"], r["position"], (-r["o"]).alias("score")))
 
 
 def risks(sentences: DataFrame, key: str = "doc_id", position: str = "sent_idx", sentence: str = "sentence", pack: Pack = RUSSIAN,

@@ -64,9 +64,12 @@ def entity_totals(counts: DataFrame, key: str = "doc_id") -> DataFrame:
     return counts.groupBy(key, "type").agg(F.count("*").alias("distinct_entities"), F.sum("count").alias("mentions"))
 
 
+def tokens(text: Column, normalized: Column, least: int = 4) -> Column:
+    """Surface, normal form, and words of the normal form of `least` letters, in lower case."""
+    normal = F.lower(normalized)
+    return F.array_union(F.array(F.lower(text), normal), F.filter(F.split(normal, r"\s+"), lambda w: F.length(w) >= least))
+
+
 def entity_tokens(counts: DataFrame, key: str = "doc_id", least: int = 4) -> DataFrame:
-    """key, tokens: surface, normal form, and words of the normal form of `least` letters, in lower case."""
-    normal = F.lower("normalized")
-    words = F.filter(F.split(normal, r"\s+"), lambda w: F.length(w) >= least)
-    all_ = F.array_union(F.array(F.lower("text"), normal), words)
-    return counts.select(key, F.explode(all_).alias("t")).groupBy(key).agg(F.sort_array(F.collect_set("t")).alias("tokens"))
+    """key, tokens: the tokens of all entities of a document."""
+    return counts.select(key, F.explode(tokens(F.col("text"), F.col("normalized"), least)).alias("t")).groupBy(key).agg(F.sort_array(F.collect_set("t")).alias("tokens"))

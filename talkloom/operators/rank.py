@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.lexicons import RUSSIAN, Pack
 from ..functions.text import terms, word_count
+from ..sources.shared import shared_dir
+
+#: Sentences of a document whose graph one task takes: at most MOST * MOST similarities.
+MOST = 2000
 
 
 @dataclass(frozen=True)
@@ -93,9 +97,7 @@ def page_rank(edges: DataFrame, sents: DataFrame, key: str = "doc_id", idx: str
 def page_rank_relational(edges: DataFrame, sents: DataFrame, key: str = "doc_id", idx: str = "sent_idx", s: RankSettings = RankSettings(), every: int = 5) -> DataFrame:
     """The same for graphs too large for one task: each iteration is a join, and documents stop on their own.
     The lineage is cut by checkpoint() every few iterations."""
-    sc = edges.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:  # a temporary folder only where none is set, as in local tests
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+    shared_dir(edges.sparkSession)
     out_w = Window.partitionBy(key, "src")
     share = edges.select(key, "src", "dst", (F.col("w") / F.sum("w").over(out_w)).alias("share"))
     n = sents.groupBy(key).agg(F.count("*").alias("n"))
@@ -113,28 +115,99 @@ def page_rank_relational(edges: DataFrame, sents: DataFrame, key: str = "doc_id"
     return now.select(key, idx, F.when(F.col("n") == 1, F.lit(1.0)).otherwise(F.col("base")).alias("base"))
 
 
-def boost(sentence: Column, entities: Column | None = None, b: BoostSettings = BoostSettings()) -> Column:
-    """Multiplier for entities found, digits, and length.  entities: array of lower-case strings, or None."""
-    factor = F.lit(1.0)
-    if entities is not None:
-        k = F.size(F.filter(F.coalesce(entities, F.array().cast("array<string>")), lambda e: F.instr(F.lower(sentence), e) > 0))
-        factor = F.when(k > 0, b.entity_base + b.entity_step * F.least(k, F.lit(b.entity_cap))).otherwise(1.0)
+def document_scores(weights: DataFrame, sents: DataFrame, key: str = "doc_id", idx: str = "sent_idx", s: RankSettings = RankSettings()) -> DataFrame:
+    """What similarity and page_rank give, in one grouped map of a document's weights, so that its pairs of
+    sentences never leave the task.  For documents of MOST sentences or fewer."""
+    n = sents.groupBy(key).agg(F.count("*").alias("n"))
+    kind = dict(weights.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = int(pdf["n"].iloc[0])
+        node, at = np.unique(pdf[idx].to_numpy(), return_inverse=True)
+        term, names = pd.factorize(pdf["term"])
+        alike = np.zeros((len(node), len(node)))
+        wide = max(1, 2_000_000 // len(node))
+        for lo in range(0, len(names), wide):
+            use = (term >= lo) & (term < lo + wide)
+            part = np.zeros((len(node), min(wide, len(names) - lo)))
+            part[at[use], term[use] - lo] = pdf["w"].to_numpy()[use]
+            alike += part @ part.T
+        np.fill_diagonal(alike, 0)
+        alike[alike < s.threshold] = 0
+        total = alike.sum(axis=1)
+        share = alike / np.where(total > 0, total, 1)[:, None]
+        score, alone, lone = np.full(len(node), 1.0 / n), 1.0 / n, (1 - s.damping) / n
+        for _ in range(s.max_iterations):
+            new = lone + s.damping * (score @ share)
+            change = np.abs(new - score).sum() + (n - len(node)) * abs(lone - alone)
+            score, alone = new, lone
+            if change < s.tolerance:
+                break
+        return pd.DataFrame({key: pdf[key].iloc[0], idx: node, "base": score if n > 1 else 1.0})
+
+    ranked = weights.select(key, idx, "term", "w").join(n, key).groupBy(key).applyInPandas(run, f"{key} {kind[key]}, {idx} {kind[idx]}, base double")
+    lone = F.when(F.col("n") == 1, F.lit(1.0)).otherwise((1 - s.damping) / F.col("n"))
+    return sents.select(key, idx).join(n, key).join(ranked, [key, idx], "left").select(key, idx, F.coalesce("base", lone).alias("base"))
+
+
+def base_scores(sents: DataFrame, key: str = "doc_id", idx: str = "sent_idx", sentence: str = "sentence", s: RankSettings = RankSettings(), most: int | None = MOST) -> DataFrame:
+    """key, idx, base.  Documents of more than `most` sentences are ranked by joins, the others in a task each.
+    sents is read several times; most=None leaves the look for large documents out, where a caller knows of none."""
+    large = None if most is None else sents.groupBy(key).count().where(F.col("count") > most).select(key)
+    if large is None or large.isEmpty():
+        return document_scores(tf_idf(sents, key, idx, sentence, s), sents, key, idx, s)
+    few, many = sents.join(large, key, "left_anti"), sents.join(large, key, "left_semi")
+    joined = page_rank_relational(similarity(tf_idf(many, key, idx, sentence, s), key, idx, s.threshold), many, key, idx, s)
+    return document_scores(tf_idf(few, key, idx, sentence, s), few, key, idx, s).unionByName(joined)
+
+
+def factor(sentence: Column, held: Column | None = None, b: BoostSettings = BoostSettings()) -> Column:
+    """Multiplier for `held` entities, digits, and length."""
+    out = F.lit(1.0)
+    if held is not None:
+        out = F.when(held > 0, b.entity_base + b.entity_step * F.least(held, F.lit(b.entity_cap))).otherwise(1.0)
     n = word_count(sentence)
-    return factor * F.when(sentence.rlike(r"\d"), b.number).otherwise(1.0) * (
+    return out * F.when(sentence.rlike(r"\d"), b.number).otherwise(1.0) * (
         F.when(n.between(b.ideal_min, b.ideal_max), b.ideal).when(n < b.short, b.short_penalty).otherwise(1.0))
 
 
+def boost(sentence: Column, entities: Column | None = None, b: BoostSettings = BoostSettings()) -> Column:
+    """The same for an array of lower-case strings, each of which is looked for in the sentence."""
+    if entities is None:
+        return factor(sentence, None, b)
+    return factor(sentence, F.size(F.filter(F.coalesce(entities, F.array().cast("array<string>")), lambda e: F.instr(F.lower(sentence), e) > 0)), b)
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def strings_held(sentences: pd.Series, strings: pd.Series) -> pd.Series:
+    """For each sentence of a document the number of the document's strings that it holds, by one automaton a
+    document: linear in the text, however many strings there are."""
+    import ahocorasick
+
+    out = []
+    for texts, words in zip(sentences, strings, strict=True):
+        words = [] if words is None else [w for w in words if w]
+        if not words or texts is None:
+            out.append([0] * len(texts if texts is not None else ()))
+            continue
+        automaton = ahocorasick.Automaton()
+        for i, w in enumerate(dict.fromkeys(words)):
+            automaton.add_word(w, i)
+        automaton.make_automaton()
+        out.append([len({i for _, i in automaton.iter(t)}) for t in texts])
+    return pd.Series(out)
+
+
 def lex_rank(sents: DataFrame, key: str = "doc_id", idx: str = "sent_idx", sentence: str = "sentence", s: RankSettings = RankSettings(),
-             b: BoostSettings | None = BoostSettings(), entities: DataFrame | None = None) -> DataFrame:
+             b: BoostSettings | None = BoostSettings(), entities: DataFrame | None = None, most: int | None = MOST) -> DataFrame:
     """key, idx, sentence, base, boosted.  entities: key and tokens array<string>.  An only sentence is not boosted."""
-    edges = similarity(tf_idf(sents, key, idx, sentence, s), key, idx, s.threshold)
-    scored = sents.select(key, idx, sentence).join(page_rank(edges, sents, key, idx, s), [key, idx])
+    scored = sents.select(key, idx, sentence).join(base_scores(sents, key, idx, sentence, s, most), [key, idx])
     tokens = None
     if entities is not None:
         scored, tokens = scored.join(entities.select(key, "tokens"), key, "left"), F.col("tokens")
-    factor = boost(F.col(sentence), tokens, b) if b else F.lit(1.0)
+    by = boost(F.col(sentence), tokens, b) if b else F.lit(1.0)
     only = F.count("*").over(Window.partitionBy(key)) == 1
-    return scored.select(key, idx, sentence, "base", F.when(only, F.col("base")).otherwise(F.col("base") * factor).alias("boosted"))
+    return scored.select(key, idx, sentence, "base", F.when(only, F.col("base")).otherwise(F.col("base") * by).alias("boosted"))
 
 
 def top_k(scored: DataFrame, k: int, key: str = "doc_id", idx: str = "sent_idx", by: str = "boosted") -> DataFrame:

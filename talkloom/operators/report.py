@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import formats
-from ..functions.extract import number_hits, numbers, risks
+from ..functions.extract import number_list, risk_list
 from ..functions.lexicons import RUSSIAN, Pack
-from ..functions.text import Segmenter, long_sentences, sentences, split_sentences, top_words, word_count
+from ..functions.text import Segmenter, split_sentences, topic_words, word_count
+from ..sources.shared import stored
 from . import entities as ent
-from .rank import BoostSettings, RankSettings, lex_rank
+from .rank import BoostSettings, RankSettings, base_scores, factor, strings_held
 from .transcript import merged_turns, speaker_labels
 
 
@@ -27,47 +28,52 @@ class SummarySettings:
     least_words: int = 8
     rank: RankSettings = field(default_factory=RankSettings)
     boost: BoostSettings = field(default_factory=BoostSettings)
-
-
-def _list(df: DataFrame, key: str, name: str, order: list, fields: list[str]) -> DataFrame:
-    """key and `name`, the rows of a document as an ordered array of structs."""
-    parts = F.sort_array(F.collect_list(F.struct(*[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], F.struct(*fields).alias("s"))))
-    return df.groupBy(key).agg(F.transform(parts, lambda x: x["s"]).alias(name))
+    digits: int | None = None  #: scores are ranked at so many digits, so that ties don't hang on the order of sums
 
 
 def summaries(docs: DataFrame, key: str = "doc_id", text: str = "text", s: SummarySettings = SummarySettings(), segmenter: Segmenter | None = None,
               tagger: ent.Tagger | None = None) -> DataFrame:
-    """One nested row per document; empty sections are empty arrays."""
+    """One nested row per document; empty sections are empty arrays.  Positions count the sentences that are
+    long enough.  All that a row can tell by itself is made in one pass and stored; ranks, words and entities
+    are lists of a row per document, made once each and joined by the key."""
     cut = segmenter or (lambda c: split_sentences(c, s.pack))
-    every = sentences(docs, key, text, cut).persist()  # six sections read it; it spills to disk and is rebuilt if lost
-    kept = long_sentences(every, s.least_words)
-    # positions count the sentences that were kept
-    sents = kept.withColumn("sent_idx", F.row_number().over(Window.partitionBy(key).orderBy("sent_idx")) - 1)
-    base = docs.select(key, word_count(F.coalesce(F.col(text), F.lit(""))).alias("n_words"), F.length(F.coalesce(F.col(text), F.lit(""))).alias("n_chars"))
-    base = base.join(every.groupBy(key).agg(F.count("*").alias("n_sentences")), key, "left").na.fill(0, ["n_sentences"])
-    found = None
+    filled = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(key, filled.alias("_text"), cut(F.col(text)).alias("_all"))
+    rows = rows.withColumn("_kept", F.filter("_all", lambda x: word_count(x) >= s.least_words))
+    rows = stored(rows.select(
+        key, word_count(F.col("_text")).alias("n_words"), F.length("_text").alias("n_chars"), F.size("_all").alias("n_sentences"), "_kept",
+        number_list(F.col("_text"), s.pack, s.numbers).alias("numbers"), risk_list(F.col("_kept"), s.pack, limit=s.risks).alias("risks")), "summaries")
+    sents = rows.select(key, F.posexplode("_kept").alias("sent_idx", "sentence"))
+
+    base = base_scores(sents, key, s=s.rank).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("sent_idx", "base"))).alias("_base"))
+    counted = sents.select(key, F.explode(topic_words(F.col("sentence"), s.pack)).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
+    words = counted.groupBy(key).agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("o"), "word"))).alias("_words"))
+    out = rows.join(base, key, "left").join(words, key, "left")
+    held = F.transform("_kept", lambda _: F.lit(0))
     if tagger is not None:
-        tagged = tagger(ent.tokens_of(sents, [key, "sent_idx"]))
-        found = ent.entity_counts(ent.spans(tagged, [key, "sent_idx"]), key, s.pack)
-    scored = lex_rank(sents, key, s=s.rank, b=s.boost, entities=None if found is None else ent.entity_tokens(found, key))
-    order = Window.partitionBy(key).orderBy(F.desc("boosted"), "sent_idx")
-    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(s.quotes, s.fragments))
-    parts = [
-        _list(best.where(F.col("rank") <= s.quotes), key, "quotes", ["rank"], ["sentence", "sent_idx", "base", "boosted"]),
-        _list(best.where(F.col("rank") <= s.fragments), key, "fragments", ["sent_idx"], ["sentence", "sent_idx", "base", "boosted"]),
-        _list(risks(sents, key, pack=s.pack, limit=s.risks), key, "risks", ["rank"], ["sentence", "triggers", "position", "score"]),
-        _list(numbers(docs, key, text, s.pack, s.numbers, number_hits), key, "numbers", ["position"], ["match", "context", "position", "category"]),
-        _list(top_words(sents, key, "sentence", s.pack, s.words), key, "words", ["rank"], ["word", "n"]),
-    ]
-    if found is not None:
-        parts.append(_list(found, key, "entities", ["type", "rank"], ["type", "text", "count"]))
-    out = base
-    for p in parts:
-        out = out.join(p, key, "left")
-    if found is None:
-        out = out.withColumn("entities", F.expr("cast(null AS array<struct<type:string,text:string,count:bigint>>)"))
-    names = ("quotes", "fragments", "risks", "numbers", "words", "entities")
-    return out.select(key, "n_words", "n_chars", "n_sentences", *[F.coalesce(n, F.array().cast(out.schema[n].dataType)).alias(n) for n in names])
+        found = ent.entity_counts(ent.spans(tagger(ent.tokens_of(sents, [key, "sent_idx"])), [key, "sent_idx"]), key, s.pack)
+        listed_ = F.sort_array(F.collect_list(F.struct("type", "rank", "text", "normalized", "count")))
+        out = out.join(found.groupBy(key).agg(listed_.alias("_found")), key, "left")
+        tokens = F.array_distinct(F.flatten(F.transform("_found", lambda e: ent.tokens(e["text"], e["normalized"]))))
+        held = strings_held(F.transform("_kept", F.lower), F.coalesce(tokens, F.array().cast("array<string>")))
+        entities = F.transform("_found", lambda e: F.struct(e["type"], e["text"], e["count"]))
+    else:
+        entities = F.expr("cast(null AS array<struct<type:string,text:string,count:bigint>>)")
+    out = out.withColumn("entities", F.coalesce(entities, F.array().cast("array<struct<type:string,text:string,count:bigint>>"))).withColumn("_held", held)
+
+    def place(x: Column) -> Column:
+        at = x["b"]["base"]
+        boosted = F.when(F.size("_kept") == 1, at).otherwise(at * factor(x["sentence"], x["held"], s.boost))
+        boosted = boosted if s.digits is None else F.round(boosted, s.digits)
+        return F.struct((-boosted).alias("o"), x["b"]["sent_idx"].alias("sent_idx"), x["sentence"].alias("sentence"), at.alias("base"))
+
+    zipped = F.arrays_zip(F.col("_kept").alias("sentence"), F.coalesce("_base", F.array().cast("array<struct<sent_idx:int,base:double>>")).alias("b"), F.col("_held").alias("held"))
+    out = out.withColumn("_best", F.slice(F.array_sort(F.transform(zipped, place)), 1, max(s.quotes, s.fragments)))
+    shown = lambda items: F.transform(items, lambda x: F.struct(x["sentence"], x["sent_idx"], x["base"], (-x["o"]).alias("boosted")))
+    in_order = F.array_sort(F.transform(F.slice("_best", 1, s.fragments), lambda x: F.struct(x["sent_idx"].alias("i"), x.alias("x"))))
+    top = F.transform(F.slice(F.coalesce("_words", F.array().cast("array<struct<o:bigint,word:string>>")), 1, s.words), lambda w: F.struct(w["word"], (-w["o"]).alias("n")))
+    return out.select(key, "n_words", "n_chars", "n_sentences", shown(F.slice("_best", 1, s.quotes)).alias("quotes"), shown(F.transform(in_order, lambda x: x["x"])).alias("fragments"),
+                      "risks", "numbers", top.alias("words"), "entities")
 
 
 def of_type(kind: str, name: str = "entities") -> Column:
@@ -88,6 +94,7 @@ def section(items: Column, line, empty: str | None = None, separator: str = "\n"
     return F.when(F.size(items) > 0, listed(items, line, separator)).otherwise(none)
 
 
+# The labels of markdown, plain_text and metadata_rows.
 def markdown(summary: DataFrame, key: str = "doc_id", seconds: Column | None = None, method: str = "LexRank + правила (без NER)") -> DataFrame:
     """key, markdown: numbered sections, with a sentence where one is empty."""
     people, groups, places = of_type("PER"), of_type("ORG"), of_type("LOC")

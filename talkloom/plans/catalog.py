@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,11 +12,15 @@ from ..functions.lexicons import TEST
 from ..operators import entities as ent
 from ..operators import intervals, rank, report, transcript, vectors
 from ..sources import sessions as src
+from ..sources.shared import stored
+from . import summary_sql
 from .tables import participants, read, samples, turns
 
 PLAIN = rank.RankSettings(pack=TEST)
 FIXED = rank.RankSettings(pack=TEST, tolerance=0.0, max_iterations=20)
-SUMMARY = report.SummarySettings(pack=TEST, rank=PLAIN)
+SUMMARY = report.SummarySettings(pack=TEST, rank=PLAIN, digits=6)
+#: Amounts need a unit, so that dates and numbers in words stand on their own too.
+KINDS = replace(TEST, amount=r"\d+[\d.,]*\s*(?:%|km|kg|ms|px|mb|gb|x|years?|days?|hours?)", date=r"\d{1,2}[./]\d{1,2}(?:[./]\d{2,4})?", word_number=r"(?:the|der|les|los) [a-z]{3}")
 STOPS = ", ".join(f"'{w}'" for w in TEST.stop_words)
 
 
@@ -139,9 +145,10 @@ def key_fragments(spark, sf_dir):
 
 
 def document_quotes(spark, sf_dir):
-    """The five best sentences of every document, from its text."""
-    s = text.long_sentences(text.sentences(read(spark, sf_dir, "documents"), segmenter=_segmenter)).persist()
-    return rank.top_k(rank.lex_rank(s, s=PLAIN), 5).select("doc_id", "sent_idx", "sentence", "base", "boosted", "rank")
+    """The five best sentences of every document, from its text.  Scores are rounded before they are ranked."""
+    s = stored(text.long_sentences(text.sentences(read(spark, sf_dir, "documents"), segmenter=_segmenter)), "quotes")
+    scored = rank.lex_rank(s, s=PLAIN).withColumn("base", F.round("base", 6)).withColumn("boosted", F.round("boosted", 6))
+    return rank.top_k(scored, 5).select("doc_id", "sent_idx", "sentence", "base", "boosted", F.col("rank").cast("long").alias("rank"))
 
 
 # -- extraction ---------------------------------------------------------------------------------------
@@ -155,12 +162,21 @@ def risk_sentences(spark, sf_dir):
 def amounts(spark, sf_dir):
     """Amounts alone, as matches per document in order."""
     d = read(spark, sf_dir, "documents")
-    found = d.select("doc_id", F.posexplode(extract.hits(F.col("text"), TEST.amount, "AMOUNT")).alias("i", "h"))
-    return found.select("doc_id", F.col("i").cast("long").alias("i"), F.trim("h.match").alias("match"))
+    found = extract.all_hits(d, TEST.amount)
+    return found.select("doc_id", F.col("i").cast("long").alias("i"), F.col("position").cast("long").alias("position"), F.trim("match").alias("match"))
+
+
+def _numbers(spark, sf_dir, pack, limit):
+    n = extract.numbers(read(spark, sf_dir, "documents"), pack=pack, limit=limit)
+    return n.select("doc_id", F.col("position").cast("long").alias("position"), "match", "context", "category")
 
 
 def numbers_in_context(spark, sf_dir):
-    return extract.numbers(read(spark, sf_dir, "documents"), pack=TEST, limit=30)
+    return _numbers(spark, sf_dir, TEST, 30)
+
+
+def numbers_by_kind(spark, sf_dir):
+    return _numbers(spark, sf_dir, KINDS, 50)
 
 
 # -- transcripts --------------------------------------------------------------------------------------
@@ -273,7 +289,17 @@ def _summaries(spark, sf_dir):
 
 
 def doc_summary(spark, sf_dir):
-    return _summaries(spark, sf_dir)
+    """Sections as lists in text: what was chosen, and how often."""
+    def listed(name, line):
+        return F.array_join(F.transform(name, line), ",").alias(name)
+
+    text_ = lambda c: c.cast("string")
+    colon = lambda *parts: F.concat_ws(":", *parts)
+    return _summaries(spark, sf_dir).select(
+        "doc_id", F.col("n_words").cast("long").alias("n_words"), F.col("n_chars").cast("long").alias("n_chars"), F.col("n_sentences").cast("long").alias("n_sentences"),
+        listed("quotes", lambda q: text_(q["sent_idx"])), F.round(F.try_element_at("quotes", F.lit(1))["boosted"], 6).alias("best_score"), listed("fragments", lambda q: text_(q["sent_idx"])),
+        listed("risks", lambda r: colon(text_(r["position"]), F.array_join(r["triggers"], "|"))), listed("numbers", lambda n: colon(text_(n["position"]), n["category"], n["match"])),
+        listed("words", lambda w: colon(w["word"], text_(w["n"]))), listed("entities", lambda e: colon(e["type"], e["text"], text_(e["count"]))))
 
 
 def summary_markdown(spark, sf_dir):
@@ -379,10 +405,15 @@ def pq_vectors(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     sentences, sentence_stats, doc_words, top_words, token_shapes, tfidf_terms, similarity_edges, lexrank_scores, key_quotes, key_fragments, document_quotes,
-    risk_sentences, amounts, numbers_in_context, turn_words, word_confidence, turn_stats, transcript_stats, merged_turns, speaker_labels, stitched_chunks, protocol_table, plain_documents,
+    risk_sentences, amounts, numbers_in_context, numbers_by_kind, turn_words, word_confidence, turn_stats, transcript_stats, merged_turns, speaker_labels, stitched_chunks, protocol_table, plain_documents,
     entity_counts, entity_totals, doc_summary, summary_markdown, summary_text, prompt_table, rms_level, resampled, activity_runs, fixed_chunks, overlap_chunks, downmixed,
     session_history, session_words, file_manifest, pq_vectors)}
 
+SUMMED = summary_sql.summary(
+    SENTENCES, ENTITIES.replace("WITH tk AS (SELECT conv_id AS doc_id, turn AS sent_idx, regexp_extract_all(text,", ", tg AS (SELECT doc_id, sent_idx, regexp_extract_all(sentence,", 1)
+    .replace("FROM conversations)", "FROM src)").replace("FROM tk)", "FROM tg)"), STOPS, TEST.triggers, TEST)
+NUMBERS = "SELECT doc_id, position::BIGINT AS position, match, context, category FROM nums"
+
 SPAN = "WITH s AS (SELECT user_id AS key, (epoch_ms(max(ts)) - epoch_ms(min(ts))) // 1000 AS d FROM events GROUP BY ALL)"
 ORACLES: dict[str, str] = {
     "sentences": SENTENCES + "SELECT doc_id, sent_idx, sentence FROM sents",
@@ -405,8 +436,17 @@ SELECT doc_id, sent_idx, sentence, row_number() OVER (PARTITION BY doc_id ORDER
   len(string_split_regex(text, '\s+')) AS wc FROM conversations),
 r AS (SELECT doc_id, position, sentence, array_to_string(l, '|') AS triggers, len(l) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY len(l) DESC, position) AS rank FROM t WHERE wc BETWEEN 5 AND 80 AND len(l) > 0)
 SELECT * FROM r WHERE rank <= 12""",
-    "amounts": rf"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '(?i){TEST.amount}') AS l FROM documents)
-SELECT doc_id, unnest(l).trim() AS match, generate_subscripts(l, 1) - 1 AS i FROM t""",
+    "amounts": "WITH " + summary_sql.numbers(TEST, 30) + " SELECT doc_id, i - 1 AS i, position::BIGINT AS position, trim(match) AS match FROM am",
+    "numbers_in_context": "WITH " + summary_sql.numbers(TEST, 30) + NUMBERS,
+    "numbers_by_kind": "WITH " + summary_sql.numbers(KINDS, 50) + NUMBERS,
+    "document_quotes": SENTENCES.replace("WITH a AS", "WITH RECURSIVE a AS", 1) + rf""", src AS (SELECT * FROM sents WHERE len(string_split_regex(sentence, '\s+')) >= 8)"""
+    + summary_sql.ranked(STOPS) + f""",
+q AS (SELECT doc_id, sent_idx, sentence, round(base, 6) AS base, round(CASE WHEN n = 1 THEN base ELSE base * {summary_sql.SHAPED_LENGTH} END, 6) AS boosted FROM fin),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY boosted DESC, sent_idx) AS rank FROM q) SELECT * FROM r WHERE rank <= 5""",
+    "doc_summary": SUMMED + summary_sql.FLAT,
+    "summary_markdown": SUMMED + summary_sql.MARKDOWN,
+    "summary_text": SUMMED + summary_sql.TEXT,
+    "prompt_table": SUMMED + summary_sql.prompts(),
     "turn_words": WORDS + "SELECT session_id, seg_idx, word_idx, word AS text, (start_ms + word_idx * per)::BIGINT AS start_ms, (start_ms + word_idx * per + per)::BIGINT AS end_ms FROM wv",
     "word_confidence": WORDS + "SELECT session_id, level, count(*) AS n FROM wv GROUP BY ALL",
     "turn_stats": WORDS + """, a AS (SELECT session_id, seg_idx, min(confidence)::DOUBLE AS x, avg(confidence::DOUBLE) AS y FROM wv GROUP BY ALL)
