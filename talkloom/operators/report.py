@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import formats
@@ -14,7 +14,7 @@ from ..functions.text import Segmenter, split_sentences, topic_words, word_count
 from ..sources.shared import stored
 from . import entities as ent
 from .rank import BoostSettings, RankSettings, base_scores, factor, strings_held
-from .transcript import merged_turns, speaker_labels
+from .transcript import PREFIX, merged_turns, speaker_labels, transcript_stats
 
 
 @dataclass(frozen=True)
@@ -160,7 +160,8 @@ def plain_text(summary: DataFrame, key: str = "doc_id", title: Column | None = N
     return summary.select(key, body.alias("body"))
 
 
-COLORS = {"LOW": "C00000", "MEDIUM": "B8860B", "HIGH": "000000"}
+# Colours of words by confidence.
+COLORS = {"LOW": "C62828", "MEDIUM": "E65100", "HIGH": "000000"}
 
 
 def protocol_table(segments: DataFrame, participants: DataFrame, key: str = "session_id") -> DataFrame:
@@ -169,6 +170,30 @@ def protocol_table(segments: DataFrame, participants: DataFrame, key: str = "ses
     return turns.select(key, "turn", formats.clock(F.col("start_ms")).alias("time"), "speaker", F.col("text").alias("utterance"))
 
 
+def stats_line(stats: DataFrame, key: str = "session_id") -> DataFrame:
+    """key, line: segments, words, and words to be checked, of transcript_stats."""
+    n = lambda c: F.col(c).cast("string")
+    parts = F.concat_ws(", ", F.when(F.col("n_low") > 0, F.concat(F.lit("красным — "), n("n_low"))), F.when(F.col("n_medium") > 0, F.concat(F.lit("оранжевым — "), n("n_medium"))))
+    check = F.when(parts != "", F.concat(F.lit(" (требуют проверки: "), parts, F.lit(")"))).otherwise("")
+    return stats.select(key, F.concat(F.lit("Распознано сегментов: "), n("n_segments"), F.lit(", слов: "), n("n_words"), check, F.lit(".")).alias("line"))
+
+
+def protocol_parts(segments: DataFrame, words: DataFrame, participants: DataFrame, key: str = "session_id", prefix: str = PREFIX, auditors: DataFrame | None = None) -> DataFrame:
+    """key, part, place, line: what stands around the table of a protocol: the list of participants, the line of
+    statistics and the rows for signatures.  auditors: key and auditor, who signs last."""
+    who = speaker_labels(segments.select(key, "speaker_id").distinct(), participants, key, prefix)
+    who = who.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("speaker_id")))
+    rule = F.lit("    ____________________    /__________________/")
+    people = who.select(key, F.lit("participants").alias("part"), "place", F.concat(F.col("place").cast("string"), F.lit(". "), "speaker", F.lit("  [SPK_"), F.col("speaker_id").cast("string"), F.lit("]")).alias("line"))
+    stats = stats_line(transcript_stats(words, segments, key), key).select(key, F.lit("stats").alias("part"), F.lit(1).alias("place"), "line")
+    signed = who.select(key, F.lit("signatures").alias("part"), "place", F.concat("speaker", rule).alias("line"))
+    out = people.unionByName(stats).unionByName(signed)
+    if auditors is not None:
+        row = auditors.where(F.trim("auditor") != "").select(key, F.lit("signatures").alias("part"), F.lit(1_000_000).alias("place"), F.concat(F.lit("Аудитор / интервьюер: "), "auditor", rule).alias("line"))
+        out = out.unionByName(row)
+    return out
+
+
 def colored_utterances(words: DataFrame, keys: list[str], level: Column) -> DataFrame:
     """keys, utterance array<struct<text, level, color>> and html: each word with its level of confidence."""
     color = F.create_map(*[F.lit(x) for pair in COLORS.items() for x in pair])
