@@ -56,11 +56,36 @@ def bucket_of(column: str, modulus: int):
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))
 
 
-def pack_batches(batches, size: int):
-    """Re-cut pandas batches to at most `size` rows, so that long texts don't pile up in memory."""
-    for pdf in batches:
-        for i in range(0, len(pdf), size):
-            yield pdf.iloc[i : i + size]
+def in_runs(batches, columns: list[str], rows: int = 200_000, most: int = 1_000_000):
+    """Blocks of whole runs of the first column, which must be sorted; a run of more than `most` rows is cut.
+    Gives the block's arrays and whether its first run goes on from the block before."""
+    held, n, cont = [], 0, False
+
+    def block(final):
+        nonlocal held, n, cont
+        data = [np.concatenate([b[i] for b in held]) for i in range(len(columns))]
+        end = len(data[0])
+        if not final:
+            end = int(np.searchsorted(data[0], data[0][-1]))
+            if end == 0 and len(data[0]) < most:
+                held, n = [data], len(data[0])
+                return None
+        cut = end == 0
+        end = end or len(data[0])
+        out, was = [x[:end] for x in data], cont
+        cont = cut
+        held = [[x[end:] for x in data]] if end < len(data[0]) else []
+        n = len(data[0]) - end
+        return out, was
+
+    for batch in batches:
+        if len(batch):
+            held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in columns])
+            n += len(batch)
+            if n >= rows and (got := block(False)):
+                yield got
+    if n and (got := block(True)):
+        yield got
 
 
 def by_bytes(texts, limit: int = 1 << 20):

@@ -6,8 +6,9 @@ A byte is removed if a string of LEAST bytes that covers it also starts in a doc
    of LEAST bytes share one.  An anchor's context reaches LEAST - GRAM bytes to both sides and thus covers
    every string of LEAST bytes that holds it.  Only hashes are shuffled: gram, context, key.
 2. Of the contexts of a gram that occurs in several documents, equal ones are pre-aggregated: all but the
-   smallest document hold a copy of the whole context (equal by two 64-bit hashes, gram and context).  Where a gram has several contexts, one text each
-   goes on.
+   smallest document hold a copy of the whole context.  They are equal by two 64-bit hashes, of 20 and of 80
+   bytes, which are too short to collide by their structure.  Where a gram has several contexts, one text
+   each goes on.
 3. Those texts meet by gram.  Their suffixes of LEAST bytes or more are sorted (the enhanced suffix array,
    cut at depth LEAST) with the lengths of common prefixes; a scan with a stack walks the tree of
    common-prefix intervals and gives, for each interval whose members differ in the byte to their left or
@@ -16,23 +17,25 @@ A byte is removed if a string of LEAST bytes that covers it also starts in a doc
 4. Covered spans return to their documents and are united.
 
 A gram with more than HOT contexts does not meet in one task: its strings of LEAST bytes are dealt and
-aggregated one by one.  Copies of whole documents are set aside first, by MD5 of their text.
+aggregated one by one.  Copies of whole documents are set aside first, by SHA-256 of their text.
 
 Edge cases: null texts count as empty; texts under LEAST bytes keep all; matches never cross documents; rows
-with a null key are kept whole and match nothing; rows with equal keys never remove each other's bytes;
-other columns stay.
+with a null key are kept whole and match nothing; rows with equal keys, of one text or several, never remove
+each other's bytes and are judged each by its own text; other columns stay.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free, gram_hashes, mix, slide, table, written
+from .common import free, gram_hashes, in_runs, mix, slide, table, written
 
-LEAST, GRAM, HOT = 50, 20, 100_000
+LEAST, GRAM, HOT = 50, 20, 20_000
+#: Lists of copies up to this length are broadcast; longer ones are joined by a shuffle.
+BROADCAST_COPIES = 1_000_000
 SIDE = LEAST - GRAM
 SPAN = LEAST + SIDE  #: bytes of a context
 PAD = 256
@@ -74,38 +77,6 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
     return docs.select("_key", "_text").mapInArrow(run, "gram long, context long, doc long")
 
 
-def in_runs(batches, columns: list[str], rows: int = 200_000, most: int = 1_000_000):
-    """Blocks of whole runs of the first column, which must be sorted; a run of more than `most` rows is cut.
-    Gives the block's arrays and whether its first run goes on from the block before."""
-    held, n, cont = [], 0, False
-
-    def block(final):
-        nonlocal held, n, cont
-        data = [np.concatenate([b[i] for b in held]) for i in range(len(columns))]
-        end = len(data[0])
-        if not final:
-            end = int(np.searchsorted(data[0], data[0][-1]))
-            if end == 0 and len(data[0]) < most:
-                held, n = [data], len(data[0])
-                return None
-        cut = end == 0
-        end = end or len(data[0])
-        out, was = [x[:end] for x in data], cont
-        cont = cut
-        held = [[x[end:] for x in data]] if end < len(data[0]) else []
-        n = len(data[0]) - end
-        return out, was
-
-    for batch in batches:
-        if len(batch):
-            held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in columns])
-            n += len(batch)
-            if n >= rows and (got := block(False)):
-                yield got
-    if n and (got := block(True)):
-        yield got
-
-
 def candidates(rows: DataFrame) -> DataFrame:
     """Of grams that occur in several documents: one row with `lead` for the smallest document of each
     context, if the gram has more contexts, and one without it for each other document of a context."""
@@ -281,17 +252,23 @@ def hot_spans(texts: DataFrame) -> DataFrame:
     return each.join(least, "s").where("doc > least").select("doc", "context", F.col("start").cast("int"), (F.col("start") + LEAST).cast("int").alias("end"))
 
 
-def spans_of(df: DataFrame, key: str, text: str, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """(_key, _text) of all rows with a key, and doc, contexts, starts, ends of what to remove; a copy of a
-    whole earlier document has context 0 from 0 to its length."""
-    spark = df.sparkSession
-    docs = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    same = docs.where(F.octet_length("_text") >= LEAST).select("_key", F.md5("_text").alias("m"), F.octet_length("_text").alias("n"))
-    firsts = same.groupBy("m", "n").agg(F.min("_key").alias("first"), F.max("_key").alias("last")).where("first < last")
-    copies = written(same.join(firsts, ["m", "n"]).where("_key > first").select("_key", "n"), "suffix-copies")
-    ids = copies.select("_key")
-    ids = F.broadcast(ids) if ids.count() <= 1_000_000 else ids
-    unique = docs.join(ids, "_key", "left_anti")
+def sha(text: Column) -> Column:
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
+def copies_of(docs: DataFrame) -> DataFrame:
+    """(_key, _sha) of the rows of LEAST bytes or more whose whole text a smaller key has too."""
+    same = docs.where(F.octet_length("_text") >= LEAST).select("_key", sha(F.col("_text")).alias("_sha"))
+    firsts = same.groupBy("_sha").agg(F.min("_key").alias("first"), F.max("_key").alias("last")).where("first < last").select("_sha", "first")
+    firsts = written(firsts, "suffix-firsts")
+    few = firsts.count() <= BROADCAST_COPIES
+    return written(same.join(F.broadcast(firsts) if few else firsts, "_sha").where("_key > first").select("_key", "_sha").distinct(), "suffix-copies")
+
+
+def marks_of(docs: DataFrame, copies: DataFrame, hot: int = HOT) -> DataFrame:
+    """doc, _marks: contexts, starts and ends of what to remove, of all but copies."""
+    spark = docs.sparkSession
+    unique = docs.withColumn("_sha", sha(F.col("_text"))).join(copies, ["_key", "_sha"], "left_anti").select("_key", "_text")
     found = written(candidates(anchor_rows(unique)), "suffix-candidates")
     free(spark)
     texts = written(context_texts(docs, found.where("lead").select("doc", "context")), "suffix-contexts")
@@ -301,25 +278,18 @@ def spans_of(df: DataFrame, key: str, text: str, hot: int = HOT) -> tuple[DataFr
     if not many.isEmpty():
         spans = spans.unionByName(hot_spans(texts.join(F.broadcast(many), "gram", "left_semi")))
     whole = found.where(~F.col("lead")).select("doc", "context", F.lit(-SIDE).alias("start"), F.lit(LEAST).alias("end"))
-    gone = copies.select(F.col("_key").alias("doc"), F.lit(0).cast("long").alias("context"), F.lit(0).alias("start"), F.col("n").alias("end"))
-    every = spans.unionByName(whole).unionByName(gone)
-    marks = every.groupBy("doc").agg(F.collect_list(F.struct("context", "start", "end")).alias("_marks"))
-    return docs, marks
+    return spans.unionByName(whole).groupBy("doc").agg(F.collect_list(F.struct("context", "start", "end")).alias("_marks"))
 
 
 def removal(data: bytes, marks) -> list[tuple[int, int]]:
     """Maximal spans to remove, from a document's marks."""
     context, start, end = marks
     step = np.zeros(len(data) + 1, np.int32)
-    copies = context == 0
-    for s, e in zip(start[copies].tolist(), end[copies].tolist(), strict=True):
-        step[s] += 1
-        step[e] -= 1
     at, _, own = anchors(data)
     own = own.view(np.int64)
     order = np.argsort(own, kind="stable")
     lo, hi = np.searchsorted(own[order], context, "left"), np.searchsorted(own[order], context, "right")
-    sizes = np.where(copies, 0, hi - lo)
+    sizes = hi - lo
     index = np.repeat(lo - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(sizes.sum())
     p = at[order[index]]
     np.add.at(step, np.clip(p + np.repeat(start, sizes), 0, len(data)), 1)
@@ -329,22 +299,27 @@ def removal(data: bytes, marks) -> list[tuple[int, int]]:
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
-    """df with `kept` (binary, what is left of each text), n_bytes, n_removed and n_spans."""
-    _, marks = spans_of(df, key, text, hot)
+    """df with `kept` (binary, what is left of each text), n_bytes, n_removed and n_spans instead of text."""
+    docs = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    copies = copies_of(docs)
+    copies = F.broadcast(copies) if copies.count() <= BROADCAST_COPIES else copies
     made = ["kept", "n_bytes", "n_removed", "n_spans"]
-    keep = [c for c in df.columns if c not in made]
-    rest = [c for c in keep if c != text]
-    both = df.select(*keep).join(marks.withColumnRenamed("doc", "_doc"), F.col(key).cast("long") == F.col("_doc"), "left").drop("_doc")
-    schema = df.select(*rest, F.lit(b"").alias("kept"), *[F.lit(0).cast("long").alias(c) for c in made[1:]]).schema
+    lent = {c: f"_c{i}" for i, c in enumerate(df.columns) if c not in made}  # so that no name clashes with those used here
+    rest = [n for c, n in lent.items() if c != text]
+    rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in lent.items()])
+    rows = rows.withColumn("_key", F.col(lent[key]).cast("long")).withColumn("_sha", sha(F.coalesce(lent[text], F.lit(""))))
+    rows = rows.join(copies.withColumn("_gone", F.lit(True)), ["_key", "_sha"], "left")
+    rows = rows.join(marks_of(docs, copies, hot).withColumnRenamed("doc", "_key"), "_key", "left").select(*lent.values(), "_gone", "_marks")
+    schema = rows.select(*rest, F.lit(b"").alias("kept"), *[F.lit(0).cast("long").alias(c) for c in made[1:]]).schema
 
     def run(batches):
         for batch in batches:
-            texts, marked = batch.column(text).to_pylist(), batch.column("_marks")
+            texts, copied, marked = batch.column(lent[text]).to_pylist(), batch.column("_gone").to_pylist(), batch.column("_marks")
             kept, sizes, gone, spans = [], [], [], []
             for i, t in enumerate(texts):
                 data = (t or "").encode()
-                found = []
-                if marked[i].is_valid:
+                found = [(0, len(data))] if copied[i] else []
+                if marked[i].is_valid and not found:
                     values = marked[i].values
                     found = removal(data, [values.field(c).to_numpy(zero_copy_only=False) for c in ("context", "start", "end")])
                 left, at = [], 0
@@ -357,7 +332,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", hot:
                 spans.append(len(found))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(kept, pa.binary()), *[pa.array(x, pa.int64()) for x in (sizes, gone, spans)]], [*rest, *made])
 
-    return both.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select(*[F.col(n).alias(c) for c, n in lent.items() if c != text], *made)
 
 
 def as_text(df: DataFrame, kept: str = "kept", text: str = "text") -> DataFrame:
