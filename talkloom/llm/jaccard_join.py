@@ -11,32 +11,41 @@ Sets with too few non-empty segments (`lacking`) agree with others in empty ones
 so their own probes prove nothing and they go on as sets that need more.
 
 Sets that need more (`hard`) are counted again among themselves, where common passages are rare.  Those
-still hard show empty segments too and one-deletion neighbourhoods (a segment less one shingle): a segment shown so covers
-two differences, and each set buys the cheapest units.  What then still needs signatures over CAP are large
-families of near copies: they form blocks (components over their common signatures), each set goes to its
-block once, and the block is joined exactly with an inverted index, in pairs of chunks if it is large;
-only a spanning forest of links leaves the task.
+still hard show empty segments too and one-deletion neighbourhoods (a segment less one shingle): a segment
+shown so covers two differences, and each set buys the cheapest units.  What then still needs signatures over
+CAP are large families of near copies.  They form blocks (components over their common signatures).
 
-Candidate pairs, each once, are verified on the whole sets; first those with a set's smallest partner, then
-those between components that are still apart.  Copies of whole texts are set aside first.
+Candidate pairs, each once, lose those whose parity sketches differ in more bits than a linked pair's sets
+may differ in shingles (a bound that holds for every pair).  The rest are verified on the whole sets; first
+those with a set's smallest partner, then those between components that are still apart.  In a block, the
+members of the largest component need no test among themselves: only the others (`minor`) are tested against
+all members, by an inverted index, in tasks of SHINGLES shingles of either side; only a spanning forest of
+the links leaves a task.
+
+Copies of whole texts (equal SHA-256) are set aside first.  Sets are compared by 64-bit hashes of shingles;
+words of over LONG bytes are hashed by BLAKE2b, so that no family of long words collides by its structure.
 
 Edge cases: null, empty and wordless texts have no shingles and link with nothing; texts of one to four
 words are one shingle; a null key gets a null component; rows with equal keys stand for one document by
-their union of links; other columns are not read.
+their union of links, each row with the set size of its own text; other columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, free, mix, span_hashes, table, written
+from .common import components, free, in_runs, mix, span_hashes, table, written
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
-CAP, SLACK, CHUNK = 48, 1.25, 1500
+CAP, SLACK, SHINGLES, LONG = 48, 1.25, 1 << 20, 64
+#: Lists of keys up to this length are broadcast; longer ones are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 OWN, BELOW, SIZE = 0, 1, 2
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -56,6 +65,8 @@ def shingles(text: str | None) -> np.ndarray:
     if not len(starts):
         return np.empty(0, _U)
     h = span_hashes(a, starts, ends)
+    for i in np.flatnonzero(ends - starts > LONG):
+        h[i] = int.from_bytes(hashlib.blake2b(a[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
     n = len(h) - WORDS + 1
     if n < 1:
         return mix(np.array([np.bitwise_xor.reduce(mix(h + np.arange(1, len(h) + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)))], _U) + _U(len(h)))
@@ -127,56 +138,92 @@ def signature_rows(docs: DataFrame) -> DataFrame:
                 if sig:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(doc)), pa.array(np.concatenate(info))], ["sig", "doc", "info"])
 
-    return docs.select("_key", "_text").mapInArrow(run, "sig long, doc long, info long")
-
+    return docs.select("_node", "_text").mapInArrow(run, "sig long, doc long, info long")
 
-def shared(rows: DataFrame) -> DataFrame:
-    """Adds freq, the number of rows with the same sig; rows alone are dropped, sizes kept."""
-    from .suffix_dedup import in_runs
 
+def counted(rows: DataFrame, others: tuple[str, ...]) -> DataFrame:
+    """rows (sig, ...) with freq, the number of rows with the same sig; rows alone are dropped, sizes kept.
+    Sorted runs are counted as they stream by, so that common signatures need no join."""
     rows = rows.repartition("sig").sortWithinPartitions("sig")
+    names = ["sig", *others]
+    schema = rows.select(*names, F.lit(0).cast("long").alias("freq")).schema
 
     def run(batches):
-        for (sig, doc, info), goes_on in in_runs(batches, ["sig", "doc", "info"]):
+        for columns, goes_on in in_runs(batches, names):
+            sig = columns[0]
             starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
             n = np.diff(np.append(starts, len(sig)))
             freq = np.repeat(n, n)
             if goes_on or len(sig) >= 1_000_000:  # a run that was cut is common in any case
                 freq = np.where((sig == sig[0]) | (sig == sig[-1]), np.maximum(freq, CAP + 1), freq)
-            use = (freq > 1) | (info & 3 == SIZE)
-            yield pa.RecordBatch.from_arrays([pa.array(x[use]) for x in (sig, doc, info, freq)], ["sig", "doc", "info", "freq"])
+            use = freq > 1
+            if "info" in others:
+                use |= columns[names.index("info")] & 3 == SIZE
+            yield pa.RecordBatch.from_arrays([pa.array(x[use]) for x in (*columns, freq)], schema.names)
 
-    return rows.mapInArrow(run, "sig long, doc long, info long, freq long")
+    return rows.mapInArrow(run, schema)
 
 
-def allocate(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows: sig, doc, info, freq (over 1).  Probes (sig, doc, freq): the cheapest signatures that a set
-    needs besides its own, and the sets (doc, info) that need some shared by more than CAP or are lacking."""
+def allocate(rows: DataFrame) -> DataFrame:
+    """rows: sig, doc, info, freq (over 1).  For each doc and info: probes, the cheapest signatures shared by
+    CAP or fewer that a set needs besides its own, and, where it needs others or is lacking, all its rows."""
     each = rows.groupBy("doc", "info").agg(F.sort_array(F.collect_list(F.struct("freq", "sig"))).alias("l"))
     lacking = F.shiftright("info", 2).bitwiseAND(1) == 1
     need = F.greatest(F.size("l") - F.shiftright("info", 3), F.lit(0)).cast("int")  # -slack units are lacking besides
-    each = each.select("doc", "info", F.slice("l", F.lit(1), need).alias("l")).where(lacking | (F.size("l") > 0))
-    probes = each.where(~lacking).select("doc", F.explode("l").alias("x")).select("x.sig", "doc", "x.freq")
-    hard = each.where(lacking | F.exists("l", lambda x: x["freq"] > CAP)).select("doc", "info")
-    return probes, hard
+    needed = F.slice("l", F.lit(1), need)
+    probes = F.when(~lacking, F.filter(needed, lambda x: x["freq"] <= CAP))
+    hard = lacking | F.exists(needed, lambda x: x["freq"] > CAP)
+    return each.select("doc", "info", probes.alias("probes"), F.when(hard, F.col("l")).alias("hard")).where((F.size("probes") > 0) | F.col("hard").isNotNull())
+
+
+def probes_of(plan: DataFrame) -> DataFrame:
+    return plan.select("doc", F.explode("probes").alias("x")).select("x.sig", "doc")
+
 
+def met(stages: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """Distinct (a, b), a < b, of each stage's probes (sig, doc) and the sets (sig, doc) that show their signatures."""
+    probes, index = (None, None)
+    for i, (p, s) in enumerate(stages):
+        p, s = p.select(F.lit(i).alias("stage"), "sig", F.col("doc").alias("x")), s.select(F.lit(i).alias("stage"), "sig", "doc")
+        probes, index = (p, s) if probes is None else (probes.union(p), index.union(s))
+    both = probes.join(index, ["stage", "sig"]).where("x <> doc")
+    return both.select(F.least("x", "doc").alias("a"), F.greatest("x", "doc").alias("b")).distinct()
 
-def pairs_of(probes: DataFrame, index: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, of each probe and the sets that show its signature."""
-    met = probes.where(F.col("freq") <= CAP).select("sig", F.col("doc").alias("x")).join(index.select("sig", "doc"), "sig")
-    return met.where("x <> doc").select(F.least("x", "doc").alias("a"), F.greatest("x", "doc").alias("b")).distinct()
+
+def parity(s: np.ndarray) -> np.ndarray:
+    """Parity of the shingles in each of some 2n to 4n classes, as 64-bit words.  Sketches of two sets differ
+    in no more bits than the sets in shingles."""
+    words = 1 << max(2, (2 * len(s)).bit_length() - 6)
+    bits = np.bincount((s >> _U(20) & _U(words * 64 - 1)).astype(np.int64), minlength=words * 64) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc and its set (binary) of the wanted docs."""
+    """doc, its set (binary), n (set size) and sketch of the wanted docs."""
     n = wanted.count()
-    wanted = F.broadcast(wanted) if n <= 1_000_000 else wanted
+    wanted = F.broadcast(wanted) if n <= BROADCAST_KEYS else wanted
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["doc", "s"])
+            sets = [shingles(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
+                                              pa.array([parity(s) for s in sets], pa.list_(pa.int64()))], ["doc", "s", "n", "sketch"])
+
+    return docs.join(wanted, docs["_node"] == wanted["doc"], "left_semi").select("_node", "_text").mapInArrow(run, "doc long, s binary, n long, sketch array<long>")
+
+
+def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches leave possible."""
+    for x in "ab":
+        pairs = pairs.join(sets.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}")), x)
+    words = F.least(F.size("ka"), F.size("kb"))
+
+    def folded(c: str):  # sizes are a factor of 4/3 apart at most, so sketches of 2 at most
+        return F.when(F.size(c) > words, F.zip_with(F.slice(c, F.lit(1), words), F.slice(c, words + 1, words), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(c))
 
-    return docs.join(wanted, docs["_key"] == wanted["doc"], "left_semi").select("_key", "_text").mapInArrow(run, "doc long, s binary")
+    pairs = pairs.where(F.least("na", "nb") * DENOMINATOR >= F.greatest("na", "nb") * NUMERATOR)
+    bits = F.aggregate(F.zip_with(folded("ka"), folded("kb"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    return pairs.where(bits * (DENOMINATOR + NUMERATOR) <= (F.col("na") + F.col("nb")) * (DENOMINATOR - NUMERATOR)).select("a", "b")
 
 
 def linked(common: int, n: int, m: int) -> bool:
@@ -202,142 +249,202 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def deletion_rows(hard: DataFrame, sets: DataFrame) -> DataFrame:
-    """sig, doc, info (kind of partition), segment and whether it lacks a shingle, of the hard sets."""
-    both = sets.join(hard.groupBy("doc").agg(F.collect_set(F.col("info").bitwiseAND(3)).alias("kinds")), "doc")
+    """sig, doc, kind, need (units) of total (segments), segment and whether it lacks a shingle, of the hard
+    sets (doc, info)."""
+    both = sets.join(hard.groupBy("doc").agg(F.collect_set(F.col("info").bitwiseAND(3)).alias("kinds")), "doc").select("doc", "s", "kinds")
 
     def run(batches):
-        for pdf in batches:
-            for doc, raw, kinds in zip(pdf["doc"], pdf["s"], pdf["kinds"], strict=True):
+        for batch in batches:
+            for doc, raw, kinds in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s = np.frombuffer(raw, _U)
                 for kind, band, allowed in shows(s):
                     if kind in kinds:
                         ids, plain, segment, less = signatures(s, band, allowed, deletions=True)
-                        yield pd.DataFrame({
-                            "sig": np.concatenate([plain, less]).view(np.int64), "doc": doc, "info": kind, "need": allowed + 1,
-                            "segment": np.concatenate([ids, segment]), "lacks": np.repeat([False, True], [len(plain), len(less)])})
-
-    return both.mapInPandas(run, "sig long, doc long, info long, need long, segment long, lacks boolean")
-
-
-def allocate_units(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Like allocate, over one-deletion rows: a segment's first unit is its plain signature, its second all
-    those less one shingle; each set buys the units whose signatures are least shared."""
-    counted = rows.join(rows.groupBy("sig").agg(F.count("*").alias("freq")), "sig")
-    units = counted.groupBy("doc", "info", "need", "segment").agg(
-        F.max(F.when(~F.col("lacks"), F.col("freq"))).alias("c1"), F.sum(F.when(F.col("lacks"), F.col("freq") - 1)).alias("c2"),
-        F.max("freq").alias("most"))
-    one = F.struct((F.col("c1") - 1).alias("cost"), F.lit(0).alias("unit"), "segment", F.col("c1").alias("most"))
-    two = F.struct(F.greatest(F.col("c1") - 1, F.coalesce("c2", F.col("c1") - 1)).alias("cost"), F.lit(1).alias("unit"), "segment", "most")
-    each = units.groupBy("doc", "info", "need").agg(F.sort_array(F.flatten(F.collect_list(F.array(one, two)))).alias("l"))
-    each = each.select("doc", "info", F.slice("l", F.lit(1), F.col("need").cast("int")).alias("l"))
-    hard = each.where(F.exists("l", lambda x: x["most"] > CAP)).select("doc", "info")
-    chosen = each.select("doc", "info", F.explode("l").alias("x")).select("doc", "info", "x.segment", "x.unit")
-    bought = counted.join(chosen, ["doc", "info", "segment"]).where((F.col("unit") == 1) | ~F.col("lacks"))
-    return bought.select("sig", "doc", "freq").distinct(), hard
+                        n = len(plain) + len(less)
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array(np.concatenate([plain, less]).view(np.int64)), pa.array(np.full(n, doc, np.int64)), pa.array(np.full(n, kind, np.int64)),
+                            pa.array(np.full(n, allowed + 1, np.int64)), pa.array(np.full(n, len(ids), np.int64)), pa.array(np.concatenate([ids, segment])),
+                            pa.array(np.repeat([0, 1], [len(plain), len(less)]))], ["sig", "doc", "kind", "need", "total", "segment", "lacks"])
+
+    return both.mapInArrow(run, "sig long, doc long, kind long, need long, total long, segment long, lacks long")
+
+
+def units(rows: DataFrame) -> DataFrame:
+    """sig, doc, freq, bought and hard.  rows: of deletion_rows, counted, without those alone, which cost
+    nothing.  A segment's first unit is its plain signature, its second all those less one shingle; a set
+    buys the units whose signatures are least shared, and is hard if it buys some shared by more than CAP."""
+    each = rows.groupBy("doc", "kind", "need", "total").agg(F.collect_list(F.struct("sig", "freq", "segment", "lacks")).alias("l"))
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(4)
+            for i, (doc, need, total) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), strict=True)):
+                sig, freq, segment, lacks = (lists[i].values.field(c).to_numpy() for c in ("sig", "freq", "segment", "lacks"))
+                plain = lacks == 0
+                first, second = np.zeros(total, np.int64), np.zeros(total, np.int64)
+                np.maximum.at(first, segment[plain], freq[plain] - 1)
+                np.add.at(second, segment[~plain], freq[~plain] - 1)
+                cost = np.stack([first, np.maximum(first, second)])
+                unit, at = np.divmod(np.lexsort([np.repeat([0, 1], total), cost.ravel()])[:need], total)
+                got = np.zeros((2, total), bool)
+                got[unit, at] = True
+                bought = np.where(plain, got[0][segment], got[1][segment])
+                hard = bool((freq[bought] > CAP).any())
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.full(len(sig), doc, np.int64)), pa.array(freq), pa.array(bought), pa.array(np.full(len(sig), hard))],
+                                                 ["sig", "doc", "freq", "bought", "hard"])
+
+    return each.mapInArrow(run, "sig long, doc long, freq long, bought boolean, hard boolean")
+
+
+def stars(rows: DataFrame) -> DataFrame:
+    """Distinct (a, b): each hard set b with the smallest set a that shows one of its common signatures, of
+    those that some set has bought."""
+    rows = rows.where(F.col("hard") & (F.col("freq") > CAP))
+    of = Window.partitionBy("sig")
+    first = rows.select(F.min("doc").over(of).alias("a"), F.col("doc").alias("b"), F.max("bought").over(of).alias("use"))
+    return first.where("use AND a <> b").select("a", "b").distinct()
 
 
 def block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """A spanning forest (a, b) of the links within each block.  members: doc, block."""
-    sized = members.join(members.groupBy("block").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "block")
-    sized = sized.withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    dealt = sized.withColumn("o", other).select("doc", "block", "chunk", F.least("chunk", "o").alias("c1"), F.greatest("chunk", "o").alias("c2"))
-    dealt = dealt.join(sets, "doc")
+    """Links (a, b) within each block that join its components to all they link with: minor members against
+    all.  members: doc, block, component."""
+    members = members.join(sets.select("doc", "n"), "doc")
+    parts = members.groupBy("block", "component").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    most = parts.groupBy("block").agg(F.max(F.struct("k", "component"))["component"].alias("largest"), F.sum("n").alias("n"))
+    most = most.join(parts.groupBy("block", "component").agg(F.sum("n").alias("own")).withColumnRenamed("component", "largest"), ["block", "largest"])
+    pieces = lambda n: F.greatest(F.ceil(n / SHINGLES), F.lit(1)).cast("int")
+    most = written(most.where("n > own").select("block", "largest", pieces(F.col("n") - F.col("own")).alias("chunks"), pieces(F.col("n")).alias("parts")), "join-large")
+    at = members.join(most, "block").withColumn("h", F.abs(F.xxhash64("doc") % (1 << 40)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: (F.col("h") % F.col(n)).cast("int")
+    minor = at.where("component <> largest").select("block", own("chunks").alias("chunk"), every("parts").alias("part"), "doc", "component", F.lit(True).alias("minor"))
+    dealt = minor.union(at.select("block", every("chunks").alias("chunk"), own("parts").alias("part"), "doc", "component", F.lit(False)))
+    dealt = dealt.join(sets.select("doc", "s"), "doc")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        docs = pdf["doc"].to_numpy()
-        order = np.argsort(docs, kind="stable")
-        docs, chunk = docs[order], pdf["chunk"].to_numpy()[order]
-        sets_ = [np.frombuffer(pdf["s"].iloc[i], _U) for i in order]
-        size = np.array([len(s) for s in sets_])
-        owner = np.repeat(np.arange(len(docs)), size)
-        token = np.unique(np.concatenate(sets_), return_inverse=True)[1]
-        by_token = np.argsort(token, kind="stable")
-        bounds = np.searchsorted(token[by_token], np.arange(token.max() + 2))
-        first = np.append(0, np.cumsum(size))
-        root = list(range(len(docs)))
+        few, all_ = pdf[pdf["minor"]], pdf[~pdf["minor"]]
+        tokens = [np.frombuffer(x, _U) for x in few["s"]]
+        size = np.array([len(x) for x in tokens], np.int64)
+        docs, group = few["doc"].to_numpy(), few["component"].to_numpy()
+        root: dict[int, int] = {}
 
         def find(i):
-            while root[i] != i:
-                root[i] = root[root[i]]
+            while root.get(i, i) != i:
+                root[i] = root.get(root[i], root[i])
                 i = root[i]
             return i
 
         out = []
-        across = pdf["c1"].iloc[0] != pdf["c2"].iloc[0]
-        for i in range(len(docs)):
-            mine = token[first[i] : first[i + 1]]
-            meets = np.concatenate([owner[by_token[bounds[t] : bounds[t + 1]]] for t in mine])
-            common = np.bincount(meets[meets > i], minlength=len(docs))
-            for j in np.flatnonzero(DENOMINATOR * common >= NUMERATOR * (size[i] + size - common)):
-                if j > i and (not across or chunk[i] != chunk[j]) and (a := find(i)) != (b := find(int(j))):
-                    root[max(a, b)] = min(a, b)
-                    out.append((docs[i], docs[j]))
+        if len(few):
+            token, number = np.unique(np.concatenate(tokens), return_inverse=True)
+            order = np.argsort(number, kind="stable")
+            owner = np.repeat(np.arange(len(few)), size)[order]
+            bounds = np.append(0, np.cumsum(np.bincount(number)))
+            for doc, component, raw in zip(all_["doc"], all_["component"], all_["s"], strict=True):
+                s = np.frombuffer(raw, _U)
+                t = np.minimum(np.searchsorted(token, s), len(token) - 1)
+                t = t[token[t] == s]
+                n = bounds[t + 1] - bounds[t]
+                spread = np.repeat(bounds[t] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+                common = np.bincount(owner[spread], minlength=len(few))
+                for j in np.flatnonzero((common > 0) & (DENOMINATOR * common >= NUMERATOR * (len(s) + size - common)) & (group != component)):
+                    if (x := find(int(component))) != (y := find(int(group[j]))):
+                        root[max(x, y)] = min(x, y)
+                        out.append((doc, docs[j]))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return dealt.groupBy("block", "c1", "c2").applyInPandas(run, "a long, b long")
+    return dealt.groupBy("block", "chunk", "part").applyInPandas(run, "a long, b long")
+
+
+def sha() -> Column:
+    return F.unhex(F.sha2(F.col("_text").cast("binary"), 256)).alias("sha")
+
+
+def told_apart(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docs (_key, _text) with _node, a number of its own for each key and text: the key, but for keys with
+    several texts; (_node, first) of each node whose text another node, first, stands for; and (_key, sha,
+    _node) of the keys with several texts."""
+    spark = docs.sparkSession
+    texts = written(docs.select("_key", sha()).groupBy("_key", "sha").agg(F.count("*").alias("rows")), "join-texts")
+    several = texts.groupBy("_key").agg(F.count("*").alias("n")).where("n > 1").select("_key")
+    lowest = F.lit(min(0, texts.agg(F.min("_key")).first()[0] or 0))
+    odd = written(texts.join(several, "_key", "left_semi").select("_key", "sha", (lowest - 1 - F.monotonically_increasing_id()).alias("_node")), "join-odd")
+    if odd.isEmpty():
+        docs, texts = docs.withColumn("_node", F.col("_key")), texts.withColumn("_node", F.col("_key"))
+    else:
+        docs = docs.withColumn("sha", sha()).join(odd, ["_key", "sha"], "left").select("_key", "_text", F.coalesce("_node", "_key").alias("_node"))
+        texts = texts.join(odd, ["_key", "sha"], "left").select("_key", "sha", "rows", F.coalesce("_node", "_key").alias("_node"))
+    firsts = texts.groupBy("sha").agg(F.min(F.struct("_key", "_node"))["_node"].alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
+    firsts = written(firsts, "join-firsts")
+    few = firsts.count() <= BROADCAST_KEYS
+    copies = written(texts.join(F.broadcast(firsts) if few else firsts, "sha").where("_node <> first").select("_node", "first"), "join-copies")
+    again = texts.where("rows > 1").select("_node")
+    if not again.isEmpty():  # one of each of the rows repeated whole
+        again = written(again, "join-again")
+        docs = docs.join(again, "_node", "left_anti").unionByName(docs.join(again, "_node", "left_semi").dropDuplicates(["_node"]))
+    return docs, copies, odd
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each row's key with n_shingles and component_id, the smallest key reachable by links."""
     spark = df.sparkSession
-    docs = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    same = docs.select("_key", F.md5("_text").alias("m"), F.octet_length("_text").alias("n"))
-    firsts = same.groupBy("m", "n").agg(F.min("_key").alias("first"), F.max("_key").alias("last")).where("first < last")
-    copies = written(same.join(firsts, ["m", "n"]).where("_key > first").select("_key", "first"), "join-copies")
-    ids = copies.select("_key")
-    ids = F.broadcast(ids) if ids.count() <= 1_000_000 else ids
-    unique = docs.join(ids, "_key", "left_anti")
-
-    rows = written(shared(signature_rows(unique)), "join-signatures")
+    rows_ = df.select(F.col(key).alias("_own"), F.col(key).cast("long").alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    docs, copies, odd = told_apart(rows_.where("_key is not null").select("_key", "_text"))
+    gone = copies.select("_node")
+    unique = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, "_node", "left_anti")
+
+    rows = written(counted(signature_rows(unique), ("doc", "info")), "join-signatures")
     free(spark)
-    sizes = rows.where(F.col("info").bitwiseAND(3) == SIZE).select("doc", F.shiftright("info", 2).alias("n_shingles"))
-    sizes = sizes.groupBy("doc").agg(F.max("n_shingles").alias("n_shingles"))
+    sizes = rows.where(F.col("info").bitwiseAND(3) == SIZE).select(F.col("doc").alias("_node"), F.shiftright("info", 2).alias("n_shingles"))
     index = rows.where((F.col("info").bitwiseAND(3) != SIZE) & (F.col("freq") > 1))
-    probes, hard = allocate(index)
-    probes = written(probes, "join-probes")
-    pairs = pairs_of(probes, index)
-
-    hard = written(hard, "join-hard")
-    again = index.join(hard, ["doc", "info"], "left_semi").drop("freq")
-    again = written(again.join(again.groupBy("sig").agg(F.count("*").alias("freq")).where("freq > 1"), "sig"), "join-again")
-    probes, harder = allocate(again)
-    pairs = pairs.union(pairs_of(probes, again))
-    pairs = written(pairs.distinct(), "join-pairs")
-    harder = written(harder, "join-harder")
+    plan = written(allocate(index), "join-plan")
+    again = plan.where("hard is not null").select("doc", "info", F.explode("hard").alias("x")).select("x.sig", "doc", "info")
+    again = written(counted(again, ("doc", "info")), "join-again")
+    plan2 = written(allocate(again), "join-plan")
+    harder = plan2.where("hard is not null").select("doc", "info")
     free(spark)
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).union(harder.select("doc")).distinct()
-    sets = written(sets_of(unique, wanted), "join-sets")
-    dels = written(deletion_rows(harder, sets), "join-deletions")
-    bought, hardest = allocate_units(dels)
-    bought, hardest = written(bought, "join-bought"), written(hardest, "join-hardest")
-    pairs = pairs.union(pairs_of(bought, dels)).distinct()
-
-    common = bought.join(hardest.select("doc").distinct(), "doc", "left_semi").where(F.col("freq") > CAP).select("sig").distinct()
-    held = dels.join(common, "sig", "left_semi").join(hardest.select("doc").distinct(), "doc", "left_semi").select("sig", "doc").distinct()
-    stars = held.join(held.groupBy("sig").agg(F.min("doc").alias("b")), "sig").where("doc <> b").select(F.col("doc").alias("a"), "b")
-    blocks = components(stars, label="join-blocks")
-    forest = written(block_links(blocks.select(F.col("node").alias("doc"), F.col("component").alias("block")), sets), "join-forest")
+    hard_sets = written(sets_of(unique, harder.select("doc").distinct()), "join-sets")
+    dels = written(units(counted(deletion_rows(harder, hard_sets), ("doc", "kind", "need", "total", "segment", "lacks"))), "join-deletions")
+    star = written(stars(dels), "join-stars")
+    cheap = dels.where(F.col("bought") & (F.col("freq") <= CAP))
+    pairs = written(met([(probes_of(plan), index), (probes_of(plan2), again), (cheap, dels)]).union(star).distinct(), "join-pairs")
+    free(spark)
 
+    sets = written(sets_of(unique, pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()), "join-sets")
+    pairs = written(possible(pairs, sets), "join-pairs")
     # a set's smallest partner first; what it settles need not be verified pair by pair
-    pairs = written(pairs, "join-pairs")
     nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = written(verify(nearest, sets).union(forest), "join-links")
-    part = components(links, label="join-part")
-    part = written(part, "join-part")
+    links = written(verify(nearest, sets), "join-links")
+    part = written(components(links, label="join-part"), "join-part")
     rest = pairs.join(nearest, ["a", "b"], "left_anti")
     rest = rest.join(part.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
     rest = rest.join(part.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
     rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    more = written(verify(rest, sets), "join-links")
-    whole = written(components(links.union(more), label="join-whole"), "join-whole")
-
-    at = df.select(F.col(key), F.col(key).cast("long").alias("_key")).join(copies.distinct(), "_key", "left")
-    at = at.withColumn("_rep", F.coalesce("first", "_key"))
-    at = at.join(sizes.withColumnRenamed("doc", "_rep"), "_rep", "left").join(whole.withColumnRenamed("node", "_rep"), "_rep", "left")
-    own = F.when(F.coalesce("n_shingles", F.lit(0)) > 0, F.coalesce("component", "_rep")).otherwise(F.col("_key"))
-    return at.select(key, F.when(F.col("_key").isNotNull(), F.coalesce("n_shingles", F.lit(0))).alias("n_shingles"), own.alias("component_id"))
+    links = links.union(written(verify(rest, sets), "join-links"))
+    blocks = components(star, label="join-blocks").select(F.col("node").alias("doc"), F.col("component").alias("block"))
+    members = blocks.join(part.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "block", F.coalesce("component", "doc").alias("component"))
+    links = links.union(written(block_links(written(members, "join-members"), sets), "join-forest"))
+
+    renamed = not odd.isEmpty()
+    if renamed:  # a key's texts are linked
+        rep = odd.join(copies, "_node", "left").select("_key", F.coalesce("first", "_node").alias("_node"))
+        rep = written(rep.join(sizes.where("n_shingles > 0").select("_node"), "_node", "left_semi"), "join-odd")
+        links = links.union(rep.join(rep.groupBy("_key").agg(F.min("_node").alias("a")), "_key").where("a <> _node").select("a", F.col("_node").alias("b")))
+    whole = written(components(links, label="join-whole"), "join-whole")
+    if renamed:  # components are named by keys
+        keys = odd.select(F.col("_node").alias("node"), F.col("_key").alias("k"))
+        names = whole.join(keys, "node", "left").groupBy("component").agg(F.min(F.coalesce("k", "node")).alias("least"))
+        alone = keys.join(whole, "node", "left_anti").select("node", F.col("k").alias("component"))
+        whole = written(whole.join(names, "component").select("node", F.col("least").alias("component")).union(alone), "join-whole")
+        at = rows_.select("_own", "_key", sha()).join(odd, ["_key", "sha"], "left").select("_own", "_key", F.coalesce("_node", "_key").alias("_node"))
+    else:
+        at = rows_.select("_own", "_key", F.col("_key").alias("_node"))
+
+    at = at.join(copies, "_node", "left").select("_own", "_key", F.coalesce("first", "_node").alias("_node"))
+    at = at.join(sizes, "_node", "left").join(whole.withColumnRenamed("node", "_node"), "_node", "left")
+    own = F.when(F.coalesce("n_shingles", F.lit(0)) > 0, F.coalesce("component", "_node")).otherwise(F.col("_key"))
+    return at.select(F.col("_own").alias(key), F.when(F.col("_key").isNotNull(), F.coalesce("n_shingles", F.lit(0))).alias("n_shingles"), own.alias("component_id"))
 
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:

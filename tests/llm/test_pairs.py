@@ -62,7 +62,7 @@ def linked_groups(sets):
 def test_join_by_brute_force(spark, monkeypatch, cap, seed):
     """A small CAP sends the families through one-deletion neighbourhoods and blocks."""
     monkeypatch.setattr(jaccard_join, "CAP", cap)
-    monkeypatch.setattr(jaccard_join, "CHUNK", 20)
+    monkeypatch.setattr(jaccard_join, "SHINGLES", 1500)
     rows = near_copies(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     sets = shingle_sets(rows)
@@ -115,6 +115,65 @@ def test_short_texts_around_a_hub(spark):
     assert hubs == 6 and got == want and len(set(want.values())) == 6
 
 
+def groups(spark, rows):
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    return sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got)
+
+
+def test_hub_whose_shingles_share_a_segment(spark):
+    """Ten words in one segment of their band, and 120 copies that add two words in the two others."""
+    hub = "w1827 w4338 w1609 w1088 w1288 w3454 w4897 w2604 w535 w3423"
+    rows = [(0, hub)] + [(i, f"{hub} x{i} y{i}") for i in range(1, 121)]
+    sets = shingle_sets(rows)
+    want = linked_groups(sets)
+    assert groups(spark, rows) == [(d, len(sets[d]), want[d]) for d in sorted(sets)]
+
+
+def test_families_of_short_texts(spark, monkeypatch):
+    """Templates of 5 to 12 words with 60 to 200 variants each, beyond CAP."""
+    monkeypatch.setattr(jaccard_join, "CAP", 12)
+    rng = random.Random(21)
+    texts = []
+    for words in range(5, 13):
+        base = [f"b{words}x{i}" for i in range(words)]
+        texts.append(" ".join(base))
+        for i in range(rng.randint(60, 200)):
+            w = list(base)
+            for _ in range(rng.randint(1, 2)):
+                w.insert(rng.choice([0, len(w)]), f"v{rng.randrange(40)}")
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    sets = shingle_sets(rows)
+    want = linked_groups(sets)
+    assert groups(spark, rows) == [(d, len(sets[d]), want[d]) for d in sorted(sets)]
+
+
+def test_equal_keys_with_other_texts(spark):
+    """Rows of a key stand for one document by the union of their links."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (9, b + " more"), (7, c), (7, c), (8, c), (4, b), (4, "")]
+    assert groups(spark, rows) == sorted([(1, 26, 1), (5, 26, 1), (5, 26, 1), (9, 27, 1), (7, 26, 7), (7, 26, 7), (8, 26, 7), (4, 26, 1), (4, 0, 4)])
+
+
+def test_sketches_never_lose_a_link():
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 3000))).astype(np.uint64))
+        b = np.unique(np.concatenate([a[int(rng.integers(0, len(a) // 8 + 1)):], rng.integers(0, 1 << 63, int(rng.integers(0, len(a) // 8 + 1))).astype(np.uint64)]))
+        x, y = jaccard_join.parity(a), jaccard_join.parity(b)
+        while len(x) != len(y):
+            x, y = (x[: len(x) // 2] ^ x[len(x) // 2 :], y) if len(x) > len(y) else (x, y[: len(y) // 2] ^ y[len(y) // 2 :])
+        assert np.bitwise_count((x ^ y).view(np.uint64)).sum() <= len(np.setxor1d(a, b))
+
+
+def test_long_words_do_not_collide_by_structure():
+    thue = "a"
+    while len(thue) < 4096:
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    assert jaccard_join.shingles(thue) != jaccard_join.shingles(thue.translate(str.maketrans("ab", "ba")))
+
+
 def brute_passages(rows):
     seen, out = {}, {}
     for d, t in sorted(rows, key=lambda r: r[0]):
@@ -151,6 +210,26 @@ def test_passages_by_brute_force(spark, hot):
     assert got == brute_passages(rows)
 
 
+def test_passages_with_equal_keys_and_long_repeats(spark):
+    """Rows of a key don't remove each other's bytes; repeats of several thousand bytes are removed whole."""
+    rng = random.Random(31)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    a, b, long = word(200), word(300), word(6000)
+    rows = [(1, a), (5, a), (5, b), (9, b + "more"), (9, b + "more"), (2, "x" + long + "y"), (6, word(70) + long), (7, long[3000:] + word(10) + long[:2500]), (3, b[:40])]
+    earlier = lambda d: {t[i : i + 50] for k, t in rows if k < d for i in range(len(t) - 49)}
+    want = []
+    for d, t in rows:
+        seen, cover = earlier(d), bytearray(len(t))
+        for i in range(len(t) - 49):
+            if t[i : i + 50] in seen:
+                cover[i : i + 50] = b"\1" * 50
+        want.append((d, len(t), sum(cover), "".join(c for c, x in zip(t, cover, strict=True) if not x)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS _key", "2 AS _sha", "3 AS _gone", "4 AS _marks")
+    out = suffix_dedup.remove_repeats(df)
+    assert out.columns == ["doc_id", "_key", "_sha", "_gone", "_marks", "kept", "n_bytes", "n_removed", "n_spans"]
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], bytes(r["kept"]).decode()) for r in out.collect()) == sorted(want)
+
+
 def test_passage_edge_cases(spark, odd, empty):
     got = {}
     for r in suffix_dedup.as_text(suffix_dedup.remove_repeats(odd)).collect():
