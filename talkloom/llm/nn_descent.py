@@ -1,19 +1,22 @@
 """Approximate nearest neighbours: a neighbour graph by NN-descent, and greedy graph search.
 
-Building.  Equal vectors are one node.  Random hyperplanes deal the nodes into blocks of about an eighth of
-them, BLOCK at most, for each of TREES trees; neighbours within blocks start the graph.  Blocks that come
-out too large, as in dense regions, are split by further hyperplanes at their own medians.  Then, round by
-round and at every size, each node meets its neighbours and a share of those that name it, in one join; all
-pairs among them are tried, and those that beat the worst neighbour of either side go into the next graph.
-Rounds end when less than CHANGED of the edges are new; ROUNDS is only a bound against running on for ever.
+Building.  Equal vectors are one node.  Random hyperplanes deal the nodes into small blocks (BLOCK at most, in
+each of TREES trees); neighbours within blocks start the graph.  Blocks that come out too large, as in dense
+regions, are split by further hyperplanes at their own medians.  Then, round by round and at every size, each
+node meets its neighbours and a share of those that name it, in one join; all pairs among them of which one
+came in the round before are tried, and the EACH best for either side that beat its worst neighbour go into
+the next graph.  Nodes that nothing new has reached meet nobody, so rounds get smaller.  They end when less
+than CHANGED of the edges are new; ROUNDS is only a bound against running on for ever.
 Nearness is the inner product: vectors are scaled by the norm of the longest but LONGEST, and get one more
 component that makes all norms equal (less 1, so that it keeps its digits), so that the graph stands on
 distance and the order by inner product is kept.  The LONGEST are entries of every query, so that a few very
 long ones neither blur the others nor are missed.  Vectors are shuffled as float32.
 
-Searching.  A query starts at its own node, if it has one, at ENTRIES fixed nodes and the longest; each round it opens
-the OPEN best nodes of its pool and meets their neighbours; rounds end when the best POOL are all open,
-or after SEARCH_ROUNDS.  Queries run in blocks of QUERY_BLOCK, whose vectors are broadcast.
+Searching.  Queries with equal vectors are one.  They are dealt by hyperplanes into blocks of QUERIES at most;
+a block shares what it meets, so a node's vector is sent to it once.  A query starts at its own node, at
+ENTRIES fixed nodes and the longest; each round it opens the OPEN best nodes of its pool, and the block meets
+their neighbours and scores them for all its queries; rounds end when the best POOL of each query are open.
+Pools are a table between rounds; nothing of queries or vectors goes through the driver.
 The index covers every row; nothing is fitted on a sample but the hyperplanes' offsets (SAMPLE rows).
 
 Edge cases: vectors that are null, empty, zero, of another length than most, or hold null or non-finite
@@ -30,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import free, table, written
 
-K, BLOCK, TREES, ROUNDS, CHANGED, REVERSE, SAMPLE, SEED = 32, 2048, 12, 40, 0.01, 20, 4000, 5
-POOL, OPEN, ENTRIES, LONGEST, SEARCH_ROUNDS, QUERY_BLOCK = 128, 32, 32, 32, 7, 20_000
+K, BLOCK, TREES, ROUNDS, CHANGED, REVERSE, EACH, SAMPLE, SEED = 32, 256, 4, 40, 0.01, 20, 12, 4000, 5
+POOL, OPEN, ENTRIES, LONGEST, SEARCH_ROUNDS, QUERIES = 64, 16, 32, 32, 60, 256
 
 
 def matrix(column, dtype, width: int) -> np.ndarray:
@@ -91,26 +94,30 @@ def best(found: DataFrame, k: int) -> DataFrame:
     return ranked.select("node", F.transform(top, lambda x: x["nbr"]).alias("nbrs"), F.transform(top, lambda x: -x["d"]).alias("sims"))
 
 
-def blocks(vecs: DataFrame, width: int, n: int) -> DataFrame:
-    """node, nbr, sim within the blocks of each tree."""
+def cells(vecs: DataFrame, width: int, n: int, trees: int, size: int) -> DataFrame:
+    """tree, code, node, vec: vecs (node, vec) dealt by hyperplanes into cells of some `size` nodes for each tree."""
     rng = np.random.default_rng(SEED)
-    size = min(BLOCK, max(4 * K, n // 8))
     levels = max(0, int(np.ceil(np.log2(max(n, 1) / size))))
     some = vecs.where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(n, 1)))).limit(2 * SAMPLE)
     data = matrix([r["vec"] for r in some.collect()] or [bytes(4 * width)], np.float32, width)
-    planes = rng.normal(size=(TREES, max(levels, 1), width)).astype(np.float32)
+    planes = rng.normal(size=(trees, max(levels, 1), width)).astype(np.float32)
     offsets = np.median(np.einsum("nd,tld->tln", data, planes), axis=2)
 
     def deal(batches):
         for pdf in batches:
             x = matrix(pdf["vec"], np.float32, width)
-            for t in range(TREES if levels else 1):
+            for t in range(trees if levels else 1):
                 bits = (x @ planes[t, :levels].T > offsets[t, :levels]) if levels else np.zeros((len(x), 0), bool)
                 # a leading 1, so that codes of all depths differ
                 yield pd.DataFrame({"tree": t, "code": (1 << levels) + bits @ (1 << np.arange(levels)), "node": pdf["node"], "vec": pdf["vec"]})
 
     dealt = written(vecs.mapInPandas(deal, "tree int, code long, node long, vec binary"), "ann-blocks")
-    dealt = split(dealt, width, size)
+    return split(dealt, width, size)
+
+
+def blocks(vecs: DataFrame, width: int, n: int) -> DataFrame:
+    """node, nbr, sim within the blocks of each tree."""
+    dealt = cells(vecs, width, n, TREES, min(BLOCK, max(4 * K, n // 8)))
 
     def near(pdf: pd.DataFrame) -> pd.DataFrame:
         x, ids = matrix(pdf["vec"], np.float32, width), pdf["node"].to_numpy()
@@ -153,25 +160,29 @@ def split(dealt: DataFrame, width: int, size: int) -> DataFrame:
 
 
 def local_join(graph: DataFrame, vecs: DataFrame, width: int, turn: int) -> DataFrame:
-    """node, nbr, sim: new pairs among the neighbours of a common node that beat one side's worst.
-    Which of those that name a node it meets depends on turn."""
+    """node, nbr, sim: new pairs among the neighbours of a common node that beat one side's worst, the EACH best
+    of a side.  graph: node, nbrs, sims, fresh.  Which of those that name a node it meets depends on turn; those
+    that came last go first."""
     worst = F.when(F.size("nbrs") < K, F.lit(float("-inf"))).otherwise(F.element_at("sims", -1))
-    ahead = graph.select(F.col("node").alias("hub"), F.explode("nbrs").alias("node"))
-    order = Window.partitionBy("hub").orderBy(F.xxhash64("node", "hub", F.lit(turn)))
-    back = ahead.select(F.col("node").alias("hub"), F.col("hub").alias("node"))
+    ahead = graph.select(F.col("node").alias("hub"), F.explode(F.arrays_zip("nbrs", "fresh")).alias("e")).select("hub", F.col("e.nbrs").alias("node"), F.col("e.fresh").alias("fresh"))
+    order = Window.partitionBy("hub").orderBy(F.desc("fresh"), F.xxhash64("node", "hub", F.lit(turn)))
+    back = ahead.select(F.col("node").alias("hub"), F.col("hub").alias("node"), "fresh")
     back = back.withColumn("r", F.row_number().over(order)).where(F.col("r") <= REVERSE).drop("r")
-    meet = ahead.union(back).distinct()
+    meet = ahead.union(back).groupBy("hub", "node").agg(F.max("fresh").alias("fresh"))
+    meet = meet.withColumn("any", F.max("fresh").over(Window.partitionBy("hub"))).where("any").drop("any")
     full = vecs.join(graph, "node", "left").select("node", "vec", F.coalesce(worst, F.lit(float("-inf"))).cast("float").alias("worst"))
     rows = meet.join(full, "node").repartition("hub").sortWithinPartitions("hub")
 
     def pairs(hub_rows):
         ids = hub_rows["node"].to_numpy()
         x = matrix(hub_rows["vec"], np.float32, width)
-        floor = hub_rows["worst"].to_numpy()
+        floor, fresh = hub_rows["worst"].to_numpy(), hub_rows["fresh"].to_numpy(bool)
         sim = closeness(x)
-        better = sim > floor[:, None]
-        np.fill_diagonal(better, False)
-        i, j = np.nonzero(better)
+        sim[~((sim > floor[:, None]) & (fresh[:, None] | fresh[None, :]))] = -np.inf
+        np.fill_diagonal(sim, -np.inf)
+        if len(ids) > EACH:
+            sim[sim < -np.partition(-sim, EACH - 1, axis=1)[:, EACH - 1 : EACH]] = -np.inf
+        i, j = np.nonzero(sim > -np.inf)
         return ids[i], ids[j], sim[i, j]
 
     def run(batches):
@@ -198,73 +209,75 @@ def edges(graph: DataFrame) -> DataFrame:
 def build(vecs: DataFrame, width: int) -> DataFrame:
     """node, nbrs, sims of the neighbour graph."""
     n = vecs.count()
-    graph = written(best(blocks(vecs, width, n), K), "ann-graph")
+    every = F.transform("nbrs", lambda x: F.lit(True)).alias("fresh")
+    graph = written(best(blocks(vecs, width, n), K).select("node", "nbrs", "sims", every), "ann-graph")
     for turn in range(ROUNDS):
-        old = graph
-        graph = written(best(edges(old).union(local_join(old, vecs, width, turn)), K), "ann-graph")
+        new = best(edges(graph).union(local_join(graph, vecs, width, turn)), K)
+        was = graph.select("node", F.col("nbrs").alias("was"))
+        fresh = F.transform("nbrs", lambda x: ~F.coalesce(F.array_contains("was", x), F.lit(False))).alias("fresh")
+        graph = written(new.join(was, "node", "left").select("node", "nbrs", "sims", fresh), "ann-graph")
         free(vecs.sparkSession)
-        was = graph.join(old.select("node", F.col("nbrs").alias("was")), "node", "left")
-        same = F.size(F.array_intersect("nbrs", F.coalesce("was", F.array().cast("array<long>"))))
-        total, kept = was.agg(F.sum(F.size("nbrs")), F.sum(same)).first()
-        if (total or 0) - (kept or 0) <= CHANGED * (total or 0):
+        total, changed = graph.agg(F.sum(F.size("nbrs")), F.sum(F.size(F.filter("fresh", lambda x: x)))).first()
+        if (changed or 0) <= CHANGED * (total or 0):
             break
-    return graph
+    return graph.select("node", "nbrs", "sims")
 
 
 def search(graph: DataFrame, vecs: DataFrame, queries: DataFrame, width: int, k: int, longest: list[int]) -> DataFrame:
-    """query, node, score of the POOL (or 2k) best nodes found.  queries: query, start (a node, or null), qvec."""
+    """query, node, score of the POOL (or 2k) best nodes found.  queries: query (its own node), qvec."""
     pool_size = max(POOL, 2 * k)
     fixed = [r["node"] for r in vecs.orderBy(F.xxhash64("node")).limit(max(ENTRIES, k + 1)).select("node").collect()]
-    fixed = sorted({*fixed, *longest})
-    ahead = graph.select("node", "nbrs")
+    fixed = F.array(*[F.lit(x).cast("long") for x in sorted({*fixed, *longest})]) if fixed else F.array().cast("array<long>")
     order = Window.partitionBy("node").orderBy(F.xxhash64("nbr", "node"))
     back = graph.select(F.explode("nbrs").alias("node"), F.col("node").alias("nbr"))
     back = back.withColumn("r", F.row_number().over(order)).where(F.col("r") <= REVERSE).groupBy("node").agg(F.collect_list("nbr").alias("backs"))
-    links = written(ahead.join(back, "node", "full").select("node", F.array_union(F.coalesce("nbrs", F.array().cast("array<long>")), F.coalesce("backs", F.array().cast("array<long>"))).alias("links")), "ann-links")
-
-    first = F.array_union(F.array("start"), F.array(*[F.lit(x).cast("long") for x in fixed]) if fixed else F.array().cast("array<long>"))
-    parts = max(1, -(-queries.count() // QUERY_BLOCK))
-    done = None
-    for i in range(parts):
-        block = queries.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == i)
-        found = search_block(block, vecs, links, block.select("query", F.explode(first).alias("node")).where("node is not null"), width, pool_size)
-        done = found if done is None else done.union(found)
-    return done
-
-
-def search_block(block: DataFrame, vecs: DataFrame, links: DataFrame, start: DataFrame, width: int, pool_size: int) -> DataFrame:
-    rows = block.select("query", "qvec").collect()  # about QUERY_BLOCK
-    order = np.argsort([r["query"] for r in rows])
-    shared = block.sparkSession.sparkContext.broadcast((
-        np.array([rows[i]["query"] for i in order], np.int64), matrix([rows[i]["qvec"] for i in order], np.float32, width)))
-
-    def score(batches):
-        names, x = shared.value
-        for pdf in batches:
-            own = np.searchsorted(names, pdf["query"].to_numpy())
-            s = np.einsum("nd,nd->n", matrix(pdf["vec"], np.float32, width), x[own])
-            yield pd.DataFrame({"query": pdf["query"], "node": pdf["node"], "score": s})
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        return pairs.join(vecs, "node").mapInPandas(score, "query long, node long, score float").withColumn("opened", F.lit(False))
-
-    rank = Window.partitionBy("query").orderBy(F.desc("score"), "node")
-    shut = Window.partitionBy("query", "opened").orderBy(F.desc("score"), "node")
-
-    def pooled(df: DataFrame) -> DataFrame:
-        df = df.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= pool_size)
-        return written(df.withColumn("turn", ~F.col("opened") & (F.row_number().over(shut) <= OPEN)).drop("r"), "ann-pool")
-
-    pool = pooled(scored(start))
+    none = F.array().cast("array<long>")
+    links = written(graph.select("node", "nbrs").join(back, "node", "full").select("node", F.array_union(F.coalesce("nbrs", none), F.coalesce("backs", none)).alias("links")), "ann-links")
+
+    placed = cells(queries.select(F.col("query").alias("node"), F.col("qvec").alias("vec")), width, queries.count(), 1, QUERIES // 2)
+    pools = placed.select(F.col("code").alias("block"), F.col("node").alias("query"), F.col("vec").alias("qvec"), none.alias("nodes"),
+                          F.array().cast("array<float>").alias("scores"), F.array().cast("array<boolean>").alias("opened"), none.alias("turn"))
+    schema, pools = pools.schema, written(pools, "ann-pools")
+    reached = pools.select("block", F.explode(F.array_union(F.array("query"), fixed)).alias("node")).distinct()
+    seen = None
     for _ in range(SEARCH_ROUNDS):
-        turn = pool.where("turn")
-        if turn.isEmpty():
+        reached = written(reached, "ann-reached")
+        if reached.isEmpty():
             break
-        met = turn.join(links, "node").select("query", F.explode("links").alias("node")).distinct()
-        met = met.join(pool.select("query", "node"), ["query", "node"], "left_anti")
-        known = pool.select("query", "node", "score", (F.col("opened") | F.col("turn")).alias("opened"))
-        pool = pooled(known.union(scored(met)))
-    return pool.select("query", "node", "score")
+        seen = reached if seen is None else seen.union(reached)
+        rows = reached.join(vecs, "node").select("block", "node", "vec")
+        pools = written(pools.groupBy("block").cogroup(rows.groupBy("block")).applyInPandas(scored(width, pool_size), schema), "ann-pools")
+        turn = pools.select("block", F.explode("turn").alias("node")).distinct()
+        reached = turn.join(links, "node").select("block", F.explode("links").alias("node")).distinct().join(seen, ["block", "node"], "left_anti")
+    return pools.select("query", F.explode(F.arrays_zip("nodes", "scores")).alias("x")).select("query", F.col("x.nodes").alias("node"), F.col("x.scores").alias("score"))
+
+
+def scored(width: int, pool_size: int):
+    """The step of a search: a block's pools and the nodes it has reached give the next pools."""
+
+    def run(pools: pd.DataFrame, reached: pd.DataFrame) -> pd.DataFrame:
+        if not len(pools):
+            return pools
+        new = reached["node"].to_numpy(np.int64)
+        s = matrix(pools["qvec"], np.float32, width) @ matrix(reached["vec"], np.float32, width).T if len(new) else np.zeros((len(pools), 0), np.float32)
+        nodes, scores, opened, turn = [], [], [], []
+        for i in range(len(pools)):
+            old = np.asarray(pools["nodes"].iloc[i], np.int64)
+            use = np.argpartition(-s[i], pool_size)[:pool_size] if len(new) > pool_size else np.arange(len(new))
+            node = np.concatenate([old, new[use]])
+            score = np.concatenate([np.asarray(pools["scores"].iloc[i], np.float32), s[i][use]])
+            done = np.concatenate([np.asarray(pools["opened"].iloc[i], bool), np.zeros(len(use), bool)])
+            best_ = np.lexsort([node, -score])[:pool_size]
+            node, score, done = node[best_], score[best_], done[best_]
+            now = np.flatnonzero(~done)[:OPEN]
+            done[now] = True
+            nodes.append(node)
+            scores.append(score)
+            opened.append(done)
+            turn.append(node[now])
+        return pools.assign(nodes=nodes, scores=scores, opened=opened, turn=turn)
+
+    return run
 
 
 def nearest(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", k: int = 20) -> DataFrame:
@@ -275,14 +288,15 @@ def nearest(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embeddi
     members = written(members, "ann-members")
     graph = build(vecs, width)
     asking = rows.where("asks").select(F.col("id").alias("query"), "v")
-    queries = written(asking.join(members.withColumnRenamed("id", "query").withColumnRenamed("node", "start"), "query").select("query", "start", "v")
-                      .mapInPandas(query_bytes, "query long, start long, v array<double>, qvec binary"), "ann-queries")
-    found = search(graph, vecs, queries.drop("v"), width, k, longest)
+    asking = written(asking.join(members.withColumnRenamed("id", "query").withColumnRenamed("node", "start"), "query").select("query", "start", "v"), "ann-queries")
+    firsts = asking.groupBy("start").agg(F.min_by("v", "query").alias("v"))
+    found = search(graph, vecs, firsts.mapInPandas(query_bytes, "query long, qvec binary"), width, k, longest)
+    found = found.withColumnRenamed("query", "start").join(asking.select("query", "start"), "start").select("query", "node")
     order = Window.partitionBy("node").orderBy("id")
     few = members.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r")
     pairs = found.join(few, "node").where("id <> query").select("query", "id")
     vectors = rows.select("id", "v")
-    full = pairs.join(vectors, "id").join(queries.select("query", F.col("v").alias("qv")), "query")
+    full = pairs.join(vectors, "id").join(asking.select("query", F.col("v").alias("qv")), "query")
     dot = F.aggregate(F.zip_with("v", "qv", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     out = full.select(F.col("query").alias("query_id"), F.col("id").alias("vec_id"), dot.alias("score"))
@@ -295,7 +309,7 @@ def query_bytes(batches):
         x = np.array(pdf["v"].tolist(), float).reshape(len(pdf), -1)
         x = x / norms(x)[:, None]
         full = np.column_stack([x, np.zeros(len(x))]).astype(np.float32)
-        yield pdf.assign(qvec=[r.tobytes() for r in full])
+        yield pd.DataFrame({"query": pdf["start"], "qvec": [r.tobytes() for r in full]})
 
 
 def op10_nn_descent(spark, sf_dir: str) -> DataFrame:
