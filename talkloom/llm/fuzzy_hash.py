@@ -16,12 +16,13 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_bytes, span_hashes, table
+from .common import by_bytes, span_hashes, table, written
 
-WINDOW, SIGNS, LEAST, COMMON = 7, 64, 3, 5
+WINDOW, SIGNS, LEAST, COMMON, RANGE = 7, 64, 3, 5, 8000
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 
 
@@ -117,37 +118,17 @@ def likeness(left: list[str], right: list[str]) -> np.ndarray:
     return out
 
 
-def ranged(df: DataFrame, key: str, text: str, rows: int) -> DataFrame:
-    """key, text, _range and _guest, dealt and sorted so that a row's successor by key stands right after it.
-
-    Ranges of about `rows` rows are cut at quantiles of the key; the first row of a range also comes as a
-    guest to the end of the range before it, and that of the first range to the end of the last."""
-    df = df.select(key, F.coalesce(F.col(text), F.lit("")).alias(text))
-    parts = max(1, -(-df.count() // rows))
-    cuts = [i / parts for i in range(1, parts)]
-    bounds = [int(b) for b in sorted(set(df.approxQuantile(key, cuts, 0.2 / parts)))] if cuts else []
-    place = F.lit(0)
-    if bounds:
-        place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(key)))
-    df = df.withColumn("_range", place)
-    firsts = [tuple(r) for r in df.groupBy("_range").agg(F.min(key)).sort("_range").collect()]  # one row a range
-    before = {k: firsts[i - 1][0] for i, (_, k) in enumerate(firsts) if k is not None}
-    if not before:
-        return df.withColumn("_guest", F.lit(False))
-    host = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-    seat = F.struct("_range", F.lit(False).alias("_guest"))
-    guest = F.struct(host[F.col(key)].alias("_range"), F.lit(True).alias("_guest"))
-    seats = F.when(F.col(key).isin(list(before)), F.array(seat, guest)).otherwise(F.array(seat))
-    out = df.withColumn("_seat", F.explode(seats)).select(key, text, "_seat._range", "_seat._guest")
-    return out.repartition(parts, "_range").sortWithinPartitions("_range", "_guest", key, text)
-
-
-def compare_with_edited(df: DataFrame, key: str = "doc_id", text: str = "text", rows: int = 1500) -> DataFrame:
+def compare_with_edited(df: DataFrame, key: str = "doc_id", text: str = "text", rows: int = RANGE) -> DataFrame:
     """Fingerprints of each text and of its edited form (its second half replaced by the head of its
-    successor by key), and likenesses to the edited form and to the successor.  Null keys come first."""
-    schema = (f"{key} {dict(df.dtypes)[key]}, n_chars long, edited_sha256 string, fingerprint string, "
-              "edited_fingerprint string, near_edited double, near_next double")
-    names = [key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    successor by key), and likenesses to the edited form and to the successor.  Null keys come first.
+
+    Rows are dealt to ranges of about `rows` rows by key and sorted, so a row's successor stands right after
+    it; the first and the last row of each range are kept besides, and a second, small step pairs the last
+    row of a range with the first of the next range that has rows (after the last: the first)."""
+    df = df.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    kind = dict(df.dtypes)["_key"]
+    names = ["_key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    schema = f"_key {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def rows_of(ids, texts, prints, nexts, next_prints):
         edited = [t[: len(t) - len(t) // 2] + u[: len(t) // 2] for t, u in zip(texts, nexts, strict=True)]
@@ -157,22 +138,44 @@ def compare_with_edited(df: DataFrame, key: str = "doc_id", text: str = "text",
             ids, list(map(len, texts)), [hashlib.sha256(b).hexdigest() for b in raw], prints, edited_prints,
             likeness(prints, edited_prints), likeness(prints, next_prints)], strict=True)))
 
+    def whole(pdf):
+        return pd.DataFrame({c: pdf[c] if c in pdf else pd.Series([None] * len(pdf), dtype=object) for c in every})
+
+    def ends(kind, part, id_, text_):
+        return whole(pd.DataFrame({"_key": [id_], "_end": [kind], "_part": [part], "_text": [text_]}))
+
     def run(batches):
-        held = None  # the row before the batch
+        held, part = None, TaskContext.get().partitionId()  # held: the row before the batch
         for pdf in batches:
-            texts = pdf[text].tolist()
+            texts = pdf["_text"].tolist()
             for lo, hi in by_bytes(texts):
-                ids, own, guest, at = (pdf[c].tolist()[lo:hi] for c in (key, text, "_guest", "_range"))
+                ids, own = pdf["_key"].tolist()[lo:hi], texts[lo:hi]
                 prints = [fingerprint(t.encode()) for t in own]
-                if held is not None:
-                    ids, own, guest, at, prints = ([h, *x] for h, x in zip(held, (ids, own, guest, at, prints), strict=True))
-                use = [i for i in range(len(ids) - 1) if not guest[i]]
-                if use:
-                    yield rows_of([ids[i] for i in use], [own[i] for i in use], [prints[i] for i in use],
-                                  [own[i + 1] for i in use], [prints[i + 1] for i in use])
-                held = (ids[-1], own[-1], guest[-1], at[-1], prints[-1])
-
-    return ranged(df, key, text, rows).mapInPandas(run, schema)
+                if held is None:
+                    yield ends("first", part, ids[0], own[0])
+                else:
+                    ids, own, prints = ([h, *x] for h, x in zip(held, (ids, own, prints), strict=True))
+                if len(ids) > 1:
+                    yield whole(rows_of(ids[:-1], own[:-1], prints[:-1], own[1:], prints[1:]))
+                held = (ids[-1], own[-1], prints[-1])
+        if held is not None:
+            yield ends("last", part, *held[:2])
+
+    def pair(batches):
+        for pdf in batches:
+            prints, nexts = ([fingerprint(t.encode()) for t in pdf[c]] for c in ("_text", "_next"))
+            yield rows_of(pdf["_key"].tolist(), pdf["_text"].tolist(), prints, pdf["_next"].tolist(), nexts)
+
+    every = [*names, "_end", "_part", "_text"]
+    parts = max(1, -(-df.count() // rows))
+    dealt = df.repartitionByRange(parts, F.col("_key").asc_nulls_first()).sortWithinPartitions(F.col("_key").asc_nulls_first(), "_text")
+    found = written(dealt.mapInPandas(run, f"{schema}, _end string, _part int, _text string"), "fingerprints")
+    first = found.where("_end = 'first'").select("_part", F.col("_text").alias("_next"))
+    follows = first.select("_part", F.coalesce(F.lead("_part").over(Window.orderBy("_part")), F.min("_part").over(Window.partitionBy())).alias("_after"))  # a number a range
+    last = found.where("_end = 'last'").select("_key", "_text", "_part").join(follows, "_part")
+    last = last.join(first.withColumnRenamed("_part", "_after"), "_after").select("_key", "_text", "_next")
+    out = found.where("_end IS NULL").select(*names).unionByName(last.mapInPandas(pair, schema))
+    return out.select(F.col("_key").alias(key), *names[1:])
 
 
 def op3_fuzzy_fingerprint(spark, sf_dir: str) -> DataFrame:
