@@ -3,8 +3,9 @@
 Pieces are dealt into groups of about GROUP rows by a hash of their key.  In a group: best fit, longest
 first; then, while the bins exceed the lower bound ceil(tokens / capacity), the emptiest bin gives its
 pieces away by moves, one-for-one and two-for-one exchanges that each raise the sum of squared fills,
-until bins empty or no exchange helps.  Bins that stay underfull are opened again and their pieces meet
-in fewer groups, round by round, so what no group could place well is packed across groups.
+until bins empty or no exchange helps.  Then each group opens its emptiest bins again, of GROUP / FAN pieces
+at most, and FAN groups' pieces meet in one group, round by round, so that what no group could place well is
+packed across groups and no group ever holds more than about GROUP pieces.
 
 Edge cases: null length counts as 0; a piece longer than the capacity is an error (cut before packing);
 an empty table gives an empty table; repeated rows are packed each on its own; other columns stay.
@@ -12,7 +13,6 @@ an empty table gives an empty table; repeated rows are packed each on its own; o
 
 from __future__ import annotations
 
-import heapq
 import zlib
 
 import numpy as np
@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 GROUP = 20_000
-FULL = 0.97  #: bins filled less than this are packed again across groups
 FAN = 16  #: groups that meet in one group of the next round
 
 
@@ -50,59 +49,60 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: list[int], capacity: int, steps: int = 2_000_000) -> list[list[int]]:
-    """Local search between underfull bins; each change raises the sum of squared fills.
-    steps bounds the exchanges that are looked at."""
-    need = -(-sum(lengths) // capacity)
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    open_bins = [(f, k) for k, f in enumerate(fill) if f < capacity]
-    heapq.heapify(open_bins)
+def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
+    """Local search between underfull bins.  The emptiest gives its items away: by moves to the tightest room,
+    else by the exchange, one for one or two for one, that adds most to a fuller bin; each raises the sum of
+    squared fills, so the search ends by itself.  A bin that no change empties further stays as it is."""
+    size = np.array(lengths, np.int64)
+    need = -(-int(size.sum()) // capacity)
+    fill = np.array([sum(lengths[i] for i in b) for b in bins], np.int64)
+    home = np.zeros(len(size), np.int64)
+    for k, b in enumerate(bins):
+        home[b] = k
+    is_open = fill < capacity
     left = sum(1 for b in bins if b)
-    while left > need and steps > 0 and len(open_bins) > 1:
-        _, src = heapq.heappop(open_bins)
-        others = [k for _, k in open_bins]
-        moved = True
-        while bins[src] and moved and steps > 0:
+
+    def put(i: int, to: int) -> None:
+        at = home[i]
+        bins[at].remove(i)
+        bins[to].append(i)
+        home[i] = to
+        fill[at] -= size[i]
+        fill[to] += size[i]
+
+    while left > need and is_open.sum() > 1:
+        at = np.flatnonzero(is_open)
+        src = int(at[np.argmin(fill[at])])
+        is_open[src] = False
+        at = at[at != src]
+        while bins[src]:
             moved = False
             for a in sorted(bins[src], key=lambda i: -lengths[i]):
-                steps -= 1
-                room = [k for k in others if capacity - fill[k] >= lengths[a]]
-                if room:  # a move, to the tightest room
-                    k = min(room, key=lambda k: capacity - fill[k])
-                    bins[src].remove(a)
-                    bins[k].append(a)
-                    fill[src] -= lengths[a]
-                    fill[k] += lengths[a]
-                    moved = True
-                    continue
-                best = None
-                mates = [None, *(x for x in bins[src] if x != a)]
-                steps -= 3 * len(others) * len(mates)
-                for k in others:
-                    slack = capacity - fill[k]
-                    for y in mates:  # a (and y) against b of the fuller bin
-                        give = lengths[a] + (lengths[y] if y is not None else 0)
-                        for b in bins[k]:
-                            gain = give - lengths[b]
-                            if 0 < gain <= slack and fill[k] + gain > fill[src] - gain and (best is None or gain > best[0]):
-                                best = (gain, k, b, y)
-                    if best and best[0] == slack:
-                        break
-                if best and fill[best[1]] >= fill[src] - best[0]:
-                    gain, k, b, y = best
-                    for x in (a, y):
-                        if x is not None:
-                            bins[src].remove(x)
-                            bins[k].append(x)
-                    bins[k].remove(b)
-                    bins[src].append(b)
-                    fill[src] -= gain
-                    fill[k] += gain
+                room = capacity - fill[at]
+                fits = np.where(room >= size[a], room, capacity + 1)
+                if fits.min() <= capacity:
+                    put(a, int(at[np.argmin(fits)]))
                     moved = True
-                    break
+            if moved:
+                continue
+            own = np.array(sorted(bins[src], key=lambda i: lengths[i]))
+            one, two = np.triu_indices(len(own))  # a pair of an item with itself stands for the item alone
+            give = size[own[one]] + np.where(one == two, 0, size[own[two]])
+            order = np.argsort(give, kind="stable")
+            other = np.flatnonzero(is_open[home])
+            slack = capacity - fill[home[other]]
+            best = np.searchsorted(give[order], size[other] + slack, side="right") - 1  # the most that fits in its place
+            gain = np.where(best >= 0, give[order][best] - size[other], 0)
+            gain = np.where(fill[home[other]] + gain > fill[src], gain, 0)
+            if not len(gain) or gain.max() <= 0:
+                break
+            b = int(np.argmax(gain))
+            to, pick = int(home[other[b]]), int(order[best[b]])
+            put(int(other[b]), src)
+            for i in {int(own[one[pick]]), int(own[two[pick]])}:
+                put(i, to)
         left -= not bins[src]
-        open_bins = [(fill[k], k) for k in others if fill[k] < capacity]
-        heapq.heapify(open_bins)
+        is_open &= fill < capacity
     return [b for b in bins if b]
 
 
@@ -134,7 +134,12 @@ def pack(df: DataFrame, keys: list[str], length: str = "length", capacity: int =
                 for i in b:
                     number[i], offset[i] = base + j, at
                     at += sizes[i]
-                again[b] = not last and at < FULL * capacity
+            room = 0 if last else group // FAN
+            for b in sorted(bins, key=lambda b: sum(sizes[i] for i in b)):
+                room -= len(b)
+                if room < 0 or sum(sizes[i] for i in b) >= capacity:
+                    break
+                again[b] = True
             return pdf.assign(sequence_id=number, offset=offset, _open=again)[schema.names]
 
         packed = written(todo.groupBy("_group").applyInPandas(run, schema), "packed")
