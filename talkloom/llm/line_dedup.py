@@ -61,7 +61,8 @@ def repeated(df: DataFrame, key: str, text: str) -> DataFrame:
     counted = chunks.groupBy("_hash").agg(F.min(place).alias("_low"), F.max(place).alias("_high"))
     twice = counted.where("not (_low <=> _high)").select("_hash")
     found = written(chunks.join(twice, "_hash", "left_semi"), "line-chunks")
-    first = found.groupBy("_hash", "_chunk").agg(F.min(place).alias("_first"))
+    # a table of its own, so that a chunk that very many documents hold can be split in the join
+    first = written(found.groupBy("_hash", "_chunk").agg(F.min(place).alias("_first")), "line-firsts")
     gone = found.join(first, ["_hash", "_chunk"]).where(~place.eqNullSafe(F.col("_first")))
     return gone.groupBy("_key", "_row").agg(F.collect_set("_number").alias("_gone"))
 
