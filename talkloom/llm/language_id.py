@@ -4,8 +4,8 @@ Training rows are a bounded sample (PER_LANGUAGE rows a language, chosen by a ha
 becomes a normalised vector of hashed 1- to 3-gram counts over its lower-cased letters (all else is one
 blank), weighted by log counts and inverse document frequency; spherical k-means gives CENTROIDS centroids
 a language.  A text takes the language of the centroid with the greatest cosine; its score is that cosine.
-A text at distance 1 from all centroids (no letter, so no vector) is rejected as `und`; `min_score` rejects
-more, and `rejected` tells which texts lie further off than all but REJECT_SHARE of the training rows.
+A text at distance 1 from all centroids (no letter, so no vector) is rejected as `und`; `rejected` tells which
+texts lie further off than all but REJECT_SHARE of the training rows.
 
 Edge cases: null, empty and letterless texts give `und` and score 0; with no training rows, all do; ties go
 to the first language in order; repeated rows are scored each; other columns are not read.
@@ -34,12 +34,13 @@ def counts(texts: list[str]) -> np.ndarray:
     """Hashed n-gram counts, a row per text; a zero row for a text without letters."""
     lowered = [" " + t.lower() + " " for t in texts]
     c = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
-    owner = np.repeat(np.arange(len(texts)), list(map(len, lowered)))
+    sizes = np.array(list(map(len, lowered)), np.int64)
+    owner = np.repeat(np.arange(len(texts)), sizes)
     is_letter = letters()[c]
     c = np.where(is_letter, c, np.uint32(32))
     keep = is_letter.copy()
     keep[1:] |= is_letter[:-1]  # the first of each run of other characters stands for all of it
-    keep[0] = True
+    keep[np.cumsum(sizes) - sizes] = True  # and a text's first blank doesn't hang on the text before
     c, owner, is_letter = c[keep], owner[keep], is_letter[keep]
     out = np.zeros(len(texts) * DIM, np.float32)
     base = owner * DIM
