@@ -186,7 +186,7 @@ class Ranks(PairMerger):
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as f:
             self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.pattern = regex.compile(pattern)
+        self.source, self.pattern = pattern, regex.compile(pattern)
         size = max(self.rank.values()) + 1
         self.bytes = [b""] * size
         pairs = {}
@@ -216,7 +216,8 @@ class Ranks(PairMerger):
             memo[c] = b"".join([ids[p] for p in ps])
 
 
-#: A single blank between two other characters always starts a match of the pattern, so texts are cut there.
+#: A single blank between two other characters always starts a match of public_tokenizers.PATTERN, so texts are
+#: cut there; under another pattern a text is one chunk.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 _LOADED: dict[tuple[str, str], Ranks] = {}
 
@@ -227,7 +228,11 @@ def ranks(path: str, pattern: str) -> Ranks:
     return _LOADED[path, pattern]
 
 
-def chunks_of(text: str) -> list[str]:
+def chunks_of(text: str, pattern: str) -> list[str]:
+    import public_tokenizers as P
+
+    if pattern != P.PATTERN:
+        return [text]
     parts = text.split(" ")
     if "" in parts:
         parts = CUT.split(text)
@@ -236,7 +241,7 @@ def chunks_of(text: str) -> list[str]:
 
 def encode_texts(coder: Ranks, texts: list[str]) -> list[bytes]:
     coder.chunks.turn()
-    split = [chunks_of(t) if t else [] for t in texts]
+    split = [chunks_of(t, coder.source) if t else [] for t in texts]
     if new := coder.chunks.missing({c for cs in split for c in cs}):
         coder.learn(new)
     memo = coder.chunks.now
