@@ -7,8 +7,8 @@ predictions (FOLDS folds by a hash of the id), so a later model never leans on f
 Training uses a bounded sample of labelled rows (SAMPLE rows, by a hash of the id); all texts are scored.
 
 Edge cases: null and empty texts have no words and get the bias alone; without labelled rows every
-probability is 0; a category with one label value keeps its share as constant; null labels count as 0;
-repeated rows are scored each; other columns pass through untouched.
+probability is 0; a category with one label value keeps its share as constant; a row with a null label is
+left out of that category's training; repeated rows are scored each; other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -101,7 +101,7 @@ def fit(rows: DataFrame, categories, key: str = "doc_id", text: str = "text", sa
     if not n:
         return chain
     draw = F.pmod(F.xxhash64(F.col(key), F.lit("toxicity")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = rows.where(draw < min(1.0, sample / n)).select(key, text, *[F.coalesce(F.col(c), F.lit(0)).cast("int").alias(c) for c in categories])
+    rows = rows.where(draw < min(1.0, sample / n)).select(key, text, *[F.col(c).cast("int").alias(c) for c in categories])
 
     def run(batches):
         for pdf in batches:
@@ -118,15 +118,17 @@ def fit(rows: DataFrame, categories, key: str = "doc_id", text: str = "text", sa
     fold = np.array([zlib.crc32(f"fold{g[0]}".encode()) % FOLDS for g in got])
     odds, weights = np.zeros((len(lists), 0)), []
     for j in range(len(categories)):
-        y = np.array([g[1 + j] for g in got], float)
+        y = np.array([g[1 + j] for g in got], float)  # None becomes nan
+        known = ~np.isnan(y)
+        y = np.where(known, y, 0.0)
         data = Rows(lists, odds, len(names))
         outside = np.zeros(len(lists))
         for f in range(FOLDS):
-            outside = np.where(fold == f, data.dot(*logistic(data, y, fold != f)), outside)
-        w, v, bias = logistic(data, y, np.ones(len(lists), bool))
+            outside = np.where(fold == f, data.dot(*logistic(data, y, (fold != f) & known)), outside)
+        w, v, bias = logistic(data, y, known)
         weights.append(w)
         chain.models.append((v, bias))
-        chain.thresholds.append(best_threshold(sigmoid(outside), y))
+        chain.thresholds.append(best_threshold(sigmoid(outside[known]), y[known]))
         odds = np.column_stack([odds, np.clip(outside, -8, 8)])
     table_of = np.array(weights).T
     chain.term_weights = {names[i]: table_of[i] for i in np.flatnonzero(np.abs(table_of).sum(axis=1))}
@@ -135,6 +137,8 @@ def fit(rows: DataFrame, categories, key: str = "doc_id", text: str = "text", sa
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     """The threshold with the greatest F1 on out-of-fold predictions."""
+    if not len(p):
+        return 1.0
     order = np.argsort(-p, kind="stable")
     hits = np.cumsum(y[order])
     f1 = 2 * hits / (np.arange(1, len(p) + 1) + max(y.sum(), 1))
