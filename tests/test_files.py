@@ -31,7 +31,7 @@ def test_session_stream_reads_new_files_and_skips_bad_ones(spark, tmp_path):
 def test_reports_are_files_by_name(spark, tmp_path):
     out = str(tmp_path / "reports")
     src.write_reports(spark.createDataFrame([("a", "one\ntwo"), ("b", "")], "name string, body string"), out)
-    got = {r["name"]: r["body"] for r in spark.read.option("wholetext", True).text(out).select("name", F.col("value").alias("body")).collect()}
+    got = {r["name"]: r["body"] for r in spark.read.text(out, wholetext=True).select("name", F.col("value").alias("body")).collect()}
     assert got["a"] == "one\ntwo\n" and set(got) == {"a", "b"}
 
 
