@@ -84,7 +84,9 @@ def contained(text: Column, words: list[str] | tuple[str, ...]) -> Column:
     """The distinct words of a list that a text holds as substrings, in the list's order."""
     if not words:
         return F.array().cast("array<string>")
-    return F.filter(F.array(*[F.lit(w) for w in dict.fromkeys(words)]), lambda w: F.instr(F.lower(text), w) > 0)
+    every = F.array(*[F.lit(w) for w in dict.fromkeys(words)])
+    # bound as a variable, so that a text is put in lower case once
+    return F.transform(F.array(F.lower(text)), lambda low: F.filter(every, lambda w: F.instr(low, w) > 0))[0]
 
 
 def contained_in(df: DataFrame, text: str, lexicon: DataFrame, word: str = "word") -> DataFrame:

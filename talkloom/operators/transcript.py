@@ -79,8 +79,10 @@ def transcript_stats(words: DataFrame, segments: DataFrame, key: str = "session_
 
 
 def speaker_labels(segments: DataFrame, participants: DataFrame, key: str = "session_id", prefix: str = PREFIX) -> DataFrame:
-    """Adds speaker: the given name, or the prefix and the number counted from 1."""
-    named = segments.join(participants.select(key, "speaker_id", clean_name(F.col("name")).alias("_name")), [key, "speaker_id"], "left")
+    """Adds speaker: the given name, or the prefix and the number counted from 1.  Of several names of one
+    speaker the first in order counts."""
+    names = participants.groupBy(key, "speaker_id").agg(F.min(clean_name(F.col("name"))).alias("_name"))
+    named = segments.join(names, [key, "speaker_id"], "left")
     return named.withColumn("speaker", F.coalesce("_name", F.concat(F.lit(prefix), (F.col("speaker_id") + 1).cast("string")))).drop("_name")
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def lookup(words: DataFrame, vectors: DataFrame, word: str = "word", vec: str = "vec", unknown: list[float] | None = None) -> DataFrame:
-    """Adds vec by the lower-case word; unknown words get `unknown`."""
-    table = vectors.select(F.col(word).alias("_k"), F.col(vec).alias(vec))
+    """Adds vec by the lower-case word; unknown words get `unknown`.  Of a word that repeats in the table the
+    smallest vector counts."""
+    table = vectors.groupBy(F.col(word).alias("_k")).agg(F.min(vec).alias(vec))
     out = words.join(table, F.lower(F.col(word)) == F.col("_k"), "left").drop("_k")
     return out if unknown is None else out.withColumn(vec, F.coalesce(vec, F.array(*map(F.lit, unknown))))
 
@@ -24,11 +25,17 @@ def decoded(codes: DataFrame, codebook: DataFrame, key: str = "word", code: str
 
 def encoded(vectors: DataFrame, codebook: DataFrame, key: str, vec: str, width: int) -> DataFrame:
     """key, codes: for each chunk of `width` components the number of the nearest chunk of the codebook;
-    ties go to the smaller number."""
-    subs = F.floor(F.size(vec) / width).cast("int")
-    each = vectors.select(key, F.col(vec).alias("_v"), F.explode(F.sequence(F.lit(0), subs - 1)).alias("sub"))
-    each = each.select(key, "sub", F.expr(f"slice(_v, sub * {width} + 1, {width})").alias("part")).join(F.broadcast(codebook), "sub")
-    off = F.aggregate(F.zip_with("part", "chunk", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
-    near = each.groupBy(key, "sub").agg(F.min(F.struct(off.alias("d"), "code")).alias("m"))
-    parts = F.sort_array(F.collect_list(F.struct("sub", F.col("m.code").alias("code"))))
-    return near.groupBy(key).agg(F.transform(parts, lambda x: x["code"]).alias("codes"))
+    ties go to the smaller number.  The codebook has a fixed size, so it is broadcast as one row, and each
+    vector is coded in its own row, without a shuffle."""
+    by_sub = codebook.groupBy("sub").agg(F.sort_array(F.collect_list(F.struct("code", "chunk"))).alias("l"))
+    book = by_sub.agg(F.transform(F.sort_array(F.collect_list(F.struct("sub", "l"))), lambda x: x["l"]).alias("_book"))
+
+    def off(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, d: t + d)
+
+    def nearest(options, i):
+        part = F.slice(vec, i * width + 1, F.lit(width))
+        return F.array_min(F.transform(options, lambda o: F.struct(off(part, o["chunk"]).alias("d"), o["code"].alias("code"))))["code"]
+
+    subs = F.slice("_book", F.lit(1), F.floor(F.size(vec) / width).cast("int"))
+    return vectors.join(F.broadcast(book)).select(key, F.transform(subs, nearest).alias("codes"))

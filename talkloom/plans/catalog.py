@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -12,7 +13,7 @@ from ..functions.lexicons import TEST
 from ..operators import entities as ent
 from ..operators import intervals, rank, report, transcript, vectors
 from ..sources import sessions as src
-from ..sources.shared import stored
+from ..sources.shared import shared_dir, stored
 from . import records, summary_sql
 from .tables import participants, read, samples, turns
 
@@ -375,10 +376,10 @@ def _sessions(spark, sf_dir) -> DataFrame:
 
 
 def session_history(spark, sf_dir):
-    """Sessions as JSON text and back through the reader's schema, then listed."""
-    made = _sessions(spark, sf_dir).select(F.to_json(F.struct("*")).alias("j"))
-    raw = made.select(F.from_json("j", src.SESSION).alias("s")).select("s.*")
-    return src.history(src.valid(raw)).select("id", "title", "n_segments", "n_words", "duration_ms").withColumnRenamed("duration_ms", "total_ms")
+    """Sessions as files of JSON lines and back through the reader's schema, then listed."""
+    path = f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
+    _sessions(spark, sf_dir).write.json(path)
+    return src.history(src.read_written(spark, path)).select("id", "title", "n_segments", "n_words", "duration_ms").withColumnRenamed("duration_ms", "total_ms")
 
 
 def session_words(spark, sf_dir):

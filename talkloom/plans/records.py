@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import formats, text
-from ..functions.lexicons import TEST
+from ..functions import extract, formats, text
+from ..functions.lexicons import RUSSIAN, TEST
 from ..operators import entities as ent
 from ..operators import intervals, inventory, report, transcript, vectors
 from ..sources import sessions as src
@@ -144,6 +144,36 @@ def long_sentences(spark, sf_dir):
     return text.long_sentences(cut).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("sentence")).cast("long").alias("chars"))
 
 
+LATIN, CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абцедфгуийклморпятнсвхшыжз"
+
+
+def _russian(spark, sf_dir, name, text_column="text"):
+    """A table with its Latin letters written in Cyrillic ones, for the default language pack."""
+    both = LATIN + LATIN.upper(), CYRILLIC + CYRILLIC.upper()
+    return read(spark, sf_dir, name).withColumn(text_column, F.translate(text_column, *both))
+
+
+def russian_risks(spark, sf_dir):
+    """The texts of each language that hold most trigger words of the default pack."""
+    r = extract.risks(_russian(spark, sf_dir, "documents"), "lang", "doc_id", "text", least=1, most=1_000_000)
+    return r.select("lang", F.col("position").alias("doc_id"), F.array_join("triggers", "|").alias("triggers"), F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def russian_words(spark, sf_dir):
+    return text.top_words(_russian(spark, sf_dir, "documents"), "lang").select("lang", "word", "n", F.col("rank").cast("long").alias("rank"))
+
+
+def russian_amounts(spark, sf_dir):
+    found = extract.all_hits(_russian(spark, sf_dir, "documents"), RUSSIAN.amount)
+    return found.select("doc_id", F.col("i").cast("long").alias("i"), F.trim("match").alias("match"))
+
+
+def russian_entities(spark, sf_dir):
+    c = _russian(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("sent_idx"), F.col("text").alias("sentence"))
+    keys = ["doc_id", "sent_idx"]
+    return ent.entity_counts(ent.spans(ent.shape_run_tagger(ent.tokens_of(c, keys), keys), keys)).select("doc_id", "type", "text", "count", F.col("rank").cast("long").alias("rank"))
+
+
 def protocol_parts(spark, sf_dir):
     t = turns(spark, sf_dir)
     words = transcript.even_words(t, ["session_id", "seg_idx"])
@@ -185,7 +215,8 @@ def stored_sessions(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     vector_lookup, manifest_status, pending_files, file_totals, all_speakers, formatted_times, escaped_text, metadata_rows, named_participants, audio_presence, default_intervals,
-    sample_times, useful_segments, long_recordings, entity_terms, long_sentences, protocol_parts, merged_answers, conclusion_prompts, stored_sessions)}
+    sample_times, useful_segments, long_recordings, entity_terms, long_sentences, protocol_parts, merged_answers, conclusion_prompts, stored_sessions,
+    russian_risks, russian_words, russian_amounts, russian_entities)}
 
 
 def oracles(turn_sql: str, word_sql: str, entity_sql: str, sentence_sql: str) -> dict[str, str]:
@@ -196,7 +227,22 @@ def oracles(turn_sql: str, word_sql: str, entity_sql: str, sentence_sql: str) ->
     sections = " || ".join(f"'## {t[0]}' || chr(10) || chr(10) || coalesce(max(text) FILTER (turn = {i} AND turn % 2 = 1), '{report.MISSING}') || chr(10) || chr(10)" for i, t in enumerate(report.PROMPTS.values()))
     _, head, ask, tokens, temperature = report.PROMPTS["conclusions"]
     said = lambda i: f"coalesce(max(text) FILTER (turn = {i}), '')"
+    ru = lambda column: f"translate({column}, '{LATIN + LATIN.upper()}', '{CYRILLIC + CYRILLIC.upper()}')"
+    listed = lambda words: ", ".join(f"'{w}'" for w in words)
+    v = RUSSIAN.vowels
+    spans = entity_sql.replace("regexp_extract_all(text,", f"regexp_extract_all({ru('text')},", 1)
     return {
+        "russian_risks": rf"""WITH c AS (SELECT lang, doc_id, {ru('text')} AS text FROM documents),
+t AS (SELECT lang, doc_id, list_filter([{listed(RUSSIAN.triggers)}], lambda x: contains(lower(text), x)) AS l FROM c),
+r AS (SELECT lang, doc_id, array_to_string(l, '|') AS triggers, len(l) AS score, row_number() OVER (PARTITION BY lang ORDER BY len(l) DESC, doc_id) AS rank FROM t WHERE len(l) > 0)
+SELECT * FROM r WHERE rank <= 20""",
+        "russian_words": rf"""WITH t AS (SELECT lang, unnest(regexp_extract_all(lower({ru('text')}), '[\p{{L}}-]+')) AS word FROM documents),
+c AS (SELECT lang, word, count(*) AS n FROM t WHERE length(word) >= 4 AND word NOT IN ({listed(RUSSIAN.stop_words)}) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS rank FROM c) SELECT * FROM r WHERE rank <= 12""",
+        "russian_amounts": f"""WITH t AS (SELECT doc_id, regexp_extract_all({ru('text')}, '(?i){RUSSIAN.amount}') AS l FROM documents)
+SELECT doc_id, trim(unnest(l)) AS match, generate_subscripts(l, 1) - 1 AS i FROM t""",
+        "russian_entities": spans.replace("t IN ('the', 'and')", f"t IN ({listed(RUSSIAN.junk)})").replace("'[aeiouy]+(-[aeiouy]+)*'", f"'[{v}]+(-[{v}]+)*'")
+        + "SELECT doc_id, type, text, n AS count, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, text) AS rank FROM ct",
         "vector_lookup": """SELECT doc_id, CASE WHEN v.vec_id IS NULL THEN 2 ELSE len(embedding) END AS width, round(coalesce(list_sum(embedding::DOUBLE[]), 0.0), 5) AS total
 FROM documents LEFT JOIN (SELECT * FROM embeddings WHERE vec_id % 2 = 0) v ON lower(source) = 'src' || vec_id""",
         "manifest_status": STATUS + "SELECT doc_id AS id, status FROM m",
