@@ -196,4 +196,4 @@ def test_protocol(spark):
     assert got == [("00:00:00", "Спикер 1", "a"), ("01:00:00", "Спикер 2", "b <c>")]
     w = transcript.even_words(df, ["session_id", "seg_idx"])
     html = report.colored_utterances(w, ["session_id", "seg_idx"], transcript.confidence_level(F.col("confidence"))).where("seg_idx = 1").first()["html"]
-    assert "&lt;c&gt;" in html and "C00000" in html
+    assert "&lt;c&gt;" in html and "C62828" in html
