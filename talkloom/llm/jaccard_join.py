@@ -10,10 +10,13 @@ probe nothing, and signatures shared by more than CAP sets are left out where ot
 Sets with too few non-empty segments (`lacking`) agree with others in empty ones only where both show them,
 so their own probes prove nothing and they go on as sets that need more.
 
-Sets that need more (`hard`) are counted again among themselves, where common passages are rare.  Those
-still hard show empty segments too and one-deletion neighbourhoods (a segment less one shingle): a segment
-shown so covers two differences, and each set buys the cheapest units.  What then still needs signatures over
-CAP are large families of near copies.  They form blocks (components over their common signatures).
+Sets that need more (`hard`) are counted again among themselves, where common passages are rare.  Of those
+still hard, sets that too few cheap segments keep from a common one even if each covered two differences are
+members of large families (`direct`): what they need over CAP makes blocks (components over common
+signatures).  The others show empty segments too and one-deletion neighbourhoods (a segment less one
+shingle): a segment shown so covers two differences, and each set buys the cheapest units.  What still needs
+signatures over CAP makes blocks too.  A pair of a direct set and any other hard one is thus found by the
+direct set's own signatures, a pair of others by units.
 
 Candidate pairs, each once, lose those whose parity sketches differ in more bits than a linked pair's sets
 may differ in shingles (a bound that holds for every pair).  The rest are verified on the whole sets; first
@@ -172,8 +175,10 @@ def allocate(rows: DataFrame) -> DataFrame:
     need = F.greatest(F.size("l") - F.shiftright("info", 3), F.lit(0)).cast("int")  # -slack units are lacking besides
     needed = F.slice("l", F.lit(1), need)
     probes = F.when(~lacking, F.filter(needed, lambda x: x["freq"] <= CAP))
-    hard = lacking | F.exists(needed, lambda x: x["freq"] > CAP)
-    return each.select("doc", "info", probes.alias("probes"), F.when(hard, F.col("l")).alias("hard")).where((F.size("probes") > 0) | F.col("hard").isNotNull())
+    hot = F.filter(needed, lambda x: x["freq"] > CAP)
+    hard = lacking | (F.size(hot) > 0)
+    each = each.select("doc", "info", probes.alias("probes"), F.when(hard, F.col("l")).alias("hard"), hot.alias("hot"), need.alias("need"))
+    return each.where((F.size("probes") > 0) | F.col("hard").isNotNull())
 
 
 def probes_of(plan: DataFrame) -> DataFrame:
@@ -297,9 +302,8 @@ def units(rows: DataFrame) -> DataFrame:
 
 
 def stars(rows: DataFrame) -> DataFrame:
-    """Distinct (a, b): each hard set b with the smallest set a that shows one of its common signatures, of
-    those that some set has bought."""
-    rows = rows.where(F.col("hard") & (F.col("freq") > CAP))
+    """Distinct (a, b): each set b with the smallest set a that shows one of its common signatures, of those
+    that some set has bought.  rows: sig, doc, bought."""
     of = Window.partitionBy("sig")
     first = rows.select(F.min("doc").over(of).alias("a"), F.col("doc").alias("b"), F.max("bought").over(of).alias("use"))
     return first.where("use AND a <> b").select("a", "b").distinct()
@@ -401,12 +405,21 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     again = plan.where("hard is not null").select("doc", "info", F.explode("hard").alias("x")).select("x.sig", "doc", "info")
     again = written(counted(again, ("doc", "info")), "join-again")
     plan2 = written(allocate(again), "join-plan")
-    harder = plan2.where("hard is not null").select("doc", "info")
+    harder = plan2.where("hard is not null")
     free(spark)
 
     hard_sets = written(sets_of(unique, harder.select("doc").distinct()), "join-sets")
-    dels = written(units(counted(deletion_rows(harder, hard_sets), ("doc", "kind", "need", "total", "segment", "lacks"))), "join-deletions")
-    star = written(stars(dels), "join-stars")
+    # of the units needed (about a third of the set, and one) those not in `need` are free; a unit may count twice
+    units_free = F.greatest(F.floor(F.col("n") / 3) + 1 - F.col("need"), F.lit(0))
+    few = units_free + 2 * F.size(F.filter("hard", lambda x: x["freq"] <= CAP)) < F.col("need")
+    lacking = F.shiftright("info", 2).bitwiseAND(1) == 1
+    harder = written(harder.join(hard_sets.select("doc", "n"), "doc").select("doc", "info", "hot", (few & ~lacking).alias("direct")), "join-harder")
+    apart = harder.where("not direct").select("doc", "info")
+    dels = written(units(counted(deletion_rows(apart, hard_sets), ("doc", "kind", "need", "total", "segment", "lacks"))), "join-deletions")
+    wanted = harder.where("direct").select("doc", F.explode("hot").alias("x")).select("x.sig", "doc", F.lit(True).alias("bought"))
+    family = wanted.union(again.where(F.col("freq") > CAP).select("sig", "doc", F.lit(False)))
+    rest = dels.where(F.col("hard") & (F.col("freq") > CAP)).select("sig", "doc", "bought")
+    star = written(stars(family).union(stars(rest)).distinct(), "join-stars")
     cheap = dels.where(F.col("bought") & (F.col("freq") <= CAP))
     pairs = written(met([(probes_of(plan), index), (probes_of(plan2), again), (cheap, dels)]).union(star).distinct(), "join-pairs")
     free(spark)
