@@ -421,7 +421,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     rest = dels.where(F.col("hard") & (F.col("freq") > CAP)).select("sig", "doc", "bought")
     star = written(stars(family).union(stars(rest)).distinct(), "join-stars")
     cheap = dels.where(F.col("bought") & (F.col("freq") <= CAP))
-    pairs = written(met([(probes_of(plan), index), (probes_of(plan2), again), (cheap, dels)]).union(star).distinct(), "join-pairs")
+    pairs = written(met([(probes_of(plan), index), (probes_of(plan2), again), (cheap, dels)]).union(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")).distinct(), "join-pairs")  # blocks find the rest
     free(spark)
 
     sets = written(sets_of(unique, pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()), "join-sets")
