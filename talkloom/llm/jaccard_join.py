@@ -1,4 +1,4 @@
-"""Similarity join of documents on word 5-gram sets (Jaccard of 0.75 or more), exact.
+"""Similarity join of documents on word 5-gram sets (Jaccard of 0.75 or more), exact up to hash collisions.
 
 Universe partition with pigeonhole.  Sets fall into size bands; a band's pairs differ in at most a third of
 the smaller set, so if shingles are hashed into more segments than that, linked sets agree in some segment.
@@ -27,6 +27,7 @@ the links leaves a task.
 
 Copies of whole texts (equal SHA-256) are set aside first.  Sets are compared by 64-bit hashes of shingles;
 words of over LONG bytes are hashed by BLAKE2b, so that no family of long words collides by its structure.
+Results are thus exact up to collisions of 64-bit hashes.
 
 Edge cases: null, empty and wordless texts have no shingles and link with nothing; texts of one to four
 words are one shingle; a null key gets a null component; rows with equal keys stand for one document by
@@ -424,7 +425,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     pairs = written(met([(probes_of(plan), index), (probes_of(plan2), again), (cheap, dels)]).union(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")).distinct(), "join-pairs")  # blocks find the rest
     free(spark)
 
-    sets = written(sets_of(unique, pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()), "join-sets")
+    # members of blocks need their sets even where no pair names them
+    sets = written(sets_of(unique, pairs.union(star).select(F.explode(F.array("a", "b")).alias("doc")).distinct()), "join-sets")
     pairs = written(possible(pairs, sets), "join-pairs")
     # a set's smallest partner first; what it settles need not be verified pair by pair
     nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")

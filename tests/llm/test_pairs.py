@@ -149,6 +149,69 @@ def test_families_of_short_texts(spark, monkeypatch):
     assert groups(spark, rows) == [(d, len(sets[d]), want[d]) for d in sorted(sets)]
 
 
+def families(seed: int, n: int = 2000):
+    """Families of sub-templates, each of them a template with up to three words replaced, and variants of those by one or two edits; some drift on from the variant before."""
+    rng = random.Random(seed)
+    texts, word = [], lambda: f"s{seed}w{rng.randrange(3000)}"
+    while len(texts) < n:
+        base = [word() for _ in range(rng.randint(8, 40 + 10 * seed))]
+        for _ in range(rng.randint(1, 5)):
+            sub = list(base)
+            for _ in range(rng.randint(0, 3)):
+                sub[rng.randrange(len(sub))] = word()
+            w = sub
+            for _ in range(rng.randint(1, 6)):
+                w = list(w if seed % 2 else sub)
+                for _ in range(rng.randint(1, 2)):
+                    at = rng.randrange(len(w))
+                    w[at : at + rng.randint(0, 1)] = [word()]
+                texts.append(" ".join(w))
+    return texts
+
+
+def joined_by_index(sets):
+    """linked_groups by an inverted index, for larger tables."""
+    root, index = {d: d for d in sets}, {}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for d in sorted(sets):
+        shared = {}
+        for g in sets[d]:
+            for e in index.setdefault(g, []):
+                shared[e] = shared.get(e, 0) + 1
+            index[g].append(d)
+        for e, both in shared.items():
+            if 100 * both >= 75 * (len(sets[d]) + len(sets[e]) - both):
+                x, y = find(d), find(e)
+                root[max(x, y)] = min(x, y)
+    return {d: find(d) for d in sets}
+
+
+@pytest.mark.parametrize("cap", [3, 48])
+def test_random_families(spark, monkeypatch, cap):
+    """Members of blocks that no candidate pair names keep their links; ids at random."""
+    monkeypatch.setattr(jaccard_join, "CAP", cap)
+    texts = [t for seed in range(1, 7) for t in families(seed)]
+    rows = sorted(zip(random.Random(cap).sample(range(10 * len(texts)), len(texts)), texts, strict=True))
+    sets = shingle_sets(rows)
+    want = joined_by_index(sets)
+    lost, links_of = [], jaccard_join.block_links
+
+    def watched(members, have):
+        lost.append(members.join(have, "doc", "left_anti").count())
+        return links_of(members, have)
+
+    monkeypatch.setattr(jaccard_join, "block_links", watched)
+    got = groups(spark, rows)
+    assert lost == [0]
+    assert [x for x in got if x[2] != want[x[0]]] == [] and got == [(d, len(sets[d]), want[d]) for d in sorted(sets)]
+
+
 def test_equal_keys_with_other_texts(spark):
     """Rows of a key stand for one document by the union of their links."""
     a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
