@@ -9,6 +9,7 @@ from .jaccard_join import op7_jaccard_join
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .nn_descent import op10_nn_descent
 from .packing import op5_best_fit_packing
+from .periodic_runs import op11_periodic_runs
 from .quality import op6_quality
 from .suffix_dedup import op8_suffix_dedup
 from .toxicity import op1_toxicity
@@ -24,5 +25,6 @@ QUERIES = {
     "op3_fuzzy_fingerprint": op3_fuzzy_fingerprint,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op9_byte_bpe": op9_byte_bpe,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL}
