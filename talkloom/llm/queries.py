@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .byte_bpe import op9_byte_bpe
 from .fuzzy_hash import op3_fuzzy_fingerprint
+from .hard_negatives import OP13_SQL, op13_hard_negatives
 from .language_id import op4_language_id
 from .jaccard_join import op7_jaccard_join
 from .line_dedup import OP2_SQL, op2_line_dedup
@@ -26,5 +27,6 @@ QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op9_byte_bpe": op9_byte_bpe,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_hard_negatives": op13_hard_negatives,
 }
-ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL}
+ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op13_hard_negatives": OP13_SQL}
