@@ -14,6 +14,7 @@ from .periodic_runs import op11_periodic_runs
 from .quality import op6_quality
 from .suffix_dedup import op8_suffix_dedup
 from .toxicity import op1_toxicity
+from .url_filter import OP12_SQL, op12_url_filters
 
 QUERIES = {
     "op7_jaccard_join": op7_jaccard_join,
@@ -27,6 +28,7 @@ QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op9_byte_bpe": op9_byte_bpe,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_url_filters": op12_url_filters,
     "op13_hard_negatives": op13_hard_negatives,
 }
-ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op13_hard_negatives": OP13_SQL}
+ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op12_url_filters": OP12_SQL, "op13_hard_negatives": OP13_SQL}
