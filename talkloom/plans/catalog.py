@@ -15,6 +15,7 @@ from ..operators import intervals, rank, report, transcript, vectors
 from ..sources import sessions as src
 from ..sources.shared import shared_dir, stored
 from . import records, summary_sql, tagged
+from . import stored as stored_files
 from .tables import participants, read, samples, turns
 
 PLAIN = rank.RankSettings(pack=TEST)
@@ -387,10 +388,6 @@ def session_words(spark, sf_dir):
     return transcript.words_of(transcript.segments_of(_sessions(spark, sf_dir))).groupBy("session_id").agg(F.count("*").alias("n_words"), F.min("start_ms").alias("first_ms"), F.max("end_ms").alias("last_ms"))
 
 
-def file_manifest(spark, sf_dir):
-    return src.file_manifest(src.files(spark, sf_dir, "*.parquet"))
-
-
 CODEBOOK = [(s, c, [((s * 7 + c * 3 + i) % 5 - 2) / 4.0 for i in range(4)]) for s in range(16) for c in range(8)]
 
 
@@ -408,7 +405,7 @@ QUERIES = {f.__name__: f for f in (
     sentences, sentence_stats, doc_words, top_words, token_shapes, tfidf_terms, similarity_edges, lexrank_scores, key_quotes, key_fragments, document_quotes,
     risk_sentences, amounts, numbers_in_context, numbers_by_kind, turn_words, word_confidence, turn_stats, transcript_stats, merged_turns, speaker_labels, stitched_chunks, protocol_table, plain_documents,
     entity_counts, entity_totals, doc_summary, summary_markdown, summary_text, prompt_table, rms_level, resampled, activity_runs, fixed_chunks, overlap_chunks, downmixed,
-    session_history, session_words, file_manifest, pq_vectors)} | records.QUERIES | tagged.QUERIES
+    session_history, session_words, pq_vectors)} | records.QUERIES | tagged.QUERIES | stored_files.QUERIES
 
 SUMMED = summary_sql.summary(
     SENTENCES, ENTITIES.replace("WITH tk AS (SELECT conv_id AS doc_id, turn AS sent_idx, regexp_extract_all(text,", ", tg AS (SELECT doc_id, sent_idx, regexp_extract_all(sentence,", 1)
@@ -486,4 +483,4 @@ e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
 p AS (SELECT vec_id, sub, code, chunk, list_sum(list_transform(range(4), lambda i: (v[sub * 4 + i + 1] - chunk[i + 1]) * (v[sub * 4 + i + 1] - chunk[i + 1]))) AS d FROM e, book),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id, sub ORDER BY round(d, 12), code) AS k FROM p)
 SELECT vec_id, string_agg(code::VARCHAR, ',' ORDER BY sub) AS codes, round(sum(list_sum(chunk)), 4) AS total FROM r WHERE k = 1 GROUP BY vec_id""",
-} | records.oracles(TURNS, WORDS, ENTITIES, SENTENCES) | tagged.oracles(SHAPED)
+} | records.oracles(TURNS, WORDS, ENTITIES, SENTENCES) | tagged.oracles(SHAPED) | stored_files.ORACLES

@@ -79,21 +79,23 @@ def _little(content: Column, at: int, n: int) -> Column:
 
 
 def recordings(binary: DataFrame) -> DataFrame:
-    """filename, sample_rate, channels, duration_ms from the 44-byte header; files that are shorter go."""
+    """filename, sample_rate, channels, duration_ms from the 44-byte header; files that are shorter go.  binary: whole files,
+    of `files`; `sources.files.read_recordings` reads the headers alone."""
     c = F.col("content")
     head = binary.where(F.col("length") >= 44).select(F.element_at(F.split("path", "/"), -1).alias("filename"), "length", _little(c, 24, 4).alias("sample_rate"), _little(c, 22, 2).alias("channels"))
     return head.where("sample_rate > 0 AND channels > 0").select("filename", "length", "sample_rate", "channels", F.expr("((length - 44) * 1000) div (sample_rate * channels * 2)").alias("duration_ms"))
 
 
-def file_manifest(binary: DataFrame) -> DataFrame:
-    return binary.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "length", F.sha2("content", 256).alias("sha256"))
-
-
 def write_reports(reports: DataFrame, path: str) -> None:
     """reports: name, body.  A folder per report name with its text."""
     reports.select("name", "body").write.mode("overwrite").partitionBy("name").option("lineSep", "\n").text(path)
 
 
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    """name, body of what write_reports wrote; a report ends with a line feed."""
+    return spark.read.schema("value string, name string").text(path, wholetext=True).select("name", F.col("value").alias("body"))
+
+
 def session_stream(spark: SparkSession, path: str) -> DataFrame:
     """New session files as a stream."""
     raw = spark.readStream.schema(SESSION).option("multiLine", True).option("pathGlobFilter", "session_*.json").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talkloom.operators import entities, intervals, inventory, report, transcript, vectors
-from talkloom.sources import sessions
+from talkloom.sources import files, sessions
 
 
 def segs(spark, rows):
@@ -105,7 +105,7 @@ def test_recordings_and_manifest(spark, tmp_path):
     binary = sessions.files(spark, str(tmp_path), "*.wav")
     r = sessions.recordings(binary).collect()
     assert len(r) == 1 and (r[0]["sample_rate"], r[0]["channels"], r[0]["duration_ms"]) == (16000, 2, 2000)
-    found = sessions.file_manifest(binary)
+    found = files.manifest(spark, str(tmp_path), "*.wav")
     sha = {x["filename"]: x["sha256"] for x in found.collect()}
     rows = [("1", "a.wav", 128044, sha["a.wav"], "t"), ("2", "b.wav", 5, "0" * 64, "t"), ("3", "b.wav", 6, sha["b.wav"], "u"), ("4", "c.wav", 1, "", "u"), ("5", "b.wav", 5, "PLACEHOLDER_x", "v")]
     manifest = spark.createDataFrame(rows, "id string, filename string, size_bytes long, sha256 string, tier string")
