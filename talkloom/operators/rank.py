@@ -6,16 +6,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.lexicons import RUSSIAN, Pack
 from ..functions.text import terms, word_count
-from ..sources.shared import shared_dir
+from ..sources.shared import stored
+from .cosine import cosine_join
 
 #: Sentences of a document whose graph one task takes: at most MOST * MOST similarities.
 MOST = 2000
+#: Changed sentences of a round up to this number are broadcast to the edges; more are joined by a shuffle.
+BROADCAST_CHANGES = 500_000
 
 
 @dataclass(frozen=True)
@@ -57,10 +60,8 @@ def tf_idf(sents: DataFrame, key: str = "doc_id", idx: str = "sent_idx", sentenc
 
 
 def similarity(weights: DataFrame, key: str = "doc_id", idx: str = "sent_idx", threshold: float = 0.10) -> DataFrame:
-    """key, src, dst, w in both directions: products over an inverted index within a document, never a cross join."""
-    a = weights.select(key, "term", F.col(idx).alias("src"), F.col("w").alias("wa"))
-    b = weights.select(key, "term", F.col(idx).alias("dst"), F.col("w").alias("wb"))
-    up = a.join(b, [key, "term"]).where("src < dst").groupBy(key, "src", "dst").agg(F.sum(F.col("wa") * F.col("wb")).alias("w")).where(F.col("w") >= threshold)
+    """key, src, dst, w in both directions, by a pruned inverted index within a document."""
+    up = cosine_join(weights, threshold, key, idx)
     ends = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
     return up.select(key, ends.alias("e"), "w").select(key, "e.src", "e.dst", "w")
 
@@ -94,25 +95,43 @@ def page_rank(edges: DataFrame, sents: DataFrame, key: str = "doc_id", idx: str
     return sents.select(key, idx).join(n, key).join(ranked, [key, idx], "left").select(key, idx, F.coalesce("base", lone).alias("base"))
 
 
-def page_rank_relational(edges: DataFrame, sents: DataFrame, key: str = "doc_id", idx: str = "sent_idx", s: RankSettings = RankSettings(), every: int = 5) -> DataFrame:
-    """The same for graphs too large for one task: each iteration is a join, and documents stop on their own.
-    The lineage is cut by checkpoint() every few iterations."""
-    shared_dir(edges.sparkSession)
+def page_rank_relational(edges: DataFrame, sents: DataFrame, key: str = "doc_id", idx: str = "sent_idx", s: RankSettings = RankSettings()) -> DataFrame:
+    """The same for graphs too large for one task, by delta iteration.
+
+    A sentence starts at 1 / n.  Its change is sent along its edges only while it is above a bound, a share of the
+    tolerance; smaller changes are kept until they add up.  What is kept in the end moves no score by more than
+    the tolerance.  A document stops once none of its sentences has such a change, and a round shuffles
+    the edges of changed sentences alone.  Changes are a table a round; scores are their sums, made once."""
     out_w = Window.partitionBy(key, "src")
-    share = edges.select(key, "src", "dst", (F.col("w") / F.sum("w").over(out_w)).alias("share"))
+    share = stored(edges.select(key, "src", "dst", (F.col("w") / F.sum("w").over(out_w) * s.damping).alias("share")), "rank-edges")
     n = sents.groupBy(key).agg(F.count("*").alias("n"))
-    now = sents.select(key, idx).join(n, key).withColumn("base", 1 / F.col("n")).withColumn("done", F.lit(False))
-    for i in range(s.max_iterations):
-        given = share.join(now.where("not done").select(key, F.col(idx).alias("src"), "base"), [key, "src"])
-        got = given.groupBy(key, F.col("dst").alias(idx)).agg(F.sum(F.col("share") * F.col("base")).alias("got"))
-        new = now.join(got, [key, idx], "left").withColumn("next", F.when(F.col("done"), F.col("base")).otherwise((1 - s.damping) / F.col("n") + s.damping * F.coalesce("got", F.lit(0.0))))
-        change = F.sum(F.abs(F.col("next") - F.col("base"))).over(Window.partitionBy(key))
-        now = new.select(key, idx, "n", F.col("next").alias("base"), (F.col("done") | (change < s.tolerance)).alias("done"))
-        if i % every == every - 1:
-            now = now.checkpoint()
-            if now.where("not done").isEmpty():
-                break
-    return now.select(key, idx, F.when(F.col("n") == 1, F.lit(1.0)).otherwise(F.col("base")).alias("base"))
+    nodes = stored(sents.select(key, idx).join(n, key), "rank-nodes")
+    first = share.join(nodes.select(key, F.col(idx).alias("src"), "n"), [key, "src"]).groupBy(key, F.col("dst").alias(idx)).agg(F.sum(F.col("share") / F.col("n")).alias("got"))
+    change = F.coalesce("got", F.lit(0.0)) + (1 - s.damping) / F.col("n") - 1 / F.col("n")
+    now, sent = changed(nodes.join(first, [key, idx], "left").select(key, idx, "n", change.alias("change")), s)
+    rounds = [now]
+    while sent and len(rounds) < s.max_iterations:
+        moving = now.where("sent").select(key, F.col(idx).alias("src"), "n", "change")
+        got = share.join(F.broadcast(moving) if sent <= BROADCAST_CHANGES else moving, [key, "src"]).select(key, F.col("dst").alias(idx), "n", (F.col("share") * F.col("change")).alias("change"))
+        both = got.unionByName(now.where("not sent").select(key, idx, "n", "change")).groupBy(key, idx).agg(F.first("n").alias("n"), F.sum("change").alias("change"))
+        now, sent = changed(both, s)
+        rounds.append(now)
+    done = [r.where("sent") for r in rounds[:-1]] + [rounds[-1]]
+    total = done[0].select(key, idx, "change")
+    for r in done[1:]:
+        total = total.unionByName(r.select(key, idx, "change"))
+    total = total.groupBy(key, idx).agg(F.sum("change").alias("change"))
+    base = F.when(F.col("n") == 1, F.lit(1.0)).otherwise(1 / F.col("n") + F.coalesce("change", F.lit(0.0)))
+    return nodes.join(total, [key, idx], "left").select(key, idx, base.alias("base"))
+
+
+def changed(changes: DataFrame, s: RankSettings) -> tuple[DataFrame, int]:
+    """The changes as a table with sent, whether one is large enough to be passed on, and how many are.  All that n
+    sentences keep comes to less than tolerance * (1 - damping), and so moves the scores by less than the tolerance."""
+    seen = Observation()
+    large = F.abs("change") > s.tolerance * (1 - s.damping) / F.col("n")
+    table = stored(changes.withColumn("sent", large).observe(seen, F.count_if("sent").alias("sent")), "rank-change")
+    return table, seen.get["sent"]
 
 
 def document_scores(weights: DataFrame, sents: DataFrame, key: str = "doc_id", idx: str = "sent_idx", s: RankSettings = RankSettings()) -> DataFrame:

@@ -20,6 +20,7 @@ from .tables import participants, read, samples, turns
 
 PLAIN = rank.RankSettings(pack=TEST)
 FIXED = rank.RankSettings(pack=TEST, tolerance=0.0, max_iterations=20)
+CLOSE = rank.RankSettings(pack=TEST, damping=0.5, tolerance=1e-9, max_iterations=60)
 SUMMARY = report.SummarySettings(pack=TEST, rank=PLAIN, digits=6)
 #: Amounts need a unit, so that dates and numbers in words stand on their own too.
 KINDS = replace(TEST, amount=r"\d+[\d.,]*\s*(?:%|km|kg|ms|px|mb|gb|x|years?|days?|hours?)", date=r"\d{1,2}[./]\d{1,2}(?:[./]\d{2,4})?", word_number=r"(?:the|der|les|los) [a-z]{3}")
@@ -135,6 +136,14 @@ def lexrank_scores(spark, sf_dir):
     return scored.select("doc_id", "sent_idx", F.round("base", 6).alias("base"), F.round("boosted", 6).alias("boosted"))
 
 
+def delta_ranks(spark, sf_dir):
+    """Ranks by joins alone: similarities by the pruned index, PageRank by delta iteration to a small tolerance, with a
+    damping that needs some thirty rounds."""
+    c = _conversations(spark, sf_dir)
+    edges = rank.similarity(rank.tf_idf(c, s=CLOSE), threshold=CLOSE.threshold)
+    return rank.page_rank_relational(edges, c, s=CLOSE).select("doc_id", "sent_idx", F.round("base", 5).alias("base"))
+
+
 def key_quotes(spark, sf_dir):
     """Scores are rounded before they are ranked, so that ties are the same in any order of sums."""
     scored = rank.lex_rank(_conversations(spark, sf_dir), s=FIXED).withColumn("boosted", F.round("boosted", 6))
@@ -402,7 +411,7 @@ def pq_vectors(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    sentences, sentence_stats, doc_words, top_words, token_shapes, tfidf_terms, similarity_edges, lexrank_scores, key_quotes, key_fragments, document_quotes,
+    sentences, sentence_stats, doc_words, top_words, token_shapes, tfidf_terms, similarity_edges, lexrank_scores, delta_ranks, key_quotes, key_fragments, document_quotes,
     risk_sentences, amounts, numbers_in_context, numbers_by_kind, turn_words, word_confidence, turn_stats, transcript_stats, merged_turns, speaker_labels, stitched_chunks, protocol_table, plain_documents,
     entity_counts, entity_totals, doc_summary, summary_markdown, summary_text, prompt_table, rms_level, resampled, activity_runs, fixed_chunks, overlap_chunks, downmixed,
     session_history, session_words, pq_vectors)} | records.QUERIES | tagged.QUERIES | stored_files.QUERIES
@@ -425,6 +434,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, word) AS
     "tfidf_terms": WEIGHTS + "SELECT doc_id, sent_idx, term, round(w, 6) AS w FROM ws",
     "similarity_edges": WEIGHTS + "SELECT doc_id, src, dst, round(w, 6) AS w FROM edges",
     "lexrank_scores": RANKED + "SELECT doc_id, sent_idx, round(base, 6) AS base, round(boosted, 6) AS boosted FROM bo",
+    "delta_ranks": RANKED.replace("p.step < 20", "p.step < 60").replace("p.step = 20", "p.step = 60").replace("0.15 / n + 0.85 *", "0.5 / n + 0.5 *") + "SELECT doc_id, sent_idx, round(base, 5) AS base FROM bo",
     "key_quotes": RANKED + """, q AS (SELECT doc_id, sent_idx, sentence, round(boosted, 6) AS boosted FROM bo),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY boosted DESC, sent_idx) AS rank FROM q) SELECT * FROM r WHERE rank <= 5""",
     "key_fragments": RANKED + """, q AS (SELECT doc_id, sent_idx, sentence, round(boosted, 6) AS boosted FROM bo),

@@ -1,8 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from talkloom.functions.lexicons import RUSSIAN
-from talkloom.operators import rank
+from talkloom.operators import cosine, rank
 
 
 def sents(spark, *docs):
@@ -39,7 +41,63 @@ def test_both_page_ranks_agree(spark):
     edges = rank.similarity(rank.tf_idf(df))
     a = {(r[0], r[1]): r[2] for r in rank.page_rank(edges, df).collect()}
     b = {(r[0], r[1]): r[2] for r in rank.page_rank_relational(edges, df).collect()}
-    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-9) for k in a)
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-6) for k in a)
+
+
+def test_delta_iteration_sends_less_and_less(spark, monkeypatch):
+    """Rounds end by themselves, each sends fewer changes once scores settle, and what is kept moves no score by more than
+    the tolerance."""
+    rng = random.Random(4)
+    words = [f"слово{i}" for i in range(60)]
+    df = sents(spark, [" ".join(rng.choice(words) for _ in range(9)) for _ in range(150)], TALK, ["равные слова здесь"] * 2)
+    edges = rank.similarity(rank.tf_idf(df)).cache()
+    exact = {(r[0], r[1]): r[2] for r in rank.page_rank(edges, df, s=rank.RankSettings(tolerance=0.0, max_iterations=300)).collect()}
+    tables, made = [], rank.changed
+
+    def watched(*args):
+        tables.append(0)
+        table, tables[-1] = made(*args)
+        return table, tables[-1]
+
+    monkeypatch.setattr(rank, "changed", watched)
+    for bound in (0, 500_000):
+        monkeypatch.setattr(rank, "BROADCAST_CHANGES", bound)
+        tables.clear()
+        got = {(r[0], r[1]): r[2] for r in rank.page_rank_relational(edges, df).collect()}
+        assert got.keys() == exact.keys() and max(abs(got[k] - exact[k]) for k in got) < 1e-6
+        assert tables[-1] == 0 and tables[0] > 100 and len(tables) < 50 and sum(tables[len(tables) // 2 :]) < sum(tables[: len(tables) // 2])
+
+
+def vectors(seed, n):
+    """Sparse vectors of length 1 with common and rare terms, some equal, some of one term."""
+    rng = random.Random(seed)
+    rows = []
+    for d in (1, 2):
+        for i in range(n):
+            terms = {f"c{rng.randrange(6)}": rng.uniform(0.05, 0.4) for _ in range(rng.randint(0, 4))} | {f"r{rng.randrange(300)}": rng.uniform(0.5, 3) for _ in range(rng.randint(0 if i % 9 else 1, 5))}
+            if i % 17 == 0:
+                terms = {"c1": 1.0}
+            length = sum(w * w for w in terms.values()) ** 0.5
+            rows += [(d, i, t, w / length) for t, w in terms.items()]
+    return rows
+
+
+@pytest.mark.parametrize("threshold", [0.02, 0.1, 0.4, 0.8, 0.999])
+def test_pruned_join_finds_every_pair(spark, threshold):
+    rows = vectors(5, 120)
+    df = spark.createDataFrame(rows, "doc_id long, sent_idx int, term string, w double")
+    by = {}
+    for d, i, t, w in rows:
+        by.setdefault((d, i), {})[t] = w
+    want = {}
+    for (d, i), x in by.items():
+        for (e, j), y in by.items():
+            if d == e and i < j and (p := sum(w * y.get(t, 0) for t, w in x.items())) >= threshold:
+                want[d, i, j] = p
+    got = {(r["doc_id"], min(r["src"], r["dst"]), max(r["src"], r["dst"])): r["w"] for r in cosine.cosine_join(df, threshold).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want) and want
+    split = cosine.split_vectors(df, "doc_id", "sent_idx", threshold)
+    assert threshold < 0.1 or split.agg(F.sum(F.size("head"))).first()[0] > 50
 
 
 @pytest.mark.parametrize("words, digit, entities, want", [
