@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 HALF_HOUR_MS = 1_800_000
 
 
@@ -29,11 +31,18 @@ def overlapping_chunks(recordings: DataFrame, keys: list[str], length_ms: int =
     return rows.select(*keys, "chunk_idx", start.alias("start_ms"), F.least(start + length_ms, F.col("duration_ms")).alias("end_ms"))
 
 
-def merged_intervals(df: DataFrame, keys: list[str], start: str = "start_s", end: str = "end_s", pause: float = 0.5, least: float = 0.3) -> DataFrame:
-    """keys, run, start, end, n: intervals with a pause under `pause` are one; shorter ones than `least` go."""
-    w = Window.partitionBy(*keys).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    runs = df.withColumn("_new", F.when(F.col(start) - reach < pause, 0).otherwise(1)).withColumn("run", F.sum("_new").over(w) - 1)
+def merged_intervals(df: DataFrame, keys: list[str], start: str = "start_s", end: str = "end_s", pause: float = 0.5, least: float = 0.3, parts: int | None = None) -> DataFrame:
+    """keys, run, start, end, n: intervals with a pause under `pause` are one; shorter ones than `least` go.  parts: spread
+    each key over so many ranges, for keys too large for one task."""
+    order = [start, end]
+    fresh = lambda reach: F.when(F.col(start) - reach < pause, 0).otherwise(1)
+    if parts:
+        reached = scan.running_max(scan.laid_out(df, keys, order, parts), keys, order, F.col(end), "_reach", own=False)
+        runs = scan.running_sum(reached.withColumn("_new", fresh(F.col("_reach"))), keys, order, F.col("_new"), "run").withColumn("run", F.col("run") - 1)
+    else:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        runs = df.withColumn("_new", fresh(reach)).withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
     out = runs.groupBy(*keys, "run").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n"))
     return out.where(F.col(end) - F.col(start) >= least)
 

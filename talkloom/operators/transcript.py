@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 PREFIX = "Спикер "
 
 
@@ -91,27 +93,34 @@ def all_speakers(known: Column, edited: Column) -> Column:
     return F.when(F.size(both) == 0, F.array(F.lit(0))).otherwise(both)
 
 
-def merged_turns(segments: DataFrame, key: str = "session_id", order: str = "seg_idx", most_gap_ms: int = 2000, text: str = "text") -> DataFrame:
+def merged_turns(segments: DataFrame, key: str = "session_id", order: str = "seg_idx", most_gap_ms: int = 2000, text: str = "text", parts: int | None = None) -> DataFrame:
     """key, turn, speaker_id, start_ms, end_ms, n_segments, text: neighbours of one speaker with a gap of
-    0 to most_gap_ms are one turn.  An overlap does not merge."""
-    w = Window.partitionBy(key).orderBy(order)
-    gap = F.col("start_ms") - F.lag("end_ms").over(w)
-    same = (F.col("speaker_id") == F.lag("speaker_id").over(w)) & gap.between(0, most_gap_ms)
-    runs = segments.withColumn("_new", F.when(same, 0).otherwise(1)).withColumn("turn", F.sum("_new").over(w) - 1)
-    parts = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("end_ms").alias("e"), F.col(text).alias("t"))))
-    out = runs.groupBy(key, "turn").agg(F.first("speaker_id").alias("speaker_id"), F.min("start_ms").alias("_lo"), F.min_by("start_ms", order).alias("start_ms"), parts.alias("_p"))
+    0 to most_gap_ms are one turn.  An overlap does not merge.  parts: spread each key over so many ranges of `order`."""
+    follows = lambda who, end: F.when((F.col("speaker_id") == who) & (F.col("start_ms") - end).between(0, most_gap_ms), 0).otherwise(1)
+    if parts:
+        rows = scan.previous(scan.laid_out(segments, [key], [order], parts), [key], [order], ["speaker_id", "end_ms"])
+        runs = scan.running_sum(rows.withColumn("_new", follows(F.col("_before.speaker_id"), F.col("_before.end_ms"))), [key], [order], F.col("_new"), "turn").withColumn("turn", F.col("turn") - 1)
+    else:
+        w = Window.partitionBy(key).orderBy(order)
+        runs = segments.withColumn("_new", follows(F.lag("speaker_id").over(w), F.lag("end_ms").over(w))).withColumn("turn", F.sum("_new").over(w) - 1)
+    parts_ = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("end_ms").alias("e"), F.col(text).alias("t"))))
+    out = runs.groupBy(key, "turn").agg(F.first("speaker_id").alias("speaker_id"), F.min("start_ms").alias("_lo"), F.min_by("start_ms", order).alias("start_ms"), parts_.alias("_p"))
     return out.select(key, "turn", "speaker_id", "start_ms", F.element_at("_p", -1)["e"].alias("end_ms"), F.size("_p").alias("n_segments"), F.array_join(F.transform("_p", lambda x: x["t"]), " ").alias("text"))
 
 
-def stitched_chunks(segments: DataFrame, chunks: DataFrame, key: str = "session_id", dense: bool = False) -> DataFrame:
+def stitched_chunks(segments: DataFrame, chunks: DataFrame, key: str = "session_id", dense: bool = False, parts: int | None = None) -> DataFrame:
     """Segments of chunks on one time line: chunk_start_ms is added to times, and the count of distinct
-    speakers of earlier chunks to ids.  dense numbers the ids of a chunk 0..k-1 first, so none collide."""
+    speakers of earlier chunks to ids.  dense numbers the ids of a chunk 0..k-1 first, so none collide.  parts: spread
+    each key's chunks over so many ranges."""
     if dense:
         segments = segments.withColumn("speaker_id", F.dense_rank().over(Window.partitionBy(key, "chunk_idx").orderBy("speaker_id")) - 1)
     n = segments.groupBy(key, "chunk_idx").agg(F.count_distinct("speaker_id").alias("_k"))
-    before = Window.partitionBy(key).orderBy("chunk_idx").rowsBetween(Window.unboundedPreceding, -1)
     shift = chunks.select(key, "chunk_idx", "chunk_start_ms").join(n, [key, "chunk_idx"], "left")
-    shift = shift.withColumn("_shift", F.coalesce(F.sum("_k").over(before), F.lit(0))).drop("_k")
+    if parts:
+        shift = scan.running_sum(scan.laid_out(shift, [key], ["chunk_idx"], parts), [key], ["chunk_idx"], F.col("_k"), "_shift", own=False).drop("_k", scan.PART)
+    else:
+        before = Window.partitionBy(key).orderBy("chunk_idx").rowsBetween(Window.unboundedPreceding, -1)
+        shift = shift.withColumn("_shift", F.coalesce(F.sum("_k").over(before), F.lit(0))).drop("_k")
     return segments.join(shift, [key, "chunk_idx"]).select(
         key, "chunk_idx", "seg_idx", (F.col("speaker_id") + F.col("_shift")).cast("long").alias("speaker_id"),
         (F.col("start_ms") + F.col("chunk_start_ms")).alias("start_ms"), (F.col("end_ms") + F.col("chunk_start_ms")).alias("end_ms"))

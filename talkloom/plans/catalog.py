@@ -14,7 +14,7 @@ from ..operators import entities as ent
 from ..operators import intervals, rank, report, transcript, vectors
 from ..sources import sessions as src
 from ..sources.shared import shared_dir, stored
-from . import records, summary_sql, tagged
+from . import records, spread, summary_sql, tagged
 from . import stored as stored_files
 from .tables import participants, read, samples, turns
 
@@ -414,14 +414,14 @@ QUERIES = {f.__name__: f for f in (
     sentences, sentence_stats, doc_words, top_words, token_shapes, tfidf_terms, similarity_edges, lexrank_scores, delta_ranks, key_quotes, key_fragments, document_quotes,
     risk_sentences, amounts, numbers_in_context, numbers_by_kind, turn_words, word_confidence, turn_stats, transcript_stats, merged_turns, speaker_labels, stitched_chunks, protocol_table, plain_documents,
     entity_counts, entity_totals, doc_summary, summary_markdown, summary_text, prompt_table, rms_level, resampled, activity_runs, fixed_chunks, overlap_chunks, downmixed,
-    session_history, session_words, pq_vectors)} | records.QUERIES | tagged.QUERIES | stored_files.QUERIES
+    session_history, session_words, pq_vectors)} | records.QUERIES | tagged.QUERIES | stored_files.QUERIES | spread.QUERIES
 
 SUMMED = summary_sql.summary(
     SENTENCES, ENTITIES.replace("WITH tk AS (SELECT conv_id AS doc_id, turn AS sent_idx, regexp_extract_all(text,", ", tg AS (SELECT doc_id, sent_idx, regexp_extract_all(sentence,", 1)
     .replace("FROM conversations)", "FROM src)").replace("FROM tk)", "FROM tg)"), STOPS, TEST.triggers, TEST)
 NUMBERS = "SELECT doc_id, position::BIGINT AS position, match, context, category FROM nums"
 
-SPAN = "WITH s AS (SELECT user_id AS key, (epoch_ms(max(ts)) - epoch_ms(min(ts))) // 1000 AS d FROM events GROUP BY ALL)"
+SPAN = "WITH s AS (SELECT user_id AS key, (epoch_us(max(ts)) // 1000 - epoch_us(min(ts)) // 1000) // 1000 AS d FROM events GROUP BY ALL)"
 ORACLES: dict[str, str] = {
     "sentences": SENTENCES + "SELECT doc_id, sent_idx, sentence FROM sents",
     "sentence_stats": SENTENCES + r""", n AS (SELECT *, len(string_split_regex(sentence, '\s+')) AS wc FROM sents)
@@ -473,7 +473,7 @@ SELECT session_id, seg_idx, (speaker_id + shift)::BIGINT AS speaker_id, (start_m
     "entity_counts": ENTITIES + "SELECT doc_id, type, text, n AS count, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, text) AS rank FROM ct",
     "entity_totals": ENTITIES + "SELECT doc_id, type, count(*) AS distinct_entities, sum(n)::BIGINT AS mentions FROM ct GROUP BY ALL",
     "rms_level": "SELECT user_id AS key, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, round(sqrt(avg(value * value)), 4) AS level FROM events GROUP BY ALL",
-    "activity_runs": """WITH e AS (SELECT user_id AS key, epoch_ms(ts) / 1000.0 AS a, epoch_ms(ts) / 1000.0 + 60 AS b FROM events),
+    "activity_runs": """WITH e AS (SELECT user_id AS key, (epoch_us(ts) // 1000) / 1000.0 AS a, (epoch_us(ts) // 1000) / 1000.0 + 60 AS b FROM events),
 m AS (SELECT *, CASE WHEN a - max(b) OVER (PARTITION BY key ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 3600 THEN 0 ELSE 1 END AS fresh FROM e),
 r AS (SELECT *, sum(fresh) OVER (PARTITION BY key ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS run FROM m)
 SELECT key, round(min(a), 3) AS start_s, round(max(b), 3) AS end_s, count(*) AS n FROM r GROUP BY key, run HAVING max(b) - min(a) >= 90""",
@@ -493,4 +493,4 @@ e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
 p AS (SELECT vec_id, sub, code, chunk, list_sum(list_transform(range(4), lambda i: (v[sub * 4 + i + 1] - chunk[i + 1]) * (v[sub * 4 + i + 1] - chunk[i + 1]))) AS d FROM e, book),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id, sub ORDER BY round(d, 12), code) AS k FROM p)
 SELECT vec_id, string_agg(code::VARCHAR, ',' ORDER BY sub) AS codes, round(sum(list_sum(chunk)), 4) AS total FROM r WHERE k = 1 GROUP BY vec_id""",
-} | records.oracles(TURNS, WORDS, ENTITIES, SENTENCES) | tagged.oracles(SHAPED) | stored_files.ORACLES
+} | records.oracles(TURNS, WORDS, ENTITIES, SENTENCES) | tagged.oracles(SHAPED) | stored_files.ORACLES | spread.oracles(TURNS, MERGED)
