@@ -14,7 +14,7 @@ from ..operators import entities as ent
 from ..operators import intervals, rank, report, transcript, vectors
 from ..sources import sessions as src
 from ..sources.shared import shared_dir, stored
-from . import records, spread, summary_sql, tagged
+from . import records, spread, streamed, summary_sql, tagged
 from . import stored as stored_files
 from .tables import participants, read, samples, turns
 
@@ -414,7 +414,7 @@ QUERIES = {f.__name__: f for f in (
     sentences, sentence_stats, doc_words, top_words, token_shapes, tfidf_terms, similarity_edges, lexrank_scores, delta_ranks, key_quotes, key_fragments, document_quotes,
     risk_sentences, amounts, numbers_in_context, numbers_by_kind, turn_words, word_confidence, turn_stats, transcript_stats, merged_turns, speaker_labels, stitched_chunks, protocol_table, plain_documents,
     entity_counts, entity_totals, doc_summary, summary_markdown, summary_text, prompt_table, rms_level, resampled, activity_runs, fixed_chunks, overlap_chunks, downmixed,
-    session_history, session_words, pq_vectors)} | records.QUERIES | tagged.QUERIES | stored_files.QUERIES | spread.QUERIES
+    session_history, session_words, pq_vectors)} | records.QUERIES | tagged.QUERIES | stored_files.QUERIES | spread.QUERIES | streamed.QUERIES
 
 SUMMED = summary_sql.summary(
     SENTENCES, ENTITIES.replace("WITH tk AS (SELECT conv_id AS doc_id, turn AS sent_idx, regexp_extract_all(text,", ", tg AS (SELECT doc_id, sent_idx, regexp_extract_all(sentence,", 1)
@@ -494,3 +494,4 @@ p AS (SELECT vec_id, sub, code, chunk, list_sum(list_transform(range(4), lambda
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id, sub ORDER BY round(d, 12), code) AS k FROM p)
 SELECT vec_id, string_agg(code::VARCHAR, ',' ORDER BY sub) AS codes, round(sum(list_sum(chunk)), 4) AS total FROM r WHERE k = 1 GROUP BY vec_id""",
 } | records.oracles(TURNS, WORDS, ENTITIES, SENTENCES) | tagged.oracles(SHAPED) | stored_files.ORACLES | spread.oracles(TURNS, MERGED)
+ORACLES |= streamed.oracles(ORACLES["rms_level"], ORACLES["resampled"], WORDS)

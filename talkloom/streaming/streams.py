@@ -27,41 +27,69 @@ def activity_runs(events: DataFrame, key: str, gap: str, late: str, ts: str = "t
 LAST = T.StructType([T.StructField("t", T.LongType()), T.StructField("v", T.DoubleType()), T.StructField("next", T.LongType())])
 
 
+def points(key, at: list[int], values: list[float]) -> pd.DataFrame:
+    return pd.DataFrame({"key": pd.Series([key] * len(at), dtype=object), "t": pd.Series(at, dtype="int64"), "value": pd.Series(values, dtype="float64")})
+
+
 class Resampler(StatefulProcessor):
     """Linear resampling of each key's samples to a grid; the last sample and the next grid point are carried
-    from batch to batch.  Samples that come before the last one carried are late and are left out."""
+    from batch to batch.  Samples at or before the last one carried, or before the watermark, are late and left out.
+    Once the watermark is `gap` behind a key's last sample, that sample is held to the end of its step and the key's
+    state goes; samples that come after start a new grid."""
 
-    def __init__(self, step_us: int):
-        self.step = step_us
+    def __init__(self, step_us: int, gap_us: int):
+        self.step, self.gap = step_us, gap_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", LAST)
+        self.handle, self.last = handle, handle.getValueState("last", LAST)
+
+    def expiry(self, t: int) -> int:
+        return -(-(t + self.gap) // 1000)
+
+    def end(self, t: int, grid: int) -> list[int]:
+        """The grid point at which the last sample is held; a first sample alone is its own and has been given."""
+        return [grid] if grid - self.step != t else []
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).groupby("t", as_index=False)["v"].mean().sort_values("t")
+        new = pd.concat(list(rows))
+        new = new[new["t"] >= timerValues.getCurrentWatermarkInMs() * 1000].groupby("t", as_index=False)["v"].mean().sort_values("t")
         t0, v0, grid = self.last.get() if self.last.exists() else (None, None, None)
-        at, values = [], []
+        at, values, before = [], [], t0
         for t, v in zip(new["t"].tolist(), new["v"].tolist(), strict=True):
+            if t0 is not None and t <= t0:
+                continue
+            if t0 is not None and t - t0 > self.gap:  # the series ended within this batch
+                at += self.end(t0, grid)
+                values += [v0] * len(self.end(t0, grid))
+                t0 = None
             if t0 is None:
                 grid = t
-            elif t <= t0:
-                continue
             while grid <= t if t0 is None else grid < t:
                 at.append(grid)
                 values.append(v if t0 is None or t == t0 else v0 + (v - v0) * (grid - t0) / (t - t0))
                 grid += self.step
             t0, v0 = t, v
-        self.last.update((t0, v0, grid))
-        yield pd.DataFrame({"key": [key[0]] * len(at), "t": at, "value": values})
+        if t0 is not None and t0 != before:
+            if before is not None:
+                self.handle.deleteTimer(self.expiry(before))
+            self.last.update((t0, v0, grid))
+            self.handle.registerTimer(self.expiry(t0))
+        yield points(key[0], at, values)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        t, v, grid = self.last.get()
+        self.last.clear()
+        end = self.end(t, grid)
+        yield points(key[0], end, [v] * len(end))
 
     def close(self) -> None:
         pass
 
 
-def resampled_stream(samples: DataFrame, key: str, step_seconds: int, ts: str = "ts", value: str = "value") -> DataFrame:
-    """key, ts, value as intervals.resampled gives them, but for the last sample of each series, which waits
-    for its successor.  Needs the RocksDB state store provider."""
-    rows = samples.select(F.col(key).alias("key"), F.unix_micros(ts).alias("t"), F.col(value).cast("double").alias("v"))
+def resampled_stream(samples: DataFrame, key: str, step_seconds: int, ts: str = "ts", value: str = "value", late: str = "0 seconds", gap_seconds: int = 1 << 31) -> DataFrame:
+    """key, ts, value as intervals.resampled gives them; the end of a series is given, and its state dropped, once the
+    watermark (`late` behind the latest sample) is gap_seconds past its last sample.  Needs the RocksDB state store."""
+    rows = samples.withWatermark(ts, late).select(F.col(key).alias("key"), F.col(ts), F.unix_micros(ts).alias("t"), F.col(value).cast("double").alias("v"))
     kind = dict(samples.dtypes)[key]
-    out = rows.groupBy("key").transformWithStateInPandas(Resampler(step_seconds * 1_000_000), f"key {kind}, t bigint, value double", outputMode="Append", timeMode="None")
+    out = rows.groupBy("key").transformWithStateInPandas(Resampler(step_seconds * 1_000_000, gap_seconds * 1_000_000), f"key {kind}, t bigint, value double", outputMode="Append", timeMode="EventTime")
     return out.select(F.col("key").alias(key), F.timestamp_micros("t").alias("ts"), "value")

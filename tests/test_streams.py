@@ -43,3 +43,26 @@ def test_resampling_carries_state(spark, tmp_path):
     last = df.groupBy("key").agg(F.max("ts").alias("t")).collect()
     ends = {r["key"]: r["t"] for r in last}
     assert got == {k: v for k, v in want.items() if k[1] < ends[k[0]]}
+
+
+def test_resampling_drops_state_and_late_rows(spark, tmp_path):
+    """Series that end are closed as in a batch, their state goes, and rows behind the watermark are left out."""
+    day = "2024-01-01 00:"
+    parts = [[("a", f"{day}00:{s:02d}", float(s)) for s in (0, 3, 7)] + [("b", f"{day}00:05", 1.0)], [("c", f"{day}10:00", 5.0), ("b", f"{day}10:01", 2.0)],
+             [("a", f"{day}00:09", 99.0), ("c", f"{day}10:03", 8.0)], [("end", f"{day}59:00", 0.0)]]
+    schema = "key string, ts timestamp, value double"
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    out = streams.resampled_stream(stream, "key", 2, late="0 seconds", gap_seconds=60)
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, "key string, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        state = q.lastProgress["stateOperators"][0]["numRowsTotal"] if q.lastProgress["stateOperators"] else None
+    rows = [r for p in parts for r in p if r != ("a", f"{day}00:09", 99.0)]  # late: the watermark is at 10:01
+    series = spark.createDataFrame([(f"{k}{int(t[14:16])}", t, v) for k, t, v in rows if k != "end"], "key string, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+    want = {(r["key"][0], r["ts"], round(r["value"], 6)) for r in intervals.resampled(series, "key", "2 seconds").collect()}
+    got = {(r["key"], r["ts"], round(r["value"], 6)) for r in spark.read.schema(schema).parquet(str(tmp_path / "out")).collect()}
+    assert {g for g in got if g[0] != "end"} == want
+    left = spark.read.format("statestore").option("stateVarName", "last").load(str(tmp_path / "c"))
+    assert [r["key"][0] for r in left.collect()] == ["end"] and state is not None
