@@ -170,3 +170,27 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.score(odd, chain).count() == odd.count()
     none = toxicity.fit(df.limit(0), ("first", "second"))
     assert {r["p_first"] for r in toxicity.score(odd, none).collect()} == {0.0}
+
+
+def test_packing_of_hard_lengths(spark):
+    """20,000 pieces of which two or three fit, with ids over 2^53 beside a null one; and lengths for which the bound is near."""
+
+    rng = random.Random(1)
+    big = 2**60
+    rows = [(big + i, rng.randint(1100, 1899)) for i in range(20_000)] + [(None, 1500)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, length long"), ["doc_id"])
+    made = got.collect()
+    assert sorted((r["doc_id"] or 0, r["length"]) for r in made) == sorted((k or 0, n) for k, n in rows)
+    bins = {}
+    for r in made:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for b in bins.values():
+        at = 0
+        for offset, n in sorted(b):
+            assert offset == at
+            at += n
+        assert at <= 4096
+    assert len(bins) <= 8_100  # groups of 20,000 gave 8,326
+    rows = [(i, min(4096, int(rng.lognormvariate(5.5, 1.2)) + 1)) for i in range(20_000)]
+    n = packing.pack(spark.createDataFrame(rows, "doc_id long, length long"), ["doc_id"]).select("sequence_id").distinct().count()
+    assert n <= 1.01 * -(-sum(x for _, x in rows) // 4096)
