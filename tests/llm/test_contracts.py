@@ -19,6 +19,8 @@ COLUMNS = {
     "op8_suffix_dedup": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
     "op9_byte_bpe": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
     "op10_nn_descent": "query_id bigint, rank int, vec_id bigint, score double",
+    "op11_periodic_runs": "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string",
+    "op12_url_filters": "page_id bigint, host string, path string, rule string, verdict string, template string, purity double",
 }
 
 
@@ -37,6 +39,10 @@ def test_columns_and_whole_tables(spark, sf, documents, name):
         assert sorted({r["query_id"] for r in rows}) == sorted(i for i in ids if i % 20 == 0)
         assert all(r["query_id"] != r["vec_id"] for r in rows) and len(rows) == 20 * len({r["query_id"] for r in rows})
         return
+    if name == "op12_url_filters":
+        assert sorted(r["page_id"] for r in rows) == sorted(r[0] for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id").collect())
+        assert {r["verdict"] for r in rows} <= {"allow", "block"} and all((r["rule"] is None) or r["verdict"] for r in rows)
+        return
     want = sorted(r[0] for r in documents.select("doc_id").collect())
     assert sorted({r["doc_id"] for r in rows}) == want and (name == "op5_best_fit_packing" or len(rows) == len(want))
     if "held_out" in df.columns:
