@@ -98,3 +98,15 @@ def test_written_files(spark, tmp_path):
     assert sorted(os.listdir(out)) == ["a", "b", "c"] and open(f"{out}/a", "rb").read() == b"one"
     samples = spark.createDataFrame([([1, -2, 40000], 8000, 2), (None, 1, 1)], "s array<int>, r int, c int").select(files.wave("s", "r", "c").alias("content")).collect()
     assert bytes(samples[0]["content"])[40:] == b"\x06\0\0\0\x01\0\xfe\xff\xff\x7f" and len(samples[1]["content"]) == 44
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    from talkloom.sources.shared import shared_dir
+
+    context = N(master="spark://host:7077", getConf=lambda: {}, getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError):
+        shared_dir(N(sparkContext=context))
+    context.getCheckpointDir = lambda: "hdfs://shared"
+    assert shared_dir(N(sparkContext=context)) == "hdfs://shared"
