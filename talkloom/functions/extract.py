@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ from .text import word_count
 
 FLAGS = "(?iuU)"  # Unicode classes and case folding, as on the reference platform
 LEFT, RIGHT, NEAR, GRAM = 60, 50, 5, 4
+MOST_WORDS, LONGEST_WORD = 100_000, 256  #: the lexicon that one automaton may hold
 PLACE = "array<struct<position:int,match:string>>"
 
 
@@ -89,16 +93,37 @@ def contained(text: Column, words: list[str] | tuple[str, ...]) -> Column:
     return F.transform(F.array(F.lower(text)), lambda low: F.filter(every, lambda w: F.instr(low, w) > 0))[0]
 
 
-def contained_in(df: DataFrame, text: str, lexicon: DataFrame, word: str = "word") -> DataFrame:
-    """The same for a lexicon that is a table: one row for each text and word in it.  A word is looked for only
-    in texts that hold its first GRAM characters, by a join on these; shorter words, which are few, by all."""
-    words = lexicon.select(F.col(word)).where(F.length(word) > 0).distinct().withColumn("_g", F.substring(F.col(word), 1, GRAM))
+def contained_in(df: DataFrame, text: str, lexicon: DataFrame, word: str = "word", most: int = MOST_WORDS) -> DataFrame:
+    """The same for a lexicon that is a table: one row for each text and word in it.  A lexicon of up to `most` words
+    of up to LONGEST_WORD characters is one automaton a task, so a text is read once; its words are counted while the plan is
+    made.  In a larger one a word is looked for only in texts that hold its first GRAM characters, by a join on
+    these; shorter words, which are few, by all.  Null and empty words are in no text."""
+    words = lexicon.select(F.col(word)).where(F.length(word) > 0).distinct()
+    known = [r[0] for r in words.where(F.length(word) <= LONGEST_WORD).limit(most + 1).collect()]
+    if len(known) <= most and words.where(F.length(word) > LONGEST_WORD).isEmpty():
+        return df.withColumn(word, F.explode(_automaton(known)(F.lower(F.col(text)))))
+    words = words.withColumn("_g", F.substring(F.col(word), 1, GRAM))
     low = F.lower(F.col(text))
     each = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: F.transform(
         F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.substring(low, i, n)))))
     return df.withColumn("_g", F.explode(each)).join(words, "_g").where(F.contains(low, F.col(word))).drop("_g")
 
 
+def _automaton(words: list[str]):
+    """Lists of the words that each text holds, by an automaton made once a task."""
+    def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for w in words:
+            automaton.add_word(w, w)
+        automaton.make_automaton()
+        for texts in batches:
+            yield pd.Series([sorted({w for _, w in automaton.iter(t)}) if t and words else [] for t in texts], dtype=object)
+
+    return F.pandas_udf(held, "array<string>")
+
+
 def risk_list(sentences: Column, pack: Pack = RUSSIAN, least: int = 5, most: int = 80, limit: int = 20) -> Column:
     """What risks gives, for an array of sentences: array<struct<sentence, triggers, position, score>>."""
     each = F.transform(sentences, lambda x, i: F.struct(x.alias("sentence"), F.when(word_count(x).between(least, most), contained(x, pack.triggers)).otherwise(

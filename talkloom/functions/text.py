@@ -23,13 +23,19 @@ def boundary_pattern(pack: Pack = RUSSIAN) -> str:
     return rf"([.!?…]++){follows}(?:(?<=[!?…])|(?<=\.){short}{initial}{inner})"
 
 
+def marked(text: Column, pack: Pack = RUSSIAN) -> Column:
+    """The text, which holds no MARK, with a MARK at each boundary."""
+    return F.regexp_replace(F.regexp_replace(text, boundary_pattern(pack), "$1" + MARK), "\n(?=\n)", "\n" + MARK)
+
+
+def trimmed(sentence: Column) -> Column:
+    return F.regexp_replace(sentence, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+
+
 def split_sentences(text: Column, pack: Pack = RUSSIAN) -> Column:
     """array<string> of the sentences of a text; a null text has none."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), MARK, "")
-    t = F.regexp_replace(t, boundary_pattern(pack), "$1" + MARK)
-    t = F.regexp_replace(t, "\n(?=\n)", "\n" + MARK)
-    parts = F.transform(F.split(t, MARK, -1), lambda s: F.regexp_replace(s, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
-    return F.filter(parts, lambda s: s != "")
+    t = marked(F.regexp_replace(F.coalesce(text, F.lit("")), MARK, ""), pack)
+    return F.filter(F.transform(F.split(t, MARK, -1), trimmed), lambda s: s != "")
 
 
 Segmenter = Callable[[Column], Column]

@@ -493,5 +493,5 @@ e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
 p AS (SELECT vec_id, sub, code, chunk, list_sum(list_transform(range(4), lambda i: (v[sub * 4 + i + 1] - chunk[i + 1]) * (v[sub * 4 + i + 1] - chunk[i + 1]))) AS d FROM e, book),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id, sub ORDER BY round(d, 12), code) AS k FROM p)
 SELECT vec_id, string_agg(code::VARCHAR, ',' ORDER BY sub) AS codes, round(sum(list_sum(chunk)), 4) AS total FROM r WHERE k = 1 GROUP BY vec_id""",
-} | records.oracles(TURNS, WORDS, ENTITIES, SENTENCES) | tagged.oracles(SHAPED) | stored_files.ORACLES | spread.oracles(TURNS, MERGED)
+} | records.oracles(TURNS, WORDS, ENTITIES, SENTENCES) | tagged.oracles(SHAPED) | stored_files.ORACLES | spread.oracles(TURNS, MERGED, WORDS, SENTENCES + "SELECT doc_id, sent_idx, sentence FROM sents")
 ORACLES |= streamed.oracles(ORACLES["rms_level"], ORACLES["resampled"], WORDS)

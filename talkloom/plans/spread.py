@@ -1,13 +1,16 @@
-"""Queries over one key that holds the whole table, spread over ranges."""
+"""Queries over one key that holds the whole table, spread over ranges, texts spread over pieces, times over cells."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import intervals, transcript
-from .tables import samples, turns
+from ..functions import extract
+from ..functions.lexicons import TEST
+from ..operators import intervals, overlap, pieces, transcript
+from .tables import read, samples, turns
 
 PARTS = 64
+PIECE = 1500  #: characters; most documents have more, so that their sentences are put together from pieces
 
 
 def spread_runs(spark, sf_dir):
@@ -35,12 +38,49 @@ def spread_chunks(spark, sf_dir):
     return transcript.stitched_chunks(s, chunks, parts=PARTS).select("seg_idx", "speaker_id", F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"))
 
 
-QUERIES = {f.__name__: f for f in (spread_runs, spread_turns, spread_chunks)}
+def long_text_sentences(spark, sf_dir):
+    """Sentences of the documents, put together from pieces."""
+    return pieces.long_text_sentences(read(spark, sf_dir, "documents"), pack=TEST, piece=PIECE)
 
 
-def oracles(turn_sql: str, merged_sql: str) -> dict[str, str]:
+def _intervals(spark, sf_dir):
+    """Turns as a recogniser of speakers might give them, off by some time; a fifth turn is not heard, and some
+    conversations have a third speaker throughout."""
+    t = turns(spark, sf_dir).select("session_id", "seg_idx", "speaker_id", F.col("start_ms") - 700, F.col("end_ms") + F.col("seg_idx") % 3 * 600).toDF("session_id", "seg_idx", "speaker_id", "start_ms", "end_ms")
+    whole = t.where("session_id % 4 = 0").groupBy("session_id").agg(F.lit(2).alias("speaker_id"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+    return t.where("seg_idx % 5 <> 4").drop("seg_idx").unionByName(whole)
+
+
+def words_by_speaker(spark, sf_dir):
+    """Each word's speaker by time."""
+    words = transcript.even_words(turns(spark, sf_dir), ["session_id", "seg_idx"])
+    out = overlap.speakers_by_time(words, _intervals(spark, sf_dir), ["session_id"], ["seg_idx", "word_idx"], default=-1)
+    return out.select("session_id", "seg_idx", F.col("word_idx").cast("long").alias("word_idx"), "text", F.col("speaker_id").cast("long").alias("speaker_id"))
+
+
+def lexicon_hits(spark, sf_dir):
+    """How many documents hold each longer word of the conversations."""
+    spoken = read(spark, sf_dir, "conversations").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where("length(word) >= 9")
+    found = extract.contained_in(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", spoken)
+    return found.groupBy("word").agg(F.count("*").alias("n_docs"))
+
+
+QUERIES = {f.__name__: f for f in (spread_runs, spread_turns, spread_chunks, long_text_sentences, words_by_speaker, lexicon_hits)}
+
+
+def oracles(turn_sql: str, merged_sql: str, word_sql: str, sentences: str) -> dict[str, str]:
     chain = ", chain AS (SELECT * REPLACE (0 AS session_id, session_id * 1000 + seg_idx AS seg_idx) FROM seg)"
     return {
+        "long_text_sentences": sentences,
+        "words_by_speaker": word_sql + """,
+iv AS (SELECT session_id, speaker_id, start_ms - 700 AS a, end_ms + seg_idx % 3 * 600 AS b, seg_idx FROM seg),
+ix AS (SELECT session_id, speaker_id, a, b FROM iv WHERE seg_idx % 5 <> 4 UNION ALL SELECT session_id, 2, min(a), max(b) FROM iv WHERE session_id % 4 = 0 GROUP BY ALL),
+wt AS (SELECT session_id, seg_idx, word_idx, word, start_ms + word_idx * per AS a, start_ms + (word_idx + 1) * per AS b FROM wv),
+oc AS (SELECT wt.session_id, seg_idx, word_idx, speaker_id, sum(least(wt.b, ix.b) - greatest(wt.a, ix.a)) AS ms FROM wt JOIN ix ON wt.session_id = ix.session_id AND wt.a < ix.b AND ix.a < wt.b GROUP BY ALL),
+bs AS (SELECT session_id, seg_idx, word_idx, speaker_id FROM oc QUALIFY row_number() OVER (PARTITION BY session_id, seg_idx, word_idx ORDER BY ms DESC, speaker_id) = 1)
+SELECT session_id, seg_idx, word_idx::BIGINT AS word_idx, word AS text, coalesce(bs.speaker_id, -1)::BIGINT AS speaker_id FROM wt LEFT JOIN bs USING (session_id, seg_idx, word_idx)""",
+        "lexicon_hits": """WITH w AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM conversations), l AS (SELECT word FROM w WHERE length(word) >= 9)
+SELECT word, count(*) AS n_docs FROM l JOIN (SELECT lower(text) AS t FROM documents) d ON contains(d.t, l.word) GROUP BY ALL""",
         "spread_runs": """WITH e AS (SELECT (epoch_us(ts) // 1000) / 1000.0 AS a, (epoch_us(ts) // 1000) / 1000.0 + 60 AS b FROM events),
 m AS (SELECT *, CASE WHEN a - max(b) OVER (ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 600 THEN 0 ELSE 1 END AS fresh FROM e),
 r AS (SELECT *, sum(fresh) OVER (ORDER BY a, b ROWS UNBOUNDED PRECEDING)::BIGINT - 1 AS run FROM m)
