@@ -46,7 +46,7 @@ def met(vectors: DataFrame, key: str, idx: str) -> DataFrame:
 
 def cosine_join(weights: DataFrame, threshold: float, key: str = "doc_id", idx: str = "sent_idx") -> DataFrame:
     """key, src, dst, w of the pairs (each once) with a product of threshold or more.  weights: key, idx, term, w, one
-    row a term."""
+    row a term.  A product that equals the threshold counts in any order of its sums."""
     vectors = stored(split_vectors(weights, key, idx, threshold), "cosine-vectors")
     found = met(vectors, key, idx).groupBy(key, "src", "dst").agg(F.sum("product").alias("part"), F.first("bound").alias("bound"))
     found = found.where(F.col("part") + F.col("bound") >= threshold - SLACK)
@@ -56,4 +56,4 @@ def cosine_join(weights: DataFrame, threshold: float, key: str = "doc_id", idx:
     all_ = vectors.select(key, F.col(idx).alias("dst"), F.map_from_entries(F.concat("head", "tail")).alias("m"))
     rest = F.aggregate("head", F.lit(0.0), lambda a, x: a + x["w"] * F.coalesce(F.try_element_at(F.col("m"), x["term"]), F.lit(0.0)))
     added = both.where("head is not null").join(all_, [key, "dst"]).select(key, "src", "dst", (F.col("part") + rest).alias("w"))
-    return whole.unionByName(added).where(F.col("w") >= threshold)
+    return whole.unionByName(added).where(F.col("w") >= threshold - SLACK)

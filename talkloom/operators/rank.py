@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions.lexicons import RUSSIAN, Pack
 from ..functions.text import terms, word_count
 from ..sources.shared import stored
-from .cosine import cosine_join
+from .cosine import SLACK, cosine_join
 
 #: Sentences of a document whose graph one task takes: at most MOST * MOST similarities.
 MOST = 2000
@@ -152,7 +152,7 @@ def document_scores(weights: DataFrame, sents: DataFrame, key: str = "doc_id", i
             part[at[use], term[use] - lo] = pdf["w"].to_numpy()[use]
             alike += part @ part.T
         np.fill_diagonal(alike, 0)
-        alike[alike < s.threshold] = 0
+        alike[alike < s.threshold - SLACK] = 0
         total = alike.sum(axis=1)
         share = alike / np.where(total > 0, total, 1)[:, None]
         score, alone, lone = np.full(len(node), 1.0 / n), 1.0 / n, (1 - s.damping) / n

@@ -100,6 +100,14 @@ def test_pruned_join_finds_every_pair(spark, threshold):
     assert threshold < 0.1 or split.agg(F.sum(F.size("head"))).first()[0] > 50
 
 
+def test_product_at_the_threshold_counts(spark):
+    """1 / sqrt(5 * 20) in the doubles that one order of the sum of squares gives, which come to a little less than 0.1."""
+    a, b = 0.4472135954999579, 0.22360679774997896
+    assert a * b < 0.1
+    df = spark.createDataFrame([(1, 0, "t", a), (1, 1, "t", b), (1, 0, "x", (1 - a * a) ** 0.5), (1, 1, "y", (1 - b * b) ** 0.5)], "doc_id long, sent_idx int, term string, w double")
+    assert {(r["src"], r["dst"]) for r in rank.similarity(df).collect()} == {(0, 1), (1, 0)}
+
+
 @pytest.mark.parametrize("words, digit, entities, want", [
     (9, False, 0, 0.5), (10, False, 0, 1.0), (14, False, 0, 1.0), (15, False, 0, 1.2), (60, False, 0, 1.2), (61, False, 0, 1.0), (10, True, 0, 1.3), (10, False, 1, 1.6), (10, False, 6, 2.0)])
 def test_boost(spark, words, digit, entities, want):
