@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,6 +80,26 @@ def tagging_tokens(text: Column) -> Column:
     return _tokens(text, r"(?U)\w+|[^\w\s]")
 
 
+def counted(items: Column) -> Column:
+    """array<struct<o, item>> of the distinct items of a row's array<string>, o minus their number: most frequent first, then
+    by item."""
+    def counts(lists: pa.Array) -> pa.Array:
+        found = lists.flatten().dictionary_encode()
+        lengths = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
+        names = max(len(found.dictionary), 1)
+        order = pc.array_sort_indices(found.dictionary).to_numpy()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        pair, n = np.unique(np.repeat(np.arange(len(lists)), lengths) * names + place[found.indices.to_numpy(zero_copy_only=False)], return_counts=True)
+        by = np.lexsort((pair, -n, pair // names))
+        pair, n = pair[by], n[by]
+        ends = np.searchsorted(pair // names, np.arange(len(lists) + 1))
+        each = pa.StructArray.from_arrays([pa.array(-n), found.dictionary.take(pa.array(order[pair % names] if len(order) else pair))], ["o", "item"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)
+
+    return F.arrow_udf(counts, "array<struct<o:bigint,item:string>>")(items)
+
+
 def top_words(df: DataFrame, by: str, text: str = "text", pack: Pack = RUSSIAN, limit: int = 12, least: int = 4) -> DataFrame:
     """by, word, n, rank: the most frequent words of each group; ties in order of the word."""
     counted = df.select(by, F.explode(topic_words(F.col(text), pack, least)).alias("word")).groupBy(by, "word").agg(F.count("*").alias("n"))

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import RUSSIAN, Pack
-from ..functions.text import shape, tagging_tokens
+from ..functions.text import MARK as CUT
+from ..functions.text import tagging_tokens
 
 #: From tokens (keys, sent_idx, tok_idx, token) to the same with tag.
 Tagger = Callable[[DataFrame], DataFrame]
@@ -18,10 +19,27 @@ def tokens_of(sents: DataFrame, keys: list[str], sentence: str = "sentence") ->
     return sents.select(*keys, F.posexplode(tagging_tokens(F.col(sentence))).alias("tok_idx", "token"))
 
 
+def is_name(token: Column) -> Column:
+    """Whether the shape of a token is that of a name, RU_Xx, EN_Xx or one of both with a hyphen, told without the shape."""
+    plain = token.rlike(r"^\P{L}*+\p{Lu}\P{L}*+\p{Ll}[\P{L}\p{Ll}]*+$") | token.rlike(r"^\p{Lu}\p{Ll}*-\p{Lu}\p{Ll}*$")
+    return F.coalesce(plain & token.rlike("[A-Za-zЀ-ӿ]"), F.lit(False))
+
+
+def shape_runs(sentence: Column) -> Column:
+    """array<string>: the spans that shape_run_tagger's tags make of a sentence, in order."""
+    names = F.transform(tagging_tokens(sentence), lambda t, i: F.when((i > 0) & is_name(t), t).otherwise(CUT))
+    return F.filter(F.transform(F.split(F.array_join(names, " "), CUT, -1), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def shape_run_spans(sents: DataFrame, key: str = "doc_id", sentence: str = "sentence") -> DataFrame:
+    """key, type, text of the spans of all sentences; no token is shuffled."""
+    return sents.select(key, F.lit("PER").alias("type"), F.explode(shape_runs(F.col(sentence))).alias("text"))
+
+
 def shape_run_tagger(tokens: DataFrame, keys: list[str]) -> DataFrame:
     """A stand-in for a trained tagger: runs of capitalised words that don't open the sentence are PER."""
     w = Window.partitionBy(*keys).orderBy("tok_idx")
-    name = (F.col("tok_idx") > 0) & shape(F.col("token")).rlike("_(Xx|Xx-Xx)$")
+    name = (F.col("tok_idx") > 0) & is_name(F.col("token"))
     marked = tokens.withColumn("_n", name)
     return marked.withColumn("tag", F.when(~F.col("_n"), "O").when(F.coalesce(F.lag("_n").over(w), F.lit(False)), "I-PER").otherwise("B-PER")).drop("_n")
 

@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -134,50 +136,98 @@ def changed(changes: DataFrame, s: RankSettings) -> tuple[DataFrame, int]:
     return table, seen.get["sent"]
 
 
-def document_scores(weights: DataFrame, sents: DataFrame, key: str = "doc_id", idx: str = "sent_idx", s: RankSettings = RankSettings()) -> DataFrame:
-    """What similarity and page_rank give, in one grouped map of a document's weights, so that its pairs of
-    sentences never leave the task.  For documents of MOST sentences or fewer."""
-    n = sents.groupBy(key).agg(F.count("*").alias("n"))
-    kind = dict(weights.dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = int(pdf["n"].iloc[0])
-        node, at = np.unique(pdf[idx].to_numpy(), return_inverse=True)
-        term, names = pd.factorize(pdf["term"])
-        alike = np.zeros((len(node), len(node)))
-        wide = max(1, 2_000_000 // len(node))
-        for lo in range(0, len(names), wide):
-            use = (term >= lo) & (term < lo + wide)
-            part = np.zeros((len(node), min(wide, len(names) - lo)))
-            part[at[use], term[use] - lo] = pdf["w"].to_numpy()[use]
-            alike += part @ part.T
-        np.fill_diagonal(alike, 0)
-        alike[alike < s.threshold - SLACK] = 0
-        total = alike.sum(axis=1)
-        share = alike / np.where(total > 0, total, 1)[:, None]
-        score, alone, lone = np.full(len(node), 1.0 / n), 1.0 / n, (1 - s.damping) / n
-        for _ in range(s.max_iterations):
-            new = lone + s.damping * (score @ share)
-            change = np.abs(new - score).sum() + (n - len(node)) * abs(lone - alone)
-            score, alone = new, lone
-            if change < s.tolerance:
-                break
-        return pd.DataFrame({key: pdf[key].iloc[0], idx: node, "base": score if n > 1 else 1.0})
-
-    ranked = weights.select(key, idx, "term", "w").join(n, key).groupBy(key).applyInPandas(run, f"{key} {kind[key]}, {idx} {kind[idx]}, base double")
-    lone = F.when(F.col("n") == 1, F.lit(1.0)).otherwise((1 - s.damping) / F.col("n"))
-    return sents.select(key, idx).join(n, key).join(ranked, [key, idx], "left").select(key, idx, F.coalesce("base", lone).alias("base"))
+def listed_scores(sentence_terms: Column, s: RankSettings = RankSettings()) -> Column:
+    """array<double>: what tf_idf, similarity and page_rank give for the sentences of a document, from the terms of each
+    (array<array<string>>).  A batch's weights are made at once, then each document's graph in turn, so that no term
+    or pair of sentences leaves the task.  For documents of MOST sentences or fewer; null gives null."""
+    def scores(docs: pa.Array) -> pa.Array:
+        sents = docs.flatten()
+        terms = sents.flatten().dictionary_encode()
+        n_sents = pc.fill_null(docs.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        n_terms = pc.fill_null(sents.value_lengths(), 0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(n_sents)])
+        doc_of = np.repeat(np.arange(len(docs)), n_sents)
+        names = max(len(terms.dictionary), 1)
+        pair, tf = np.unique(np.repeat(np.arange(len(sents)), n_terms) * names + terms.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        sent, term = pair // names, pair % names
+        doc = doc_of[sent]
+        _, at, df = np.unique(doc * names + term, return_inverse=True, return_counts=True)
+        df, n = df[at], n_sents[doc]
+        kept = (df >= s.min_df) & (df <= np.maximum(np.floor(s.max_df_ratio * n), s.min_df))
+        sent, doc, at, raw = sent[kept], doc[kept], at[kept], (tf * (np.log((1 + n) / (1 + df)) + 1))[kept]
+        w = raw / np.sqrt(np.bincount(sent, raw * raw, len(sents)))[sent]
+        base = np.where(n_sents == 1, 1.0, (1 - s.damping) / np.maximum(n_sents, 1))[doc_of]
+        edge = np.searchsorted(doc, np.arange(len(docs) + 1))
+        for d in np.flatnonzero((np.diff(edge) > 0) & (n_sents > 1)):
+            part = slice(edge[d], edge[d + 1])
+            node, row = np.unique(sent[part], return_inverse=True)
+            base[node] = _graph_scores(row, np.unique(at[part], return_inverse=True)[1], w[part], len(node), int(n_sents[d]), s)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(base), mask=docs.is_null() if docs.null_count else None)
+
+    return F.arrow_udf(scores, "array<double>")(sentence_terms)
+
+
+def _graph_scores(row: np.ndarray, term: np.ndarray, w: np.ndarray, nodes: int, n: int, s: RankSettings) -> np.ndarray:
+    """PageRank of the sentences with terms, among n, from a row of weights for each sentence."""
+    alike = np.zeros((nodes, nodes))
+    wide = max(1, 2_000_000 // nodes)
+    for lo in range(0, int(term.max()) + 1, wide):
+        use = (term >= lo) & (term < lo + wide)
+        part = np.zeros((nodes, min(wide, int(term.max()) + 1 - lo)))
+        part[row[use], term[use] - lo] = w[use]
+        alike += part @ part.T
+    np.fill_diagonal(alike, 0)
+    alike[alike < s.threshold - SLACK] = 0
+    total = alike.sum(axis=1)
+    share = alike / np.where(total > 0, total, 1)[:, None]
+    score, alone, lone = np.full(nodes, 1.0 / n), 1.0 / n, (1 - s.damping) / n
+    for _ in range(s.max_iterations):
+        new = lone + s.damping * (score @ share)
+        change = np.abs(new - score).sum() + (n - nodes) * abs(lone - alone)
+        score, alone = new, lone
+        if change < s.tolerance:
+            break
+    return score
+
+
+def ranked_lists(rows: DataFrame, items: str, key: str = "doc_id", s: RankSettings = RankSettings(), most: int | None = MOST) -> DataFrame:
+    """The rows (one a key) with base array<double> for items, array<struct<sent_idx, sentence>> in order of sent_idx.  Documents of
+    more than `most` sentences are ranked by joins.  rows is read again for these alone; most=None leaves the look
+    for them out, where a caller knows of none."""
+    each = F.transform(items, lambda x: terms(x["sentence"], s.pack, s.least_term))
+    if most is None:
+        return rows.withColumn("base", listed_scores(each, s))
+    scored = rows.withColumn("base", listed_scores(F.when(F.size(items) <= most, each), s))
+    large = rows.where(F.size(items) > most)
+    if large.isEmpty():
+        return scored
+    sents = stored(large.select(key, F.inline(items)), "rank-large")
+    joined = page_rank_relational(similarity(tf_idf(sents, key, s=s), key, threshold=s.threshold), sents, key, s=s)
+    listed = joined.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("sent_idx", "base"))), lambda x: x["base"]).alias("_joined"))
+    return scored.join(listed, key, "left").withColumn("base", F.coalesce("base", "_joined")).drop("_joined")
+
+
+def _scored(sents: DataFrame, key: str, idx: str, sentence: str, s: RankSettings, most: int | None) -> DataFrame:
+    """key, idx, sentence, base, n: one shuffle of the sentences by their document.  Only documents of `most` sentences or
+    fewer become a list; the others are ranked by joins."""
+    kind = dict(sents.dtypes)[idx]
+    counts = sents.groupBy(key).agg(F.count("*").alias("n"))
+    large = None if most is None else counts.where(F.col("n") > most)
+    joined = None
+    if large is not None and not large.isEmpty():
+        few, many = sents.join(large, key, "left_anti"), stored(sents.join(large, key, "left_semi").select(key, idx, sentence), "rank-large")
+        base = page_rank_relational(similarity(tf_idf(many, key, idx, sentence, s), key, idx, s.threshold), many, key, idx, s)
+        joined = many.join(base, [key, idx]).join(many.groupBy(key).agg(F.count("*").alias("n")), key).select(key, idx, sentence, "base", "n")
+        sents = few
+    lists = sents.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(idx).alias("sent_idx"), F.col(sentence).alias("sentence")))).alias("_items"))
+    out = ranked_lists(lists, "_items", key, s, None).select(key, F.size("_items").cast("long").alias("n"), F.inline(F.arrays_zip("_items", "base")))
+    out = out.select(key, F.col("_items.sent_idx").cast(kind).alias(idx), F.col("_items.sentence").alias(sentence), "base", "n")
+    return out if joined is None else out.unionByName(joined)
 
 
 def base_scores(sents: DataFrame, key: str = "doc_id", idx: str = "sent_idx", sentence: str = "sentence", s: RankSettings = RankSettings(), most: int | None = MOST) -> DataFrame:
-    """key, idx, base.  Documents of more than `most` sentences are ranked by joins, the others in a task each.
-    sents is read several times; most=None leaves the look for large documents out, where a caller knows of none."""
-    large = None if most is None else sents.groupBy(key).count().where(F.col("count") > most).select(key)
-    if large is None or large.isEmpty():
-        return document_scores(tf_idf(sents, key, idx, sentence, s), sents, key, idx, s)
-    few, many = sents.join(large, key, "left_anti"), sents.join(large, key, "left_semi")
-    joined = page_rank_relational(similarity(tf_idf(many, key, idx, sentence, s), key, idx, s.threshold), many, key, idx, s)
-    return document_scores(tf_idf(few, key, idx, sentence, s), few, key, idx, s).unionByName(joined)
+    """key, idx, base.  Documents of more than `most` sentences are ranked by joins, the others as lists."""
+    return _scored(sents, key, idx, sentence, s, most).select(key, idx, "base")
 
 
 def factor(sentence: Column, held: Column | None = None, b: BoostSettings = BoostSettings()) -> Column:
@@ -220,13 +270,12 @@ def strings_held(sentences: pd.Series, strings: pd.Series) -> pd.Series:
 def lex_rank(sents: DataFrame, key: str = "doc_id", idx: str = "sent_idx", sentence: str = "sentence", s: RankSettings = RankSettings(),
              b: BoostSettings | None = BoostSettings(), entities: DataFrame | None = None, most: int | None = MOST) -> DataFrame:
     """key, idx, sentence, base, boosted.  entities: key and tokens array<string>.  An only sentence is not boosted."""
-    scored = sents.select(key, idx, sentence).join(base_scores(sents, key, idx, sentence, s, most), [key, idx])
+    scored = _scored(sents, key, idx, sentence, s, most)
     tokens = None
     if entities is not None:
         scored, tokens = scored.join(entities.select(key, "tokens"), key, "left"), F.col("tokens")
     by = boost(F.col(sentence), tokens, b) if b else F.lit(1.0)
-    only = F.count("*").over(Window.partitionBy(key)) == 1
-    return scored.select(key, idx, sentence, "base", F.when(only, F.col("base")).otherwise(F.col("base") * by).alias("boosted"))
+    return scored.select(key, idx, sentence, "base", F.when(F.col("n") == 1, F.col("base")).otherwise(F.col("base") * by).alias("boosted"))
 
 
 def top_k(scored: DataFrame, k: int, key: str = "doc_id", idx: str = "sent_idx", by: str = "boosted") -> DataFrame:
