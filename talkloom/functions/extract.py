@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
 from .lexicons import RUSSIAN, Pack
 from .text import word_count
 
 FLAGS = "(?iuU)"  # Unicode classes and case folding, as on the reference platform
 LEFT, RIGHT, NEAR, GRAM = 60, 50, 5, 4
-MOST_WORDS, LONGEST_WORD = 100_000, 256  #: the lexicon that one automaton may hold
+PART_WORDS, LONGEST_WORD = 500_000, 256  #: the part of a lexicon that one automaton may hold
+MOST_WORDS = 2_000_000  #: words of a lexicon that is looked up by automata
 PLACE = "array<struct<position:int,match:string>>"
 
 
@@ -95,18 +98,24 @@ def contained(text: Column, words: list[str] | tuple[str, ...]) -> Column:
 
 def contained_in(df: DataFrame, text: str, lexicon: DataFrame, word: str = "word", most: int = MOST_WORDS) -> DataFrame:
     """The same for a lexicon that is a table: one row for each text and word in it.  A lexicon of up to `most` words
-    of up to LONGEST_WORD characters is one automaton a task, so a text is read once; its words are counted while the plan is
-    made.  In a larger one a word is looked for only in texts that hold its first GRAM characters, by a join on
-    these; shorter words, which are few, by all.  Null and empty words are in no text."""
+    of up to LONGEST_WORD characters is cut into parts of PART_WORDS; a part is one automaton a task, so a text is read once a
+    part and never copied; the words are collected while the plan is made.  In a larger one a text, known by a number,
+    meets the words of which it holds the first GRAM characters, and is then read once; shorter words, which are
+    few, meet all.  Null and empty words are in no text."""
     words = lexicon.select(F.col(word)).where(F.length(word) > 0).distinct()
     known = [r[0] for r in words.where(F.length(word) <= LONGEST_WORD).limit(most + 1).collect()]
     if len(known) <= most and words.where(F.length(word) > LONGEST_WORD).isEmpty():
-        return df.withColumn(word, F.explode(_automaton(known)(F.lower(F.col(text)))))
+        known.sort()
+        parts = [df.withColumn(word, F.explode(_automaton(known[i:i + PART_WORDS])(F.lower(F.col(text))))) for i in range(0, max(len(known), 1), PART_WORDS)]
+        return reduce(DataFrame.unionAll, parts)
     words = words.withColumn("_g", F.substring(F.col(word), 1, GRAM))
+    rows = stored(df.withColumn("_id", F.monotonically_increasing_id()), "lexicon-texts")
     low = F.lower(F.col(text))
     each = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: F.transform(
         F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.substring(low, i, n)))))
-    return df.withColumn("_g", F.explode(each)).join(words, "_g").where(F.contains(low, F.col(word))).drop("_g")
+    near = rows.select("_id", F.explode(each).alias("_g")).join(words, "_g").groupBy("_id").agg(F.collect_set(word).alias("_w"))
+    held = F.filter("_w", lambda w: F.contains(low, w))
+    return rows.join(near, "_id").withColumn(word, F.explode(held)).drop("_id", "_w")
 
 
 def _automaton(words: list[str]):

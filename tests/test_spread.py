@@ -94,3 +94,15 @@ def test_a_long_text(spark):
     sums = lambda df: df.agg(F.count("*"), F.sum(F.length("sentence")), F.sum(F.xxhash64("sent_idx", "sentence").cast("decimal(38,0)"))).first()
     got = sums(pieces.long_text_sentences(doc))
     assert got == sums(text.sentences(doc)) and got[0] > 600_000
+
+
+def test_large_lexicons_are_looked_up_in_parts(spark, monkeypatch):
+    """No text is copied for a lexicon of over 100,000 words, and parts of any size find the same."""
+    texts = spark.createDataFrame([(1, "xx w100001 w7"), (2, ""), (3, None), (4, "ww50000w")], "id int, text string")
+    words = spark.range(100_002).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("word"))
+    want = [(1, "w1"), (1, "w10"), (1, "w100"), (1, "w1000"), (1, "w10000"), (1, "w100001"), (1, "w7"), (4, "w5"), (4, "w50"), (4, "w500"), (4, "w5000"), (4, "w50000")]
+    for part in (500_000, 40_000):
+        monkeypatch.setattr(extract, "PART_WORDS", part)
+        found = extract.contained_in(texts, "text", words)
+        assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r["id"], r["word"]) for r in found.collect()) == want
