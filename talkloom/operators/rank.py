@@ -287,3 +287,15 @@ def top_k(scored: DataFrame, k: int, key: str = "doc_id", idx: str = "sent_idx",
 def top_k_in_order(scored: DataFrame, k: int, key: str = "doc_id", idx: str = "sent_idx", by: str = "boosted") -> DataFrame:
     """The same, with `place` in the order of the text."""
     return top_k(scored, k, key, idx, by).withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(idx)))
+
+
+def best_of_lists(rows: DataFrame, k: int, items: str, key: str = "doc_id", s: RankSettings = RankSettings(), b: BoostSettings = BoostSettings(), digits: int = 6) -> DataFrame:
+    """key, sent_idx, sentence, base, boosted, rank: what lex_rank and top_k give for rows with a document's sentences as a list (see
+    ranked_lists), scores rounded before they are ranked.  Made in the row: no sentence is shuffled."""
+    def place(x: Column) -> Column:
+        boosted = F.when(F.size(items) == 1, x["base"]).otherwise(x["base"] * factor(x["i"]["sentence"], None, b))
+        return F.struct((-F.round(boosted, digits)).alias("o"), x["i"]["sent_idx"].alias("sent_idx"), x["i"]["sentence"].alias("sentence"), F.round(x["base"], digits).alias("base"))
+
+    best = F.array_sort(F.transform(F.arrays_zip(F.col(items).alias("i"), F.col("base").alias("base")), place))
+    each = ranked_lists(rows, items, key, s).select(key, F.posexplode(F.slice(best, 1, k)).alias("p", "x"))
+    return each.select(key, "x.sent_idx", "x.sentence", "x.base", (-F.col("x.o")).alias("boosted"), (F.col("p") + 1).alias("rank"))

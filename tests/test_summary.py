@@ -49,3 +49,19 @@ def test_lists_are_ranked_as_by_joins(spark):
     want = {(r[0], r[1]): r[2] for r in rank.page_rank(rank.similarity(rank.tf_idf(df)), df).collect()}
     got = {(r[0], r[1]): r[2] for r in rank.base_scores(df).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_best_of_lists_are_those_of_the_table_without_a_shuffle(spark, monkeypatch):
+    words = [f"w{i}xx" for i in range(12)]
+    sents = [(d, 2 * i, " ".join(words[(i * k + d) % 12] for k in range(1, 3 + i * 2)) + " 7" * (i % 2)) for d in range(3) for i in range(9)] + [(7, 4, "alone here")]
+    df = spark.createDataFrame(sents, "doc_id int, sent_idx int, sentence string")
+    rows = df.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("sent_idx", "sentence"))).alias("items")).unionByName(spark.sql("SELECT 9 AS doc_id, cast(array() AS array<struct<sent_idx:int,sentence:string>>) AS items"))
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    columns = ["doc_id", "sent_idx", "sentence", "base", "boosted", "rank"]
+    want = rank.top_k(rank.lex_rank(df).withColumn("base", F.round("base", 6)).withColumn("boosted", F.round("boosted", 6)), 5).select(columns)
+    got = rank.best_of_lists(rows, 5, "items").select(columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    only = rank.RankSettings(max_iterations=300, tolerance=1e-9)
+    large = rank.ranked_lists(rows, "items", s=only, most=4).collect()
+    few = {r["doc_id"]: r["base"] for r in rank.ranked_lists(rows, "items", s=only).collect()}
+    assert all(len(few[r["doc_id"]]) == len(r["base"]) and all(abs(x - y) < 1e-6 for x, y in zip(few[r["doc_id"]], r["base"])) for r in large)
