@@ -18,7 +18,8 @@ shingle): a segment shown so covers two differences, and each set buys the cheap
 signatures over CAP makes blocks too.  A pair of a direct set and any other hard one is thus found by the
 direct set's own signatures, a pair of others by units.
 
-Candidate pairs, each once, lose those whose parity sketches differ in more bits than a linked pair's sets
+A linked pair differs in a seventh of both sets at most, so it agrees in all but as many of the signatures that
+a set needs; pairs that meet in fewer are no candidates.  Candidate pairs, each once, lose those whose parity sketches differ in more bits than a linked pair's sets
 may differ in shingles (a bound that holds for every pair).  The rest are verified on the whole sets; first
 those with a set's smallest partner, then those between components that are still apart.  In a block, the
 members of the largest component need no test among themselves: only the others (`minor`) are tested against
@@ -51,6 +52,7 @@ CAP, SLACK, SHINGLES, LONG = 48, 1.25, 1 << 20, 64
 #: Lists of keys up to this length are broadcast; longer ones are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 OWN, BELOW, SIZE = 0, 1, 2
+N_AT = 36  #: info holds the set size from this bit on
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -122,7 +124,7 @@ def signatures(s: np.ndarray, band: int, allowed: int, deletions: bool = False):
 
 
 def signature_rows(docs: DataFrame) -> DataFrame:
-    """sig, doc, info: (slack << 3 | lacking << 2 | kind), and a row with the size of each set: (size << 2 | SIZE)."""
+    """sig, doc, info: (size << N_AT | slack << 3 | lacking << 2 | kind), and a row with the size of each set: (size << 2 | SIZE)."""
 
     def run(batches):
         for batch in batches:
@@ -134,7 +136,7 @@ def signature_rows(docs: DataFrame) -> DataFrame:
                     parts = [(mix(np.array([key], np.int64).view(_U)), len(s) << 2 | SIZE)]
                     for kind, band, allowed in shows(s) if len(s) else ():
                         own, slack, lacking = signatures(s, band, allowed)
-                        parts.append((own, slack * 8 + lacking * 4 + kind))
+                        parts.append((own, len(s) << N_AT | slack << 3 | lacking << 2 | kind))
                     for own, i in parts:
                         sig.append(own)
                         doc.append(np.full(len(own), key, np.int64))
@@ -173,7 +175,8 @@ def allocate(rows: DataFrame) -> DataFrame:
     CAP or fewer that a set needs besides its own, and, where it needs others or is lacking, all its rows."""
     each = rows.groupBy("doc", "info").agg(F.sort_array(F.collect_list(F.struct("freq", "sig"))).alias("l"))
     lacking = F.shiftright("info", 2).bitwiseAND(1) == 1
-    need = F.greatest(F.size("l") - F.shiftright("info", 3), F.lit(0)).cast("int")  # -slack units are lacking besides
+    slack = F.shiftright("info", 3).bitwiseAND((1 << N_AT - 3) - 1)
+    need = F.greatest(F.size("l") - slack, F.lit(0)).cast("int")
     needed = F.slice("l", F.lit(1), need)
     probes = F.when(~lacking, F.filter(needed, lambda x: x["freq"] <= CAP))
     hot = F.filter(needed, lambda x: x["freq"] > CAP)
@@ -182,18 +185,34 @@ def allocate(rows: DataFrame) -> DataFrame:
     return each.where((F.size("probes") > 0) | F.col("hard").isNotNull())
 
 
-def probes_of(plan: DataFrame) -> DataFrame:
-    return plan.select("doc", F.explode("probes").alias("x")).select("x.sig", "doc")
+def size_of(info: str = "info") -> Column:
+    return F.shiftright(info, N_AT)
 
 
-def met(stages: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """Distinct (a, b), a < b, of each stage's probes (sig, doc) and the sets (sig, doc) that show their signatures."""
+def probes_of(plan: DataFrame, excused: Column | int = 0) -> DataFrame:
+    """sig, doc, kind, n, least: of the signatures that a set needs (one more than the differences allowed), those
+    that must be met by its probes if the partner does not differ at all; `excused` ones need not."""
+    n, kind = size_of(), F.col("info").bitwiseAND(3)
+    below = F.array_max(F.filter(F.array(*(F.lit(int(x)) for x in MAX[MAX < 1 << 31])).cast("array<long>"), lambda x: x < n))
+    allowed = F.floor(F.when(kind == OWN, n).otherwise(below) / 3)
+    return plan.select("doc", kind.alias("kind"), n.alias("n"), (allowed + 1 - excused).alias("least"), F.explode("probes").alias("x")).select("x.sig", "doc", "kind", "n", "least")
+
+
+def met(stages: list[tuple[DataFrame, DataFrame, int]]) -> DataFrame:
+    """Distinct (a, b), a < b, that may be linked, of each stage's probes (sig, doc, kind, n, least) and the sets (sig,
+    doc, n) that show their signatures.  Sets of n and m shingles that are linked differ in (n + m) / 7 at most, and
+    each difference spoils one of the `least` signatures, so all others must be met; one that is met counts for as
+    many units as the stage says."""
     probes, index = (None, None)
-    for i, (p, s) in enumerate(stages):
-        p, s = p.select(F.lit(i).alias("stage"), "sig", F.col("doc").alias("x")), s.select(F.lit(i).alias("stage"), "sig", "doc")
+    for i, (p, s, unit) in enumerate(stages):
+        p = p.select(F.lit(i).alias("stage"), "sig", F.col("doc").alias("x"), "kind", F.col("n").alias("m"), "least", F.lit(unit).alias("unit"))
+        s = s.select(F.lit(i).alias("stage"), "sig", "doc", "n")
         probes, index = (p, s) if probes is None else (probes.union(p), index.union(s))
-    both = probes.join(index, ["stage", "sig"]).where("x <> doc")
-    return both.select(F.least("x", "doc").alias("a"), F.greatest("x", "doc").alias("b")).distinct()
+    both = probes.join(index, ["stage", "sig"]).where((F.col("x") != F.col("doc")) & (F.least("m", "n") * DENOMINATOR >= F.greatest("m", "n") * NUMERATOR))
+    hits = both.groupBy("stage", "x", "kind", "doc").agg(F.sum("unit").alias("units"), F.max("m").alias("m"), F.max("n").alias("n"), F.max("least").alias("least"))
+    differ = F.floor((F.col("m") + F.col("n")) * (DENOMINATOR - NUMERATOR) / (DENOMINATOR + NUMERATOR))
+    hits = hits.where(F.col("units") >= F.col("least") - differ)
+    return hits.select(F.least("x", "doc").alias("a"), F.greatest("x", "doc").alias("b")).distinct()
 
 
 def parity(s: np.ndarray) -> np.ndarray:
@@ -255,7 +274,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def deletion_rows(hard: DataFrame, sets: DataFrame) -> DataFrame:
-    """sig, doc, kind, need (units) of total (segments), segment and whether it lacks a shingle, of the hard
+    """sig, doc, kind, size, need (units) of total (segments), segment and whether it lacks a shingle, of the hard
     sets (doc, info)."""
     both = sets.join(hard.groupBy("doc").agg(F.collect_set(F.col("info").bitwiseAND(3)).alias("kinds")), "doc").select("doc", "s", "kinds")
 
@@ -269,22 +288,23 @@ def deletion_rows(hard: DataFrame, sets: DataFrame) -> DataFrame:
                         n = len(plain) + len(less)
                         yield pa.RecordBatch.from_arrays([
                             pa.array(np.concatenate([plain, less]).view(np.int64)), pa.array(np.full(n, doc, np.int64)), pa.array(np.full(n, kind, np.int64)),
-                            pa.array(np.full(n, allowed + 1, np.int64)), pa.array(np.full(n, len(ids), np.int64)), pa.array(np.concatenate([ids, segment])),
-                            pa.array(np.repeat([0, 1], [len(plain), len(less)]))], ["sig", "doc", "kind", "need", "total", "segment", "lacks"])
+                            pa.array(np.full(n, len(s), np.int64)), pa.array(np.full(n, allowed + 1, np.int64)), pa.array(np.full(n, len(ids), np.int64)), pa.array(np.concatenate([ids, segment])),
+                            pa.array(np.repeat([0, 1], [len(plain), len(less)]))], ["sig", "doc", "kind", "n", "need", "total", "segment", "lacks"])
 
-    return both.mapInArrow(run, "sig long, doc long, kind long, need long, total long, segment long, lacks long")
+    return both.mapInArrow(run, "sig long, doc long, kind long, n long, need long, total long, segment long, lacks long")
 
 
 def units(rows: DataFrame) -> DataFrame:
-    """sig, doc, freq, bought and hard.  rows: of deletion_rows, counted, without those alone, which cost
+    """sig, doc, kind, n, least, freq, bought and hard.  rows: of deletion_rows, counted, without those alone, which cost
     nothing.  A segment's first unit is its plain signature, its second all those less one shingle; a set
-    buys the units whose signatures are least shared, and is hard if it buys some shared by more than CAP."""
-    each = rows.groupBy("doc", "kind", "need", "total").agg(F.collect_list(F.struct("sig", "freq", "segment", "lacks")).alias("l"))
+    buys the units whose signatures are least shared, and is hard if it buys some shared by more than CAP.  `least` as
+    in probes_of, in units; those of segments that it shows by a signature over CAP are excused."""
+    each = rows.groupBy("doc", "kind", "n", "need", "total").agg(F.collect_list(F.struct("sig", "freq", "segment", "lacks")).alias("l"))
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(4)
-            for i, (doc, need, total) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), strict=True)):
+            lists = batch.column(5)
+            for i, (doc, kind, n, need, total) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True)):
                 sig, freq, segment, lacks = (lists[i].values.field(c).to_numpy() for c in ("sig", "freq", "segment", "lacks"))
                 plain = lacks == 0
                 first, second = np.zeros(total, np.int64), np.zeros(total, np.int64)
@@ -295,11 +315,14 @@ def units(rows: DataFrame) -> DataFrame:
                 got = np.zeros((2, total), bool)
                 got[unit, at] = True
                 bought = np.where(plain, got[0][segment], got[1][segment])
-                hard = bool((freq[bought] > CAP).any())
-                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.full(len(sig), doc, np.int64)), pa.array(freq), pa.array(bought), pa.array(np.full(len(sig), hard))],
-                                                 ["sig", "doc", "freq", "bought", "hard"])
+                hot = np.unique(segment[bought & (freq > CAP)])
+                hard = len(hot) > 0
+                least = need - int(got[:, hot].sum())
+                same = [pa.array(np.full(len(sig), x, np.int64)) for x in (doc, kind, n, least)]
+                yield pa.RecordBatch.from_arrays([pa.array(sig), *same, pa.array(freq), pa.array(bought), pa.array(np.full(len(sig), hard))],
+                                                 ["sig", "doc", "kind", "n", "least", "freq", "bought", "hard"])
 
-    return each.mapInArrow(run, "sig long, doc long, freq long, bought boolean, hard boolean")
+    return each.mapInArrow(run, "sig long, doc long, kind long, n long, least long, freq long, bought boolean, hard boolean")
 
 
 def stars(rows: DataFrame) -> DataFrame:
@@ -414,15 +437,21 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     units_free = F.greatest(F.floor(F.col("n") / 3) + 1 - F.col("need"), F.lit(0))
     few = units_free + 2 * F.size(F.filter("hard", lambda x: x["freq"] <= CAP)) < F.col("need")
     lacking = F.shiftright("info", 2).bitwiseAND(1) == 1
-    harder = written(harder.join(hard_sets.select("doc", "n"), "doc").select("doc", "info", "hot", (few & ~lacking).alias("direct")), "join-harder")
+    harder = written(harder.join(hard_sets.select("doc", "n"), "doc").select("doc", "info", "hot", "probes", (few & ~lacking).alias("direct")), "join-harder")
     apart = harder.where("not direct").select("doc", "info")
-    dels = written(units(counted(deletion_rows(apart, hard_sets), ("doc", "kind", "need", "total", "segment", "lacks"))), "join-deletions")
+    dels = written(units(counted(deletion_rows(apart, hard_sets), ("doc", "kind", "n", "need", "total", "segment", "lacks"))), "join-deletions")
     wanted = harder.where("direct").select("doc", F.explode("hot").alias("x")).select("x.sig", "doc", F.lit(True).alias("bought"))
     family = wanted.union(again.where(F.col("freq") > CAP).select("sig", "doc", F.lit(False)))
     rest = dels.where(F.col("hard") & (F.col("freq") > CAP)).select("sig", "doc", "bought")
     star = written(stars(family).union(stars(rest)).distinct(), "join-stars")
     cheap = dels.where(F.col("bought") & (F.col("freq") <= CAP))
-    pairs = written(met([(probes_of(plan), index), (probes_of(plan2), again), (cheap, dels)]).union(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")).distinct(), "join-pairs")  # blocks find the rest
+    # a set that is hard is met by the probes of those that are not, and by those of a later stage
+    sized = lambda rows: rows.select("sig", "doc", size_of().alias("n"))
+    direct = harder.where("direct")
+    found = met([(probes_of(plan.where("hard is null")), sized(index), 1),
+                 (probes_of(plan2.where("hard is null")).union(probes_of(direct, F.size("hot"))), sized(again), 1),
+                 (cheap, dels, 2)])  # a segment is two units at most
+    pairs = written(found.union(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")).distinct(), "join-pairs")  # blocks find the rest
     free(spark)
 
     # members of blocks need their sets even where no pair names them

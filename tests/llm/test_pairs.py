@@ -423,3 +423,20 @@ def test_components(spark):
             root[a] = root[b] = min(root[a], root[b])
     loops = {a for a, b in edges if a == b} - {x for a, b in edges if a != b for x in (a, b)}
     assert got == {k: v for k, v in root.items() if k not in loops}
+
+
+def test_few_shared_passages_make_no_pairs(spark, monkeypatch):
+    """Texts that share a passage too short for a link meet in some signatures, but in fewer than linked ones would."""
+    rng = random.Random(11)
+    rows, passage = [], [f"p{i}" for i in range(50)]
+    for i in range(40):
+        rows.append((i, " ".join([*(f"a{i}x{j}" for j in range(80)), *passage, *(f"b{i}x{j}" for j in range(80))])))
+    base = [f"c{j}" for j in range(200)]
+    for i in range(40, 44):
+        rows.append((i, " ".join(w if rng.random() > 0.01 else f"d{i}x{j}" for j, w in enumerate(base))))
+    asked, possible = [], jaccard_join.possible
+    monkeypatch.setattr(jaccard_join, "possible", lambda pairs, sets: asked.append({(r["a"], r["b"]) for r in pairs.collect()}) or possible(pairs, sets))
+    want = linked_groups(shingle_sets(rows))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and want[43] == 40
+    assert all(a >= 40 for a, _ in asked[0])
