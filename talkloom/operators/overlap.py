@@ -1,6 +1,7 @@
 """Joins of times by overlap: an equi-join on cells whose width follows each row's own length.
 
-A row of length d belongs to the level whose cells are 2^level >= d wide, so it touches at most two cells of its level.
+A row of length d belongs to the lowest level, of those STEP apart, whose cells are 2^level >= d wide, so it touches at
+most two cells of its level.
 Of two rows that overlap, the shorter one (by level) is sent to the cells of the longer one's level.  So a row is copied
 at most twice for each level that occurs on the other side, however long it is, and a key that holds most rows is
 spread over its cells.
@@ -12,10 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAST = 10  #: cells are 2^LEAST wide or wider
+STEP = 3  #: levels apart: a cell is up to 2^STEP times as wide as its rows are long, and a row is copied for fewer levels
 
 
 def _level(start: str, end: str, least: int) -> Column:
-    return F.greatest(F.length(F.bin(F.col(end) - F.col(start) - 1)), F.lit(least))
+    above = F.greatest(F.length(F.bin(F.col(end) - F.col(start) - 1)) - least, F.lit(0))
+    return F.least(F.ceil(above / STEP) * STEP + least, F.lit(63)).cast("int")  # no shift goes further
 
 
 def _cells(start: Column, end: Column, level: Column) -> Column:
@@ -23,7 +26,7 @@ def _cells(start: Column, end: Column, level: Column) -> Column:
 
 
 def _levels(rows: DataFrame) -> list[int]:
-    """The levels that occur: 64 at most."""
+    """The levels that occur: 64 / STEP at most."""
     return sorted(r[0] for r in rows.select("_level").distinct().collect())
 
 
@@ -57,6 +60,7 @@ def speakers_by_time(words: DataFrame, intervals: DataFrame, keys: list[str], wo
     that none covers gets the default, as a recording without intervals does.  keys and word_keys together name a word."""
     every = [*keys, *word_keys]
     pairs = overlapping(words.select(*every, "start_ms", "end_ms"), intervals.where(F.col(speaker).isNotNull()).select(*keys, "start_ms", "end_ms", speaker), keys, least=least)
+    pairs = pairs.select(*every, "other", "overlap").repartition(*every)  # one shuffle for both groupings and the join
     covered = pairs.groupBy(*every, F.col(f"other.{speaker}").alias("_who")).agg(F.sum("overlap").alias("_ms"))
     best = covered.groupBy(*every).agg(F.max_by("_who", F.struct("_ms", -F.col("_who"))).alias("_who"))
     return words.join(best, every, "left").withColumn(speaker, F.coalesce("_who", F.lit(default))).drop("_who")

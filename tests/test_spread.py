@@ -106,3 +106,11 @@ def test_large_lexicons_are_looked_up_in_parts(spark, monkeypatch):
         found = extract.contained_in(texts, "text", words)
         assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
         assert sorted((r["id"], r["word"]) for r in found.collect()) == want
+
+
+def test_few_levels(spark):
+    """A row is copied for each level of the other side, so lengths of 1 to 2^30 ms must not make thirty of them."""
+    rows = spark.range(31).selectExpr("0 AS key", "0L AS start_ms", "shiftleft(1L, cast(id AS int)) AS end_ms")
+    levels = [r[0] for r in rows.select(overlap._level("start_ms", "end_ms", overlap.LEAST)).collect()]
+    assert spark.sql("SELECT 0L AS a, shiftleft(1L, 62) + 1 AS b").select(overlap._level("a", "b", overlap.LEAST)).first()[0] == 63
+    assert len(set(levels)) <= 8 and all(2**x >= 2**i for i, x in enumerate(levels))
