@@ -27,7 +27,7 @@ def arrived(spark: SparkSession, df: DataFrame, stream, name: str) -> DataFrame:
     sample of no key in the far future lets the watermark pass all others."""
     own = spark.newSession()  # its settings are its own
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    own.conf.set("spark.sql.shuffle.partitions", 8)
+    own.conf.set("spark.sql.shuffle.partitions", max(8, 2 * spark.sparkContext.defaultParallelism))
     into, out, checkpoint = (_folder(spark, f"{name}-{x}") for x in ("in", "out", "checkpoint"))
     df = stored(df, f"{name}-rows")
     first, last = (x.timestamp() for x in df.agg(F.min("ts"), F.max("ts")).first() or (None, None)) if not df.isEmpty() else (0.0, 0.0)

@@ -1,3 +1,6 @@
+from types import SimpleNamespace
+
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from talkloom.operators import intervals
@@ -66,3 +69,41 @@ def test_resampling_drops_state_and_late_rows(spark, tmp_path):
     assert {g for g in got if g[0] != "end"} == want
     left = spark.read.format("statestore").option("stateVarName", "last").load(str(tmp_path / "c"))
     assert [r["key"][0] for r in left.collect()] == ["end"] and state is not None
+
+
+class Counted:
+    """State and timers of one key, with the number of calls."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, [], 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def __getattr__(self, name):
+        def call(x=None):
+            self.calls += 1
+            if name == "get":
+                return self.value
+            if name in ("update", "clear"):
+                self.value = x
+            else:
+                {"registerTimer": self.timers.append, "deleteTimer": self.timers.remove}[name](x)
+        return call
+
+
+def test_resampling_calls_a_batch():
+    """A batch reads a key's state and writes it; its one timer is set again when it goes off before the series ends."""
+    key, r = Counted(), streams.Resampler(2_000_000, 60_000_000)
+    r.init(key)
+    at, got = lambda s: SimpleNamespace(getCurrentWatermarkInMs=lambda: s * 1000), []
+    for i, seconds in enumerate(([0, 1, 5], [7], [8, 12])):
+        key.calls = 0
+        got += r.handleInputRows(("a",), iter([Row(t=s * 1_000_000, v=None if s == 1 else float(s)) for s in seconds]), at(0))
+        assert key.calls <= (3 if i == 0 else 2)
+    assert key.timers == [65_000]
+    for due in (66, 72):  # 60 s after the sample at 5, and after that at 12
+        key.timers.clear()
+        end = list(r.handleExpiredTimer(("a",), at(due), None))
+        assert (end, key.timers) == ([], [72_000]) if due == 66 else (key.value is None and not key.timers)
+    assert [(p["t"] // 1_000_000, p["value"]) for p in got + end if p["value"] == p["value"]] == [(0, 0.0), (6, 6.0), (8, 8.0), (10, 10.0), (12, 12.0)]
