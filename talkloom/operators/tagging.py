@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ START = ""
 BIO = ("O", "B-PER", "I-PER", "B-LOC", "I-LOC", "B-ORG", "I-ORG")
 #: A model's features are held in each Python worker; more than this many are refused.
 MOST_FEATURES = 5_000_000
+#: Tokens that are decoded together: their scores and those of a step are what a worker holds besides the batch.
+TOKENS = 20_000
 
 
 @dataclass(frozen=True)
@@ -105,14 +108,25 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, fi
     return out
 
 
-def _tagged(batch: pa.RecordBatch, column: int, score, m: Model, transitions, first) -> pa.Array:
-    """A list of tags for each row of the batch; a sentence that nothing fits has the first tag throughout."""
-    lists = batch.column(column).to_pylist()
-    lengths = np.array([len(x or ()) for x in lists], np.int64)
-    best = viterbi(score(lists, int(lengths.sum())), lengths, transitions, first)
-    names = np.array(m.tags, object)[np.maximum(best, 0)]
-    offsets = np.append(0, np.cumsum(lengths)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(names, pa.string()))
+def _tagged(lists: pa.Array, score, m: Model, transitions, first) -> pa.Array:
+    """A list of tags for each list of tokens' features or scores; a sentence that nothing fits has the first tag throughout."""
+    lengths = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    best = viterbi(score(lists.flatten()), lengths, transitions, first)
+    names = pa.array(m.tags, pa.string()).take(pa.array(np.maximum(best, 0)))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), names)
+
+
+def _in_parts(batches, column: int, keys: int, score, m: Model, names: list[str]):
+    """Batches of the first `keys` columns with tags, TOKENS tokens at a time, or one sentence of more."""
+    transitions, first = np.array(m.transitions), np.array(m.first)
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(batch.column(column).value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < len(batch):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + TOKENS, "right")))
+            part = batch.slice(lo, hi - lo)
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(keys)), _tagged(part.column(column), score, m, transitions, first)], names)
+            lo = hi
 
 
 def tag_sentences(sents: DataFrame, keys: list[str], m: Model, sentence: str = "sentence") -> DataFrame:
@@ -124,22 +138,22 @@ def tag_tokens(sents: DataFrame, keys: list[str], m: Model) -> DataFrame:
     """keys, tokens, tags of each row of tokens (array<string>)."""
     rows = with_features(sents).select(*keys, "tokens", "features")
     out = rows.select(*keys, "tokens", F.lit(None).cast("array<string>").alias("tags")).schema
-    transitions, first, n = np.array(m.transitions), np.array(m.first), len(m.tags)
-
-    def score(lists, total):
-        found = np.zeros((total, n))
-        at, none = 0, m.weights.get
-        for sent in lists:
-            for names in sent or ():
-                for f in names:
-                    if (w := none(f)) is not None:
-                        found[at] += w
-                at += 1
-        return found
+    known = pa.array(list(m.weights), pa.string())
+    weights = np.array([*m.weights.values(), [0.0] * len(m.tags)])  # the last row is that of features which the model lacks
 
     def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keys) + 1)), _tagged(batch, len(keys) + 1, score, m, transitions, first)], out.names)
+        index = pc.SetLookupOptions(value_set=known)
+
+        def score(tokens: pa.Array) -> np.ndarray:
+            n = tokens.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            at = pc.fill_null(pc.call_function("index_in", [tokens.flatten()], index), len(known)).to_numpy(zero_copy_only=False)
+            found, starts = np.zeros((len(n), weights.shape[1])), np.append(0, np.cumsum(n)[:-1])
+            for k in range(int(n.max(initial=0))):  # sums in the order of features
+                has = n > k
+                found[has] += weights[at[starts[has] + k]]
+            return found
+
+        yield from _in_parts(batches, len(keys) + 1, len(keys) + 1, score, m, out.names)
 
     return rows.mapInArrow(run, out)
 
@@ -149,12 +163,10 @@ def decode(scores: DataFrame, keys: list[str], m: Model) -> DataFrame:
     rows = scores.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("tok_idx", "scores"))).alias("p"))
     rows = rows.select(*keys, F.transform("p", lambda x: x["tok_idx"]).alias("at"), F.transform("p", lambda x: x["scores"]).alias("scores"))
     out = rows.select(*keys, "at", F.lit(None).cast("array<string>").alias("tags")).schema
-    transitions, first = np.array(m.transitions), np.array(m.first)
-    dense = lambda lists, total: np.array([s for sent in lists for s in sent], float).reshape(total, len(m.tags))
+    dense = lambda tokens: tokens.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(m.tags))
 
     def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keys) + 1)), _tagged(batch, len(keys) + 1, dense, m, transitions, first)], out.names)
+        yield from _in_parts(batches, len(keys) + 1, len(keys) + 1, dense, m, out.names)
 
     tagged = rows.mapInArrow(run, out)
     return tagged.select(*keys, F.explode(F.arrays_zip("at", "tags")).alias("x")).select(*keys, F.col("x.at").alias("tok_idx"), F.col("x.tags").alias("tag"))

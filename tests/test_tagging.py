@@ -90,3 +90,20 @@ def test_odd_sentences(spark, fitted):
     got = {r["k"]: (len(r["tokens"]), len(r["tags"])) for r in tagging.tag_sentences(df, ["k"], fitted).collect()}
     assert got == {1: (0, 0), 2: (0, 0), 3: (0, 0), 4: (30000, 30000), 5: (got[5][0], got[5][0])}
     assert entities.spans(tagging.exploded(tagging.tag_sentences(df.limit(0), ["k"], fitted), ["k"]), ["k"]).count() == 0
+
+
+def test_decoding_in_parts():
+    """A batch is decoded some tokens at a time, whatever it holds, and each sentence gets the tags that it gets alone."""
+    import pyarrow as pa
+
+    words = [["we", "met", "Ann"] * (i % 4) for i in range(50)] + [None, ["Ann"] * (tagging.TOKENS + 5), [], ["met"] * (tagging.TOKENS - 1), ["Ann"]]
+    m, seen = tagging.Model(TAGS, {}, [[0.0 if tagging.allowed(p, t) else -np.inf for t in TAGS] for p in TAGS], [0.0 if tagging.allowed("", t) else -np.inf for t in TAGS]), []
+
+    def score(tokens):
+        seen.append(len(tokens))
+        return np.array([[float(t == ("B-PER" if w == "Ann" else "O")) for t in TAGS] for w in tokens.to_pylist()]).reshape(-1, len(TAGS))
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(words))), pa.array(words, pa.list_(pa.string()))], ["id", "tokens"])
+    got = [r for b in tagging._in_parts(iter([batch]), 1, 2, score, m, ["id", "tokens", "tags"]) for r in b.to_pylist()]
+    assert [r["tags"] for r in got] == [["B-PER" if w == "Ann" else "O" for w in x or ()] for x in words]
+    assert sum(seen) == sum(len(x or ()) for x in words) and sorted(seen)[-2] <= tagging.TOKENS < max(seen) == tagging.TOKENS + 5
