@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,6 +134,26 @@ def _automaton(words: list[str]):
     return F.pandas_udf(held, "array<string>")
 
 
+def contained_once(text: Column, words: list[str] | tuple[str, ...]) -> Column:
+    """What `contained` gives, for long texts and many words: a text is walked once by an automaton, where `contained` looks
+    for each word in turn.  Not repeated where a filter reads it; an empty word, which any text holds, is left to `contained`."""
+    words = tuple(dict.fromkeys(words))
+    if not words or "" in words:
+        return contained(text, words)
+
+    def held(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for i, w in enumerate(words):
+            automaton.add_word(w, i)
+        automaton.make_automaton()
+        for texts in batches:
+            yield pa.array([[words[i] for i in sorted({i for _, i in automaton.iter(t.as_py() or "")})] for t in texts], pa.list_(pa.string()))
+
+    return F.arrow_udf(held, "array<string>").asNondeterministic()(F.lower(text))
+
+
 def risk_list(sentences: Column, pack: Pack = RUSSIAN, least: int = 5, most: int = 80, limit: int = 20) -> Column:
     """What risks gives, for an array of sentences: array<struct<sentence, triggers, position, score>>."""
     each = F.transform(sentences, lambda x, i: F.struct(x.alias("sentence"), F.when(word_count(x).between(least, most), contained(x, pack.triggers)).otherwise(
@@ -146,7 +167,7 @@ def risks(sentences: DataFrame, key: str = "doc_id", position: str = "sent_idx",
           least: int = 5, most: int = 80, limit: int = 20) -> DataFrame:
     """key, position, sentence, triggers, score, rank: most triggers first, then by position."""
     n = word_count(F.col(sentence))
-    found = sentences.where(n.between(least, most)).select(key, F.col(position).alias("position"), F.col(sentence).alias("sentence"), contained(F.col(sentence), pack.triggers).alias("triggers"))
+    found = sentences.where(n.between(least, most)).select(key, F.col(position).alias("position"), F.col(sentence).alias("sentence"), contained_once(F.col(sentence), pack.triggers).alias("triggers"))
     found = found.withColumn("score", F.size("triggers")).where("score > 0")
     order = Window.partitionBy(key).orderBy(F.desc("score"), "position")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)

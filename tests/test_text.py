@@ -95,3 +95,13 @@ def test_formats(spark):
 
 def test_pack_without_words(spark):
     assert one(spark, "A. B. Is c. D", lambda c: text.split_sentences(c, Pack())) == ["A. B. Is c.", "D"]
+
+def test_triggers_by_one_walk(spark):
+    """Overlapping and repeated words, in the list's order, for texts that are null or empty too; a filter does not walk a text again."""
+    words = ["риск", "рис", "b", "ab", "риск", "проблем", "c"]
+    df = spark.createDataFrame([("РИСК ab",), ("xyz",), ("",), (None,), ("нет ПРОБЛЕМЫ, рис c",)], "t string")
+    rows = df.select(extract.contained(F.col("t"), words).alias("want"), extract.contained_once(F.col("t"), words).alias("got")).collect()
+    assert [r["got"] for r in rows] == [r["want"] or [] for r in rows] == [["риск", "рис", "b", "ab"], [], [], [], ["рис", "проблем", "c"]]
+    assert [r[0] for r in df.select(extract.contained_once(F.col("t"), ["", "xyz"])).collect()][1] == ["", "xyz"]
+    plan = extract.risks(df.selectExpr("1 as doc_id", "2 as sent_idx", "t as sentence"))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "instr(" not in plan
