@@ -19,8 +19,9 @@ from .cosine import SLACK, cosine_join
 
 #: Sentences of a document whose graph one task takes: at most MOST * MOST similarities.
 MOST = 2000
-#: Changed sentences of a round up to this number are broadcast to the edges; more are joined by a shuffle.
-BROADCAST_CHANGES = 500_000
+#: Changed sentences of a round up to this number are broadcast to the edges; more are joined by a shuffle.  What all rounds
+#: send through the driver is thus bounded, whatever the number of sentences.
+BROADCAST_CHANGES = 10_000
 
 
 @dataclass(frozen=True)
@@ -114,7 +115,7 @@ def page_rank_relational(edges: DataFrame, sents: DataFrame, key: str = "doc_id"
     rounds = [now]
     while sent and len(rounds) < s.max_iterations:
         moving = now.where("sent").select(key, F.col(idx).alias("src"), "n", "change")
-        got = share.join(F.broadcast(moving) if sent <= BROADCAST_CHANGES else moving, [key, "src"]).select(key, F.col("dst").alias(idx), "n", (F.col("share") * F.col("change")).alias("change"))
+        got = share.join(F.broadcast(moving) if sent <= BROADCAST_CHANGES else moving.hint("merge"), [key, "src"]).select(key, F.col("dst").alias(idx), "n", (F.col("share") * F.col("change")).alias("change"))
         both = got.unionByName(now.where("not sent").select(key, idx, "n", "change")).groupBy(key, idx).agg(F.first("n").alias("n"), F.sum("change").alias("change"))
         now, sent = changed(both, s)
         rounds.append(now)

@@ -68,6 +68,23 @@ def test_delta_iteration_sends_less_and_less(spark, monkeypatch):
         assert tables[-1] == 0 and tables[0] > 100 and len(tables) < 50 and sum(tables[len(tables) // 2 :]) < sum(tables[: len(tables) // 2])
 
 
+def test_changes_over_the_bound_are_not_broadcast(spark, monkeypatch):
+    """Spark does not send them through the driver on its own account either, however small their files are."""
+    edges = spark.createDataFrame([(1, i, j, 1.0) for i in range(12) for j in range(12) if i != j and (i + j) % 3], "doc_id long, src long, dst long, w double")
+    sents, plans, made = edges.select("doc_id", F.col("src").alias("sent_idx")).distinct(), [], rank.changed
+
+    def watched(changes, s):
+        table, sent = made(changes, s)
+        plans.append((changes._jdf.queryExecution().executedPlan().toString(), sent))
+        return table, sent
+
+    monkeypatch.setattr(rank, "changed", watched)
+    monkeypatch.setattr(rank, "BROADCAST_CHANGES", 0)
+    rank.page_rank_relational(edges, sents).collect()
+    assert len(plans) > 2 and rank.BROADCAST_CHANGES == 0
+    assert not any("BroadcastHashJoin" in plan for plan, _ in plans[1:])
+
+
 def vectors(seed, n):
     """Sparse vectors of length 1 with common and rare terms, some equal, some of one term."""
     rng = random.Random(seed)
