@@ -167,7 +167,10 @@ class FileWriter(DataSourceWriter):
         system, root = opened(self.path)
         system.create_dir(root, recursive=True)
         for row in iterator:
-            at = f"{root}/.{row['name']}-{uuid.uuid4().hex}"
+            folder, _, name = f"{root}/{row['name']}".rpartition("/")
+            at = f"{folder}/.{name}-{uuid.uuid4().hex}"
+            if "/" in row["name"]:
+                system.create_dir(folder, recursive=True)
             with system.open_output_stream(at) as f:
                 f.write(bytes(row["content"]))
             system.move(at, f"{root}/{row['name']}")
@@ -175,7 +178,7 @@ class FileWriter(DataSourceWriter):
 
 
 class Files(DataSource):
-    """df.select("name", "content").write.format("files").mode("append").save(folder); names without a folder in them."""
+    """df.select("name", "content").write.format("files").mode("append").save(folder); folders in names are made."""
 
     @classmethod
     def name(cls) -> str:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import opened, write_files
+
 WORD = "struct<text:string,startMs:bigint,endMs:bigint,confidence:float>"
 SEGMENT = f"struct<speakerId:int,startMs:bigint,endMs:bigint,words:array<{WORD}>>"
 SESSION = (
@@ -12,6 +16,9 @@ SESSION = (
     "metadata STRUCT<title: STRING, location: STRING, auditorName: STRING, date: BIGINT, notes: STRING>, participants MAP<STRING, STRING>, "
     f"transcript STRUCT<totalDurationMs: BIGINT, recordedAt: BIGINT, sourceWavPath: STRING, numSpeakers: INT, segments: ARRAY<{SEGMENT}>>, _corrupt_record STRING")
 
+#: Characters that Spark writes as % and two digits in the name of a partition's folder.
+SPECIAL = "%\"#'*/:=?\\{[]^\x7f" + "".join(map(chr, range(1, 32)))
+
 
 def read_sessions(spark: SparkSession, path: str, complete: bool = True) -> DataFrame:
     """All sessions session_*.json of a folder; files that are no JSON, or lack what is required, are skipped.
@@ -87,8 +94,15 @@ def recordings(binary: DataFrame) -> DataFrame:
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
-    """reports: name, body.  A folder per report name with its text."""
-    reports.select("name", "body").write.mode("overwrite").partitionBy("name").option("lineSep", "\n").text(path)
+    """reports: name, body.  A folder per report name with its text, a file a row.  Replaces what is in the folder.  The files go
+    through the sink of files, as Hadoop's local file system starts processes for each folder and file."""
+    system, root = opened(path)
+    system.create_dir(root, recursive=True)
+    system.delete_dir_contents(root)
+    safe = reduce(lambda c, x: F.replace(c, F.lit(x), F.lit(f"%{ord(x):02X}")), SPECIAL, F.col("name"))
+    folder = F.when(F.col("name") != "", safe).otherwise("__HIVE_DEFAULT_PARTITION__")
+    file = F.concat(F.lit("name="), folder, F.lit("/part-"), F.monotonically_increasing_id().cast("string"), F.lit(".txt"))
+    write_files(reports.select(file.alias("name"), F.concat(F.coalesce("body", F.lit("")), F.lit("\n")).cast("binary").alias("content")), path)
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:

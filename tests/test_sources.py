@@ -110,3 +110,17 @@ def test_a_cluster_needs_a_shared_folder():
         shared_dir(N(sparkContext=context))
     context.getCheckpointDir = lambda: "hdfs://shared"
     assert shared_dir(N(sparkContext=context)) == "hdfs://shared"
+
+
+def test_reports_by_any_name(spark, tmp_path):
+    """Names that need escapes, a null and an empty one; a report is one file, without Hadoop's checksum beside it, and what was there goes."""
+    from talkloom.sources import sessions
+
+    names = ["a b", "x=1/2:%#?*", "q\"'[]{}^\\", "Отчёт", "", None]
+    rows = spark.createDataFrame([(n, f"text {i}\nend") for i, n in enumerate(names)], "name string, body string")
+    path = str(tmp_path / "reports")
+    for df in (rows, rows.where("name <> 'a b'")):
+        sessions.write_reports(df, path)
+        got = {(r["name"], r["body"]) for r in sessions.read_reports(spark, path).collect()}
+        assert got == {(r["name"] or None, r["body"] + "\n") for r in df.collect()}
+    assert len([p for p in (tmp_path / "reports").rglob("*") if p.is_file()]) == len(names) - 2  # a comparison with null drops that row too
