@@ -18,9 +18,12 @@ shingle): a segment shown so covers two differences, and each set buys the cheap
 signatures over CAP makes blocks too.  A pair of a direct set and any other hard one is thus found by the
 direct set's own signatures, a pair of others by units.
 
-A linked pair differs in a seventh of both sets at most, so it agrees in all but as many of the signatures that
-a set needs; pairs that meet in fewer are no candidates.  Candidate pairs, each once, lose those whose parity sketches differ in more bits than a linked pair's sets
-may differ in shingles (a bound that holds for every pair).  The rest are verified on the whole sets; first
+Each set is first paired with the smallest one of each signature that it probes, and what these links join
+needs no pairs of its own: the pairs of a family of linked texts grow with its members.  Then come pairs of different
+components.  A linked pair differs in a seventh of both sets at most, so it agrees in all but as many of the
+signatures that a set needs; pairs that meet in fewer are no candidates.  Candidate pairs, each once, lose those whose
+parity sketches differ in more bits than a linked pair's sets may differ in shingles (a bound that holds for every
+pair), before they are kept.  The rest are verified on the whole sets; first
 those with a set's smallest partner, then those between components that are still apart.  In a block, the
 members of the largest component need no test among themselves: only the others (`minor`) are tested against
 all members, by an inverted index, in tasks of SHINGLES shingles of either side; only a spanning forest of
@@ -198,17 +201,31 @@ def probes_of(plan: DataFrame, excused: Column | int = 0) -> DataFrame:
     return plan.select("doc", kind.alias("kind"), n.alias("n"), (allowed + 1 - excused).alias("least"), F.explode("probes").alias("x")).select("x.sig", "doc", "kind", "n", "least")
 
 
-def met(stages: list[tuple[DataFrame, DataFrame, int]]) -> DataFrame:
-    """Distinct (a, b), a < b, that may be linked, of each stage's probes (sig, doc, kind, n, least) and the sets (sig,
-    doc, n) that show their signatures.  Sets of n and m shingles that are linked differ in (n + m) / 7 at most, and
-    each difference spoils one of the `least` signatures, so all others must be met; one that is met counts for as
-    many units as the stage says."""
+def united(stages: list[tuple[DataFrame, DataFrame, int]]) -> tuple[DataFrame, DataFrame]:
+    """Each stage's probes (sig, doc, kind, n, least) and the sets (sig, doc, n) that show its signatures, as one table each; a
+    signature that is met counts for as many units as the stage says."""
     probes, index = (None, None)
     for i, (p, s, unit) in enumerate(stages):
         p = p.select(F.lit(i).alias("stage"), "sig", F.col("doc").alias("x"), "kind", F.col("n").alias("m"), "least", F.lit(unit).alias("unit"))
         s = s.select(F.lit(i).alias("stage"), "sig", "doc", "n")
         probes, index = (p, s) if probes is None else (probes.union(p), index.union(s))
-    both = probes.join(index, ["stage", "sig"]).where((F.col("x") != F.col("doc")) & (F.least("m", "n") * DENOMINATOR >= F.greatest("m", "n") * NUMERATOR))
+    return probes, index
+
+
+def met(probes: DataFrame, index: DataFrame, part: DataFrame | None = None) -> DataFrame:
+    """Distinct (a, b), a < b, that may be linked.  Sets of n and m shingles that are linked differ in (n + m) / 7 at most, and
+    each difference spoils one of the `least` signatures, so all others must be met.  Without part: only pairs of a set and
+    the smallest one that shows a signature, no more than there are probes.  With part (node, component) of what is known
+    to be linked: pairs of different components."""
+    if part is None:
+        index = index.groupBy("stage", "sig").agg(F.min(F.struct("doc", "n")).alias("first")).select("stage", "sig", "first.*")
+        new = F.col("x") != F.col("doc")
+    else:
+        part = F.broadcast(part) if part.count() <= BROADCAST_KEYS else part
+        named = lambda rows, doc, c: rows.join(part.select(F.col("node").alias(doc), F.col("component").alias(c)), doc, "left").withColumn(c, F.coalesce(c, doc))
+        probes, index = named(probes, "x", "cx"), named(index, "doc", "cd")
+        new = F.col("cx") != F.col("cd")
+    both = probes.join(index, ["stage", "sig"]).where(new & (F.least("m", "n") * DENOMINATOR >= F.greatest("m", "n") * NUMERATOR))
     hits = both.groupBy("stage", "x", "kind", "doc").agg(F.sum("unit").alias("units"), F.max("m").alias("m"), F.max("n").alias("n"), F.max("least").alias("least"))
     differ = F.floor((F.col("m") + F.col("n")) * (DENOMINATOR - NUMERATOR) / (DENOMINATOR + NUMERATOR))
     hits = hits.where(F.col("units") >= F.col("least") - differ)
@@ -448,18 +465,26 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     # a set that is hard is met by the probes of those that are not, and by those of a later stage
     sized = lambda rows: rows.select("sig", "doc", size_of().alias("n"))
     direct = harder.where("direct")
-    found = met([(probes_of(plan.where("hard is null")), sized(index), 1),
-                 (probes_of(plan2.where("hard is null")).union(probes_of(direct, F.size("hot"))), sized(again), 1),
-                 (cheap, dels, 2)])  # a segment is two units at most
-    pairs = written(found.union(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")).distinct(), "join-pairs")  # blocks find the rest
+    probes, index = united([(probes_of(plan.where("hard is null")), sized(index), 1),
+                            (probes_of(plan2.where("hard is null")).union(probes_of(direct, F.size("hot"))), sized(again), 1),
+                            (cheap, dels, 2)])  # a segment is two units at most
+    # the smallest set of each signature first: families come together by few pairs, and their members need not all be paired
+    first = written(met(probes, index).union(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")).distinct(), "join-first")
     free(spark)
-
     # members of blocks need their sets even where no pair names them
-    sets = written(sets_of(unique, pairs.union(star).select(F.explode(F.array("a", "b")).alias("doc")).distinct()), "join-sets")
-    pairs = written(possible(pairs, sets), "join-pairs")
-    # a set's smallest partner first; what it settles need not be verified pair by pair
+    sets = written(sets_of(unique, first.union(star).select(F.explode(F.array("a", "b")).alias("doc")).distinct()), "join-sets")
+    links = written(verify(possible(first, sets), sets), "join-links")
+    part = written(components(links, label="join-part"), "join-part")
+    # whoever shows what another probes has its sketch at hand, so that pairs that it rules out are nowhere kept
+    shown = index.join(probes.select("stage", "sig").distinct(), ["stage", "sig"], "left_semi").select("doc").distinct()
+    more = written(shown.join(sets.select("doc"), "doc", "left_anti"), "join-shown")
+    sets = sets.union(written(sets_of(unique, more), "join-sets"))
+    pairs = written(possible(met(probes, index, part), sets), "join-pairs")  # blocks find the rest
+    free(spark)
+
+    # a set's smallest partner next; what it settles need not be verified pair by pair
     nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = written(verify(nearest, sets), "join-links")
+    links = links.union(written(verify(nearest, sets), "join-links"))
     part = written(components(links, label="join-part"), "join-part")
     rest = pairs.join(nearest, ["a", "b"], "left_anti")
     rest = rest.join(part.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")

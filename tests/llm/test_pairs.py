@@ -440,3 +440,25 @@ def test_few_shared_passages_make_no_pairs(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want and want[43] == 40
     assert all(a >= 40 for a, _ in asked[0])
+
+
+def test_pairs_of_a_family_grow_with_its_members(spark, monkeypatch):
+    """Families of 15 and 45 linked texts, whose signatures few enough share that all members could be paired."""
+    kept, before = {}, jaccard_join.written
+
+    def written(df, label):
+        out = before(df, label)
+        if label in ("join-first", "join-pairs"):
+            kept[label] = max(kept.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "written", written)
+    made = []
+    for k in (15, 45):
+        kept.clear()
+        text = [f"w{i}" for i in range(300)]
+        rows = [(i, " ".join([*text[: 7 * i % 290], f"own{i}", *text[7 * i % 290 + 1 :]])) for i in range(k)]
+        found = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert found == dict.fromkeys(range(k), 0)
+        made.append(sum(kept.values()))
+    assert made[1] <= 4 * made[0]
