@@ -58,9 +58,18 @@ def without(stored: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return stored.join(ids.select(key), key, "left_anti")
 
 
+def _folder(column: str, value: Column) -> Column:
+    """The name of a partition's folder, as Spark writes it."""
+    safe = reduce(lambda c, x: F.replace(c, F.lit(x), F.lit(f"%{ord(x):02X}")), SPECIAL, value)
+    return F.concat(F.lit(f"{column}="), F.when(value != "", safe).otherwise("__HIVE_DEFAULT_PARTITION__"))
+
+
 def write_sessions(sessions: DataFrame, path: str) -> None:
-    """One folder per id, so that a write replaces just the ids it brings (dynamic partition overwrite)."""
-    (sessions.withColumn("session", F.col("id")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session").json(path))
+    """One folder per id with a file of JSON lines, so that a write replaces just the ids it brings.  The files go through the
+    sink of files: a write of partitions moves each folder in the driver, one after another."""
+    lines = sessions.select(_folder("session", F.col("id")).alias("folder"), F.to_json(F.struct(*sessions.columns)).alias("line"))
+    each = lines.groupBy("folder").agg(F.concat(F.array_join(F.collect_list("line"), "\n"), F.lit("\n")).alias("body"))
+    write_files(each.select(F.concat("folder", F.lit("/part-0.json")).alias("name"), F.col("body").cast("binary").alias("content")), path)
 
 
 def read_written(spark: SparkSession, path: str, complete: bool = True) -> DataFrame:
@@ -99,9 +108,7 @@ def write_reports(reports: DataFrame, path: str) -> None:
     system, root = opened(path)
     system.create_dir(root, recursive=True)
     system.delete_dir_contents(root)
-    safe = reduce(lambda c, x: F.replace(c, F.lit(x), F.lit(f"%{ord(x):02X}")), SPECIAL, F.col("name"))
-    folder = F.when(F.col("name") != "", safe).otherwise("__HIVE_DEFAULT_PARTITION__")
-    file = F.concat(F.lit("name="), folder, F.lit("/part-"), F.monotonically_increasing_id().cast("string"), F.lit(".txt"))
+    file = F.concat(_folder("name", F.col("name")), F.lit("/part-"), F.monotonically_increasing_id().cast("string"), F.lit(".txt"))
     write_files(reports.select(file.alias("name"), F.concat(F.coalesce("body", F.lit("")), F.lit("\n")).cast("binary").alias("content")), path)
 
 

@@ -197,3 +197,16 @@ def test_protocol(spark):
     w = transcript.even_words(df, ["session_id", "seg_idx"])
     html = report.colored_utterances(w, ["session_id", "seg_idx"], transcript.confidence_level(F.col("confidence"))).where("seg_idx = 1").first()["html"]
     assert "&lt;c&gt;" in html and "C62828" in html
+
+
+def test_sessions_are_written_by_tasks_a_file_each(spark, tmp_path):
+    """A write by partitions would leave checksums and other names, and move each folder in the driver."""
+    out = str(tmp_path / "store")
+    lines = [f'{{"id": "{x}", "createdAt": {i}, "metadata": {{"title": "t"}}, "participants": {{}}, "transcript": {{"totalDurationMs": 1, "segments": []}}}}' for i, x in enumerate(["a", "b/c", "a"])]
+    rows = spark.read.schema(sessions.SESSION).json(spark.createDataFrame([(x,) for x in lines], "value string").rdd.map(lambda r: r[0]))
+    made = sessions.valid(rows)
+    sessions.write_sessions(made, out)
+    assert sorted((r["id"], r["createdAt"]) for r in sessions.read_written(spark, out).collect()) == [("a", 0), ("a", 2), ("b/c", 1)]
+    sessions.write_sessions(made.where("createdAt = 2"), out)
+    assert sorted((r["id"], r["createdAt"]) for r in sessions.read_written(spark, out).collect()) == [("a", 2), ("b/c", 1)]
+    assert sorted(str(p.relative_to(out)) for p in (tmp_path / "store").rglob("*") if p.is_file()) == ["session=a/part-0.json", "session=b%2Fc/part-0.json"]
