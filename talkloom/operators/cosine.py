@@ -6,18 +6,26 @@ smaller of the term's largest weight and x's own largest one, since a pair is lo
 smaller largest weight.  So a pair that reaches the threshold shares an indexed term of its other member.  Common
 terms have small weights and drop out of most vectors' indexes, which is where a plain join is quadratic.  A
 candidate's sum over indexed terms, with the bound of what was left out, is tested before the rest is added from
-the leading terms.  Weights are not negative.
+the leading terms.  Weights are not negative, vectors of length 1.
+
+Products are added as multiples of 2 ** -60, which is exact, so that a sum is the same in any order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import stored
 
 #: Sums in another order differ by less.
 SLACK = 1e-9
+#: Products are added in parts of this size; one of 0.004 or more loses nothing by that.
+PARTS = 2.0**60
+
+
+def parts(product: Column) -> Column:
+    return F.rint(product * PARTS).cast("long")
 
 
 def split_vectors(weights: DataFrame, key: str, idx: str, threshold: float) -> DataFrame:
@@ -44,16 +52,17 @@ def met(vectors: DataFrame, key: str, idx: str) -> DataFrame:
     return index.join(probe, [key, "term"]).where(later).select(key, "src", "dst", (F.col("ws") * F.col("wd")).alias("product"), "bound")
 
 
-def cosine_join(weights: DataFrame, threshold: float, key: str = "doc_id", idx: str = "sent_idx") -> DataFrame:
-    """key, src, dst, w of the pairs (each once) with a product of threshold or more.  weights: key, idx, term, w, one
-    row a term.  A product that equals the threshold counts in any order of its sums."""
+def cosine_join(weights: DataFrame, threshold: float, key: str = "doc_id", idx: str = "sent_idx", slack: float = SLACK) -> DataFrame:
+    """key, src, dst, w of the pairs (each once) with a product of threshold - slack or more.  weights: key, idx, term, w, one
+    row a term.  With SLACK a product that equals the threshold but for the rounding of its weights counts; with 0 doubles are
+    compared as they are, which is what SQL does."""
     vectors = stored(split_vectors(weights, key, idx, threshold), "cosine-vectors")
-    found = met(vectors, key, idx).groupBy(key, "src", "dst").agg(F.sum("product").alias("part"), F.first("bound").alias("bound"))
-    found = found.where(F.col("part") + F.col("bound") >= threshold - SLACK)
+    found = met(vectors, key, idx).groupBy(key, "src", "dst").agg(F.sum(parts(F.col("product"))).alias("part"), F.first("bound").alias("bound"))
+    found = found.where(F.col("part") / PARTS + F.col("bound") >= threshold - SLACK)
     heads = vectors.where(F.size("head") > 0).select(key, F.col(idx).alias("src"), "head")
     both = found.join(heads, [key, "src"], "left")
     whole = both.where("head is null").select(key, "src", "dst", F.col("part").alias("w"))
     all_ = vectors.select(key, F.col(idx).alias("dst"), F.map_from_entries(F.concat("head", "tail")).alias("m"))
-    rest = F.aggregate("head", F.lit(0.0), lambda a, x: a + x["w"] * F.coalesce(F.try_element_at(F.col("m"), x["term"]), F.lit(0.0)))
+    rest = F.aggregate("head", F.lit(0).cast("long"), lambda a, x: a + parts(x["w"] * F.coalesce(F.try_element_at(F.col("m"), x["term"]), F.lit(0.0))))
     added = both.where("head is not null").join(all_, [key, "dst"]).select(key, "src", "dst", (F.col("part") + rest).alias("w"))
-    return whole.unionByName(added).where(F.col("w") >= threshold - SLACK)
+    return whole.unionByName(added).withColumn("w", F.col("w") / PARTS).where(F.col("w") >= threshold - slack)

@@ -31,6 +31,8 @@ class RankSettings:
     max_df_ratio: float = 0.85
     least_term: int = 3
     threshold: float = 0.10
+    #: A cosine that is less than the threshold by no more than this counts; 0 compares as SQL does.
+    slack: float = SLACK
     damping: float = 0.85
     max_iterations: int = 50
     tolerance: float = 1e-6
@@ -49,22 +51,30 @@ class BoostSettings:
     short_penalty: float = 0.5
 
 
+@F.arrow_udf(T.DoubleType())
+def log(x: pa.Array) -> pa.Array:
+    """The logarithm of the C library, which SQL engines use too; Spark's own often differs in the last bit."""
+    return pc.ln(x)
+
+
 def tf_idf(sents: DataFrame, key: str = "doc_id", idx: str = "sent_idx", sentence: str = "sentence", s: RankSettings = RankSettings()) -> DataFrame:
-    """key, idx, term, w: weights of length 1 per sentence.  n counts all sentences, also those without terms."""
+    """key, idx, term, w: weights of length 1 per sentence, squares added in the order of terms.  n counts all sentences, also
+    those without terms."""
     tokens = sents.select(key, idx, F.explode(terms(F.col(sentence), s.pack, s.least_term)).alias("term"))
     tf = tokens.groupBy(key, idx, "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy(key, "term").agg(F.count("*").alias("df"))
     n = sents.groupBy(key).agg(F.count("*").alias("n"))
     kept = df.join(n, key).where((F.col("df") >= s.min_df) & (F.col("df") <= F.greatest(F.floor(s.max_df_ratio * F.col("n")), F.lit(s.min_df))))
-    idf = F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1
+    idf = log((1 + F.col("n")) / (1 + F.col("df"))) + 1
     weighted = tf.join(kept.select(key, "term", idf.alias("idf")), [key, "term"]).select(key, idx, "term", (F.col("tf") * F.col("idf")).alias("raw"))
-    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key, idx)))
+    by_term = Window.partitionBy(key, idx).orderBy("term").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(by_term))
     return weighted.select(key, idx, "term", (F.col("raw") / length).alias("w"))
 
 
-def similarity(weights: DataFrame, key: str = "doc_id", idx: str = "sent_idx", threshold: float = 0.10) -> DataFrame:
+def similarity(weights: DataFrame, key: str = "doc_id", idx: str = "sent_idx", threshold: float = 0.10, slack: float = SLACK) -> DataFrame:
     """key, src, dst, w in both directions, by a pruned inverted index within a document."""
-    up = cosine_join(weights, threshold, key, idx)
+    up = cosine_join(weights, threshold, key, idx, slack)
     ends = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
     return up.select(key, ends.alias("e"), "w").select(key, "e.src", "e.dst", "w")
 

@@ -1,10 +1,13 @@
+import math
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from talkloom.functions.lexicons import RUSSIAN
+from talkloom.functions.lexicons import RUSSIAN, TEST
 from talkloom.operators import cosine, rank
+from talkloom.plans import catalog
 
 
 def sents(spark, *docs):
@@ -125,6 +128,51 @@ def test_product_at_the_threshold_counts(spark):
     assert {(r["src"], r["dst"]) for r in rank.similarity(df).collect()} == {(0, 1), (1, 0)}
 
 
+def test_weights_have_the_bits_of_sql(spark):
+    """Logarithms of the C library, squares added in the order of terms, whatever the order of rows."""
+    same = [f"wa{chr(97 + i)}" for i in range(9)] + ["xx" + chr(97 + i) for i in range(2) for _ in range(2)]
+    df = sents(spark, [" ".join(same), " ".join(sorted(same, reverse=True)), *["einsam"] * 6])
+    idf = math.log(9 / 3) + 1
+    squares = 0.0
+    for tf in [1] * 9 + [2] * 2:
+        squares += (tf * idf) * (tf * idf)
+    got = {(r["sent_idx"], r["term"]): r["w"] for n in (1, 7) for r in rank.tf_idf(df.repartition(n), s=rank.RankSettings(pack=TEST)).collect()}
+    assert got[0, "waa"] == got[1, "waa"] == idf / math.sqrt(squares) and got[0, "xxa"] == 2 * idf / math.sqrt(squares)
+
+
+def test_product_below_the_threshold_in_doubles(spark):
+    """Without slack a cosine is compared as SQL compares it: 1 / sqrt(5 * 20) in these doubles is too small."""
+    a, b = 0.4472135954999579, 0.22360679774997896
+    rows = [(1, 0, "t", a), (1, 1, "t", b), (1, 0, "x", (1 - a * a) ** 0.5), (1, 1, "y", (1 - b * b) ** 0.5), (2, 0, "t", 0.5), (2, 1, "t", 0.2), (2, 0, "x", 0.75**0.5), (2, 1, "y", 0.96**0.5)]
+    df = spark.createDataFrame(rows, "doc_id long, sent_idx int, term string, w double")
+    assert 0.5 * 0.2 >= 0.1 > a * b
+    assert {(r["doc_id"], r["src"], r["dst"]) for r in rank.similarity(df, slack=0.0).collect()} == {(2, 0, 1), (2, 1, 0)}
+
+
+#: Turns whose cosine is 1 / sqrt(5 * 20) but in doubles less, in any order of the sums: 5 terms that a turn shares with the others, 18 with 16
+#: once and one twice (n is 5).
+SHORT, LONG = ["oned", *[f"ka{c}" for c in "abcd"]], ["oned", *[f"la{chr(97 + i)}" for i in range(15)], "lzz", "lzz"]
+
+
+def tied_turns(spark, path):
+    """That pair, its terms dealt to two more turns, and a turn apart."""
+    texts = [" ".join(SHORT), " ".join(LONG), " ".join(SHORT[1:]), " ".join(dict.fromkeys(LONG[1:])), "ganz anderes"]
+    spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
+    return str(path)
+
+
+def by_sql(path, name):
+    with duckdb.connect() as c:
+        c.execute(f"create view conversations as select * from read_parquet('{path}/conversations.parquet/*.parquet')")
+        return sorted(c.execute(catalog.ORACLES[name]).fetchall())
+
+
+def test_similarity_edges_at_the_threshold_equal_sql(spark, tmp_path):
+    path = tied_turns(spark, tmp_path)
+    got = sorted(tuple(r) for r in catalog.similarity_edges(spark, path).collect())
+    assert got == by_sql(path, "similarity_edges") and got and (1, 0, 1) not in {r[:3] for r in got}
+
+
 @pytest.mark.parametrize("words, digit, entities, want", [
     (9, False, 0, 0.5), (10, False, 0, 1.0), (14, False, 0, 1.0), (15, False, 0, 1.2), (60, False, 0, 1.2), (61, False, 0, 1.0), (10, True, 0, 1.3), (10, False, 1, 1.6), (10, False, 6, 2.0)])
 def test_boost(spark, words, digit, entities, want):
