@@ -213,7 +213,7 @@ def ranked_lists(rows: DataFrame, items: str, key: str = "doc_id", s: RankSettin
     if large.isEmpty():
         return scored
     sents = stored(large.select(key, F.inline(items)), "rank-large")
-    joined = page_rank_relational(similarity(tf_idf(sents, key, s=s), key, threshold=s.threshold), sents, key, s=s)
+    joined = page_rank_relational(similarity(tf_idf(sents, key, s=s), key, threshold=s.threshold, slack=s.slack), sents, key, s=s)
     listed = joined.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("sent_idx", "base"))), lambda x: x["base"]).alias("_joined"))
     return scored.join(listed, key, "left").withColumn("base", F.coalesce("base", "_joined")).drop("_joined")
 
@@ -227,7 +227,7 @@ def _scored(sents: DataFrame, key: str, idx: str, sentence: str, s: RankSettings
     joined = None
     if large is not None and not large.isEmpty():
         few, many = sents.join(large, key, "left_anti"), stored(sents.join(large, key, "left_semi").select(key, idx, sentence), "rank-large")
-        base = page_rank_relational(similarity(tf_idf(many, key, idx, sentence, s), key, idx, s.threshold), many, key, idx, s)
+        base = page_rank_relational(similarity(tf_idf(many, key, idx, sentence, s), key, idx, s.threshold, s.slack), many, key, idx, s)
         joined = many.join(base, [key, idx]).join(many.groupBy(key).agg(F.count("*").alias("n")), key).select(key, idx, sentence, "base", "n")
         sents = few
     lists = sents.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(idx).alias("sent_idx"), F.col(sentence).alias("sentence")))).alias("_items"))

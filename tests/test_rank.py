@@ -173,6 +173,11 @@ def test_similarity_edges_at_the_threshold_equal_sql(spark, tmp_path):
     assert got == by_sql(path, "similarity_edges") and got and (1, 0, 1) not in {r[:3] for r in got}
 
 
+def test_delta_ranks_at_the_threshold_equal_sql(spark, tmp_path):
+    path = tied_turns(spark, tmp_path)
+    assert sorted(tuple(r) for r in catalog.delta_ranks(spark, path).collect()) == by_sql(path, "delta_ranks")
+
+
 @pytest.mark.parametrize("words, digit, entities, want", [
     (9, False, 0, 0.5), (10, False, 0, 1.0), (14, False, 0, 1.0), (15, False, 0, 1.2), (60, False, 0, 1.2), (61, False, 0, 1.0), (10, True, 0, 1.3), (10, False, 1, 1.6), (10, False, 6, 2.0)])
 def test_boost(spark, words, digit, entities, want):
