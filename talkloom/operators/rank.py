@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 from ..functions.lexicons import RUSSIAN, Pack
 from ..functions.text import terms, word_count
 from ..sources.shared import stored
-from .cosine import SLACK, cosine_join
+from .cosine import PARTS, SLACK, cosine_join
 
 #: Sentences of a document whose graph one task takes: at most MOST * MOST similarities.
 MOST = 2000
@@ -37,6 +38,11 @@ class RankSettings:
     max_iterations: int = 50
     tolerance: float = 1e-6
 
+    @property
+    def rest(self) -> float:
+        """1 - damping as decimals subtract: 0.15 for 0.85, for which doubles give a little more."""
+        return float(1 - Decimal(str(self.damping)))
+
 
 @dataclass(frozen=True)
 class BoostSettings:
@@ -93,10 +99,10 @@ def page_rank(edges: DataFrame, sents: DataFrame, key: str = "doc_id", idx: str
         w = pdf["w"].to_numpy(float)
         share = w / np.bincount(at, w)[at]
         score = np.full(len(node), 1.0 / n)
-        lone, lone_next = n - len(node), (1 - s.damping) / n
+        lone, lone_next = n - len(node), s.rest / n
         lone_score = 1.0 / n
         for _ in range(s.max_iterations):
-            new = (1 - s.damping) / n + s.damping * np.bincount(to, share * score[at], len(node))
+            new = s.rest / n + s.damping * np.bincount(to, share * score[at], len(node))
             change = np.abs(new - score).sum() + lone * abs(lone_next - lone_score)
             score, lone_score = new, lone_next
             if change < s.tolerance:
@@ -104,7 +110,7 @@ def page_rank(edges: DataFrame, sents: DataFrame, key: str = "doc_id", idx: str
         return pd.DataFrame({key: pdf[key].iloc[0], idx: node, "base": score})
 
     ranked = rows.groupBy(key).applyInPandas(run, f"{key} {kind[key]}, {idx} {kind['src']}, base double")
-    lone = F.when(F.col("n") == 1, F.lit(1.0)).otherwise((1 - s.damping) / F.col("n"))
+    lone = F.when(F.col("n") == 1, F.lit(1.0)).otherwise(s.rest / F.col("n"))
     return sents.select(key, idx).join(n, key).join(ranked, [key, idx], "left").select(key, idx, F.coalesce("base", lone).alias("base"))
 
 
@@ -120,7 +126,7 @@ def page_rank_relational(edges: DataFrame, sents: DataFrame, key: str = "doc_id"
     n = sents.groupBy(key).agg(F.count("*").alias("n"))
     nodes = stored(sents.select(key, idx).join(n, key), "rank-nodes")
     first = share.join(nodes.select(key, F.col(idx).alias("src"), "n"), [key, "src"]).groupBy(key, F.col("dst").alias(idx)).agg(F.sum(F.col("share") / F.col("n")).alias("got"))
-    change = F.coalesce("got", F.lit(0.0)) + (1 - s.damping) / F.col("n") - 1 / F.col("n")
+    change = F.coalesce("got", F.lit(0.0)) + s.rest / F.col("n") - 1 / F.col("n")
     now, sent = changed(nodes.join(first, [key, idx], "left").select(key, idx, "n", change.alias("change")), s)
     rounds = [now]
     while sent and len(rounds) < s.max_iterations:
@@ -142,7 +148,7 @@ def changed(changes: DataFrame, s: RankSettings) -> tuple[DataFrame, int]:
     """The changes as a table with sent, whether one is large enough to be passed on, and how many are.  All that n
     sentences keep comes to less than tolerance * (1 - damping), and so moves the scores by less than the tolerance."""
     seen = Observation()
-    large = F.abs("change") > s.tolerance * (1 - s.damping) / F.col("n")
+    large = F.abs("change") > s.tolerance * s.rest / F.col("n")
     table = stored(changes.withColumn("sent", large).observe(seen, F.count_if("sent").alias("sent")), "rank-change")
     return table, seen.get["sent"]
 
@@ -150,7 +156,8 @@ def changed(changes: DataFrame, s: RankSettings) -> tuple[DataFrame, int]:
 def listed_scores(sentence_terms: Column, s: RankSettings = RankSettings()) -> Column:
     """array<double>: what tf_idf, similarity and page_rank give for the sentences of a document, from the terms of each
     (array<array<string>>).  A batch's weights are made at once, then each document's graph in turn, so that no term
-    or pair of sentences leaves the task.  For documents of MOST sentences or fewer; null gives null."""
+    or pair of sentences leaves the task.  Squares are added in the order of terms, whatever else is in the batch.  For
+    documents of MOST sentences or fewer; null gives null."""
     def scores(docs: pa.Array) -> pa.Array:
         sents = docs.flatten()
         terms = sents.flatten().dictionary_encode()
@@ -159,15 +166,16 @@ def listed_scores(sentence_terms: Column, s: RankSettings = RankSettings()) -> C
         ends = np.concatenate([[0], np.cumsum(n_sents)])
         doc_of = np.repeat(np.arange(len(docs)), n_sents)
         names = max(len(terms.dictionary), 1)
-        pair, tf = np.unique(np.repeat(np.arange(len(sents)), n_terms) * names + terms.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        place = np.argsort(pc.sort_indices(terms.dictionary).to_numpy())
+        pair, tf = np.unique(np.repeat(np.arange(len(sents)), n_terms) * names + place[terms.indices.to_numpy(zero_copy_only=False)], return_counts=True)
         sent, term = pair // names, pair % names
         doc = doc_of[sent]
         _, at, df = np.unique(doc * names + term, return_inverse=True, return_counts=True)
         df, n = df[at], n_sents[doc]
         kept = (df >= s.min_df) & (df <= np.maximum(np.floor(s.max_df_ratio * n), s.min_df))
-        sent, doc, at, raw = sent[kept], doc[kept], at[kept], (tf * (np.log((1 + n) / (1 + df)) + 1))[kept]
+        sent, doc, at, raw = sent[kept], doc[kept], at[kept], (tf * (pc.ln((1 + n) / (1 + df)).to_numpy() + 1))[kept]
         w = raw / np.sqrt(np.bincount(sent, raw * raw, len(sents)))[sent]
-        base = np.where(n_sents == 1, 1.0, (1 - s.damping) / np.maximum(n_sents, 1))[doc_of]
+        base = np.where(n_sents == 1, 1.0, s.rest / np.maximum(n_sents, 1))[doc_of]
         edge = np.searchsorted(doc, np.arange(len(docs) + 1))
         for d in np.flatnonzero((np.diff(edge) > 0) & (n_sents > 1)):
             part = slice(edge[d], edge[d + 1])
@@ -188,10 +196,12 @@ def _graph_scores(row: np.ndarray, term: np.ndarray, w: np.ndarray, nodes: int,
         part[row[use], term[use] - lo] = w[use]
         alike += part @ part.T
     np.fill_diagonal(alike, 0)
-    alike[alike < s.threshold - SLACK] = 0
+    a, b = np.nonzero(np.abs(alike - (s.threshold - s.slack)) < SLACK)
+    alike[a, b] = _products(row, term, w, a, b)
+    alike[alike < s.threshold - s.slack] = 0
     total = alike.sum(axis=1)
     share = alike / np.where(total > 0, total, 1)[:, None]
-    score, alone, lone = np.full(nodes, 1.0 / n), 1.0 / n, (1 - s.damping) / n
+    score, alone, lone = np.full(nodes, 1.0 / n), 1.0 / n, s.rest / n
     for _ in range(s.max_iterations):
         new = lone + s.damping * (score @ share)
         change = np.abs(new - score).sum() + (n - nodes) * abs(lone - alone)
@@ -201,6 +211,22 @@ def _graph_scores(row: np.ndarray, term: np.ndarray, w: np.ndarray, nodes: int,
     return score
 
 
+def _products(row: np.ndarray, term: np.ndarray, w: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The cosine of each pair of rows a and b as cosine_join adds it, whose sum does not hang on an order."""
+    out, names = np.zeros(len(a)), int(term.max()) + 1
+    code, start = row * names + term, np.searchsorted(row, np.arange(row[-1] + 2))
+    for lo in range(0, len(a), 100_000):
+        x, y = a[lo : lo + 100_000], b[lo : lo + 100_000]
+        size = start[x + 1] - start[x]
+        first = np.cumsum(size) - size
+        at = np.repeat(start[x] - first, size) + np.arange(size.sum())
+        want = np.repeat(y, size) * names + term[at]
+        found = np.minimum(np.searchsorted(code, want), len(code) - 1)
+        part = np.where(code[found] == want, np.rint(w[at] * w[found] * PARTS), 0).astype(np.int64)
+        out[lo : lo + 100_000] = np.add.reduceat(part, first) / PARTS
+    return out
+
+
 def ranked_lists(rows: DataFrame, items: str, key: str = "doc_id", s: RankSettings = RankSettings(), most: int | None = MOST) -> DataFrame:
     """The rows (one a key) with base array<double> for items, array<struct<sent_idx, sentence>> in order of sent_idx.  Documents of
     more than `most` sentences are ranked by joins.  rows is read again for these alone; most=None leaves the look
@@ -241,21 +267,27 @@ def base_scores(sents: DataFrame, key: str = "doc_id", idx: str = "sent_idx", se
     return _scored(sents, key, idx, sentence, s, most).select(key, idx, "base")
 
 
-def factor(sentence: Column, held: Column | None = None, b: BoostSettings = BoostSettings()) -> Column:
-    """Multiplier for `held` entities, digits, and length."""
-    out = F.lit(1.0)
+def rounded(x: Column, digits: int) -> Column:
+    """x, not negative, rounded by x * 10 ** digits, as SQL engines round doubles; F.round goes by x as it is written, and then
+    a half that a product misses by its last bit goes down."""
+    return F.floor(x * 10.0**digits + 0.5) / 10.0**digits
+
+
+def factor(sentence: Column, held: Column | None = None, b: BoostSettings = BoostSettings(), base: Column | None = None) -> Column:
+    """Multiplier for `held` entities, digits, and length; with base, base times the three, one after another."""
+    out = F.lit(1.0) if base is None else base
     if held is not None:
-        out = F.when(held > 0, b.entity_base + b.entity_step * F.least(held, F.lit(b.entity_cap))).otherwise(1.0)
+        out = out * F.when(held > 0, b.entity_base + b.entity_step * F.least(held, F.lit(b.entity_cap))).otherwise(1.0)
     n = word_count(sentence)
     return out * F.when(sentence.rlike(r"\d"), b.number).otherwise(1.0) * (
         F.when(n.between(b.ideal_min, b.ideal_max), b.ideal).when(n < b.short, b.short_penalty).otherwise(1.0))
 
 
-def boost(sentence: Column, entities: Column | None = None, b: BoostSettings = BoostSettings()) -> Column:
+def boost(sentence: Column, entities: Column | None = None, b: BoostSettings = BoostSettings(), base: Column | None = None) -> Column:
     """The same for an array of lower-case strings, each of which is looked for in the sentence."""
     if entities is None:
-        return factor(sentence, None, b)
-    return factor(sentence, F.size(F.filter(F.coalesce(entities, F.array().cast("array<string>")), lambda e: F.instr(F.lower(sentence), e) > 0)), b)
+        return factor(sentence, None, b, base)
+    return factor(sentence, F.size(F.filter(F.coalesce(entities, F.array().cast("array<string>")), lambda e: F.instr(F.lower(sentence), e) > 0)), b, base)
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -285,8 +317,8 @@ def lex_rank(sents: DataFrame, key: str = "doc_id", idx: str = "sent_idx", sente
     tokens = None
     if entities is not None:
         scored, tokens = scored.join(entities.select(key, "tokens"), key, "left"), F.col("tokens")
-    by = boost(F.col(sentence), tokens, b) if b else F.lit(1.0)
-    return scored.select(key, idx, sentence, "base", F.when(F.col("n") == 1, F.col("base")).otherwise(F.col("base") * by).alias("boosted"))
+    boosted = boost(F.col(sentence), tokens, b, F.col("base")) if b else F.col("base")
+    return scored.select(key, idx, sentence, "base", F.when(F.col("n") == 1, F.col("base")).otherwise(boosted).alias("boosted"))
 
 
 def top_k(scored: DataFrame, k: int, key: str = "doc_id", idx: str = "sent_idx", by: str = "boosted") -> DataFrame:
@@ -304,8 +336,8 @@ def best_of_lists(rows: DataFrame, k: int, items: str, key: str = "doc_id", s: R
     """key, sent_idx, sentence, base, boosted, rank: what lex_rank and top_k give for rows with a document's sentences as a list (see
     ranked_lists), scores rounded before they are ranked.  Made in the row: no sentence is shuffled."""
     def place(x: Column) -> Column:
-        boosted = F.when(F.size(items) == 1, x["base"]).otherwise(x["base"] * factor(x["i"]["sentence"], None, b))
-        return F.struct((-F.round(boosted, digits)).alias("o"), x["i"]["sent_idx"].alias("sent_idx"), x["i"]["sentence"].alias("sentence"), F.round(x["base"], digits).alias("base"))
+        boosted = F.when(F.size(items) == 1, x["base"]).otherwise(factor(x["i"]["sentence"], None, b, x["base"]))
+        return F.struct((-rounded(boosted, digits)).alias("o"), x["i"]["sent_idx"].alias("sent_idx"), x["i"]["sentence"].alias("sentence"), rounded(x["base"], digits).alias("base"))
 
     best = F.array_sort(F.transform(F.arrays_zip(F.col(items).alias("i"), F.col("base").alias("base")), place))
     each = ranked_lists(rows, items, key, s).select(key, F.posexplode(F.slice(best, 1, k)).alias("p", "x"))

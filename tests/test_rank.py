@@ -2,6 +2,7 @@ import math
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,9 +156,10 @@ SHORT, LONG = ["oned", *[f"ka{c}" for c in "abcd"]], ["oned", *[f"la{chr(97 + i)
 
 
 def tied_turns(spark, path):
-    """That pair, its terms dealt to two more turns, and a turn apart."""
+    """That pair, its terms dealt to two more turns, and a turn apart; 48 and 32 turns without terms, whose scores end in a half."""
     texts = [" ".join(SHORT), " ".join(LONG), " ".join(SHORT[1:]), " ".join(dict.fromkeys(LONG[1:])), "ganz anderes"]
-    spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
+    docs = [(1, texts), (2, ["a b"] * 48), (3, ["a 1 " * 10] * 32)]
+    spark.createDataFrame([(d, i, "user", t.strip()) for d, ts in docs for i, t in enumerate(ts)], "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
     return str(path)
 
 
@@ -178,6 +180,24 @@ def test_delta_ranks_at_the_threshold_equal_sql(spark, tmp_path):
     assert sorted(tuple(r) for r in catalog.delta_ranks(spark, path).collect()) == by_sql(path, "delta_ranks")
 
 
+def test_lexrank_scores_at_the_threshold_and_at_halves_equal_sql(spark, tmp_path):
+    path = tied_turns(spark, tmp_path)
+    got, want = ({r[:2]: r[2:] for r in rows} for rows in (catalog.lexrank_scores(spark, path).collect(), by_sql(path, "lexrank_scores")))
+    assert got == want and got[2, 0] == (0.003125, 0.001562) and got[3, 0] == (0.004688, 0.007313)
+
+
+def test_products_of_pairs(spark):
+    """Sums for chosen pairs of rows equal those of the matrix, also where rows share nothing."""
+    rng = np.random.default_rng(3)
+    dense = np.where(rng.random((30, 50)) < 0.2, rng.random((30, 50)), 0)
+    dense[:, 0] += 0.1
+    dense /= np.linalg.norm(dense, axis=1)[:, None]
+    row, term = np.nonzero(dense)
+    a, b = np.nonzero(np.ones((30, 30)))
+    got = rank._products(row, term, dense[row, term], a, b).reshape(30, 30)
+    assert np.abs(got - dense @ dense.T).max() < 1e-15 and (got == got.T).all()
+
+
 @pytest.mark.parametrize("words, digit, entities, want", [
     (9, False, 0, 0.5), (10, False, 0, 1.0), (14, False, 0, 1.0), (15, False, 0, 1.2), (60, False, 0, 1.2), (61, False, 0, 1.0), (10, True, 0, 1.3), (10, False, 1, 1.6), (10, False, 6, 2.0)])
 def test_boost(spark, words, digit, entities, want):
