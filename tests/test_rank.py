@@ -186,6 +186,12 @@ def test_lexrank_scores_at_the_threshold_and_at_halves_equal_sql(spark, tmp_path
     assert got == want and got[2, 0] == (0.003125, 0.001562) and got[3, 0] == (0.004688, 0.007313)
 
 
+def test_key_quotes_at_the_threshold_equal_sql(spark, tmp_path):
+    path = tied_turns(spark, tmp_path)
+    got = sorted(tuple(r) for r in catalog.key_quotes(spark, path).collect())
+    assert got == by_sql(path, "key_quotes") and len(got) == 15
+
+
 def test_products_of_pairs(spark):
     """Sums for chosen pairs of rows equal those of the matrix, also where rows share nothing."""
     rng = np.random.default_rng(3)
